@@ -16,6 +16,9 @@ SCHEMAS = {
     "ask": {"n_chars": ("number", True), "text": ("string", True), "follows": ("string", False)},
 }
 
+#: Turns of one conversation that a task puts in order.
+STRETCH = 4096
+
 
 def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results of a table of turns: a user turn calls `ask`, a system turn `configure`, and an assistant turn is the
@@ -23,9 +26,12 @@ def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     turns = conversations.select("conv_id", "turn", "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     call_id = lambda turn: F.concat_ws("-", F.lit("call"), F.col("conv_id"), turn)
     calls = turns.where("role in ('user', 'system')")
-    before = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    calls = calls.withColumn("before", before)
-    calls = calls.withColumn("before", F.when(F.col("before") < F.col("turn"), F.col("before")))
+    # The call before: within a stretch of turns by a window, across stretches by their last calls, so a long conversation is not one task.
+    calls = calls.withColumn("stretch", F.floor(F.col("turn") / STRETCH))
+    last = calls.groupBy("conv_id", "stretch").agg(F.max("turn").alias("last"))
+    last = last.select("conv_id", "stretch", F.lag("last").over(W.partitionBy("conv_id").orderBy("stretch")).alias("earlier"))
+    within = F.max("turn").over(W.partitionBy("conv_id", "stretch").orderBy("turn").rangeBetween(W.unboundedPreceding, -1))
+    calls = calls.withColumn("within", within).join(last, ["conv_id", "stretch"]).withColumn("before", F.coalesce("within", "earlier"))
     follows = F.when(F.col("before").isNotNull(), call_id(F.col("before")))
     ask = F.to_json(F.struct(F.col("text"), F.char_length("text").alias("n_chars"), follows.alias("follows")))
     calls = calls.select(
@@ -63,28 +69,41 @@ def argument_errors(schemas: Mapping[str, Mapping[str, tuple[str, bool]]], name:
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without known dependencies, else one more than the highest dependency; null on or behind a cycle.
 
-    Rounds of peeling: each round gives the next level to calls all of whose dependencies have one. A round is a grouped
-    join of what is left; there are as many rounds as the longest chain of one conversation.
+    Chains (calls with one dependency) are followed by pointer doubling, in as many rounds as the logarithm of the longest.
+    What is left are calls with several dependencies; each round gives a level to those whose dependencies all have one,
+    in as many rounds as such calls nest. Every round is a join on ids, written to the shared folder.
     """
-    nodes = stash(calls.select("conv_id", "call_id", "depends_on").dropDuplicates(["conv_id", "call_id"]), "calls")
-    edges = nodes.select("conv_id", "call_id", F.explode(F.array_distinct("depends_on")).alias("needs")).where("needs is not null")
-    known = nodes.select("conv_id", F.col("call_id").alias("needs"))
-    edges = stash(edges.join(known, ["conv_id", "needs"], "left_semi"), "edges")
-    left = nodes.select("conv_id", "call_id")
-    done, level = None, 0
+    key = F.struct("conv_id", "call_id")
+    nodes = stash(calls.select(key.alias("k"), "depends_on").dropDuplicates(["k"]), "nodes")
+    total = nodes.count()
+    edges = nodes.select("k", F.explode(F.array_distinct("depends_on")).alias("d")).where("d is not null")
+    edges = edges.select("k", F.struct(F.col("k.conv_id").alias("conv_id"), F.col("d").alias("call_id")).alias("up"))
+    edges = stash(edges.join(nodes.select(F.col("k").alias("up")), "up", "left_semi").select("k", "up"), "edges")
+    degree = edges.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
+
+    chain = stash(degree.where("n = 1").select("k", "up", F.lit(1).cast("long").alias("dist")), "chain")
     while True:
-        blocked = edges.select("conv_id", "call_id").distinct()
-        ready = stash(left.join(blocked, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level).cast("long")), "level")
-        if ready.isEmpty():
+        over = chain.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
+        chain = chain.join(over, "up", "left").select("k", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved"))
+        chain = stash(chain, "chain")
+        moving = chain.where(F.col("moved") & (F.col("dist") <= total)).isEmpty()  # longer ones go round a cycle
+        chain = chain.drop("moved")
+        if moving:
             break
-        done = ready if done is None else done.union(ready)
-        left = stash(left.join(ready, ["conv_id", "call_id"], "left_anti"), "left")
-        if left.isEmpty():
+
+    ends = chain.select(F.col("k").alias("up"), F.col("up").alias("end"), "dist")
+    many = edges.join(degree.where("n > 1").select("k"), "k").join(ends, "up", "left")
+    many = stash(many.select("k", F.coalesce("end", "up").alias("up"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "many")
+    done = stash(nodes.select("k").join(degree.select("k"), "k", "left_anti").select("k", F.lit(0).cast("long").alias("level")), "levels")
+    while not many.isEmpty():
+        reached = many.join(done.select(F.col("k").alias("up"), "level"), "up", "left").groupBy("k").agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
+        ready = stash(reached.where("open = 0").select("k", "level"), "levels")
+        if ready.isEmpty():
             break
-        edges = stash(edges.join(ready.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti"), "edges")
-        level += 1
-    rest = left.withColumn("level", F.lit(None).cast("long"))
-    return rest if done is None else done.union(rest)
+        done = done.union(ready)
+        many = stash(many.join(ready.select("k"), "k", "left_anti"), "many")
+    chained = chain.join(done.select(F.col("k").alias("up"), "level"), "up").select("k", (F.col("level") + F.col("dist")).alias("level"))
+    return nodes.select("k").join(done.union(chained), "k", "left").select("k.conv_id", "k.call_id", "level")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFrame:
