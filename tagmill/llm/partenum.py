@@ -135,6 +135,12 @@ def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, whole: bool
     return sets.select("doc_id", "text").mapInArrow(run, schema)
 
 
+def _possible(nx: str, px: str, ny: str, py: str, num: int, den: int):
+    """What sizes and parity sketches leave possible: the sketches differ in no more bits than the sets in members."""
+    apart = sum((F.bit_count(F.col(px)[k].bitwiseXOR(F.col(py)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (den + num) <= (F.col(nx) + F.col(ny)) * (den - num))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard >= num/den, by exact intersection."""
 
@@ -154,11 +160,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
                     keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], names=["a", "b"])
 
-    sides = sets.select(F.col("doc_id"), "n", "members")
-    joined = (
-        pairs.join(sides.toDF("a", "na", "ma"), "a").join(sides.toDF("b", "nb", "mb"), "b")
-        .where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num)).select("a", "b", "ma", "mb")
-    )
+    # Sizes and sketches first: they are a fortieth of the sets, and most pairs that only share a passage end here.
+    sketches = sets.select("doc_id", "n", "parity")
+    likely = pairs.join(sketches.toDF("a", "na", "pa"), "a").join(sketches.toDF("b", "nb", "pb"), "b")
+    likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
+    sides = sets.select("doc_id", "members")
+    joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
     return joined.mapInArrow(run, "a long, b long")
 
 
@@ -183,13 +190,10 @@ def _crossing(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     )
     dealt = stash(dealt, "tiles")
     x, y = dealt.alias("x"), dealt.alias("y")
-    apart = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    total = F.col("x.n") + F.col("y.n")
     possible = (
         (F.col("x.cid") < F.col("y.cid")) & (F.col("x.component") != F.col("y.component"))
         & (F.least("x.t", "y.t") == F.col("x.ti")) & (F.greatest("x.t", "y.t") == F.col("x.tj"))
-        & (F.least("x.n", "y.n") * den >= F.greatest("x.n", "y.n") * num)
-        & (apart * (den + num) <= total * (den - num))  # the sketches differ in no more bits than the sets in members
+        & _possible("x.n", "x.parity", "y.n", "y.parity", num, den)
     )
     on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.ti") == F.col("y.ti")) & (F.col("x.tj") == F.col("y.tj")) & possible
     return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
@@ -212,7 +216,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
        component can't change it. So no link between different components is lost.
 
     Null, empty or blank texts have no shingles, link with nothing and are their own component. Repeated rows are copies of
-    each other. Rows with a null doc_id are returned with a null component. Other columns are ignored; an empty table gives no rows.
+    each other; different texts under one id count as one document's. Rows with a null doc_id are returned with a null component. Other columns are ignored; an empty table gives no rows.
     """
     members = stash(_sketch(docs, width), "sets")
     key = ["n", "h1", "h2"]
@@ -230,7 +234,7 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     pairs = stash(pairs, "pairs")
     wanted = stash(rows.select(F.col("cid").alias("doc_id")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
-    sets = stash(_sketch(texts, width, whole=True).dropDuplicates(["doc_id"]), "members")
+    sets = stash(_sketch(texts, width, whole=True), "members")
     links = stash(_verified(pairs, sets, num, den), "links")
     parts = connected_components(links)
 
