@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagmill.llm.common import stash
+
 #: Where the vocabulary lies on every machine, and how it splits text (fixed values of that vocabulary).
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -67,7 +69,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     slices' totals, so no task holds the whole histogram. Null lengths count as 0; an empty table gives no rows.
     """
     whole = lengths.select(F.coalesce(F.col("length"), F.lit(0)).cast("long").alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
-    whole = whole.withColumn("slice", F.floor(F.col("length") / SLICE)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
+    whole = stash(whole, "histogram").withColumn("slice", F.floor(F.col("length") / SLICE)).withColumn("n_tokens", F.col("length") * F.col("n_docs"))
     slices = whole.groupBy("slice").agg(F.sum("n_docs").alias("d"), F.sum("n_tokens").alias("t"))
     later = W.orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
     everything = W.partitionBy()
