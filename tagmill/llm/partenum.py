@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb
+from math import ceil, comb, exp
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,10 @@ from tagmill.llm.common import connected_components, mix, shingle_sets, small, s
 BAND = 1.5
 #: Second-level partitions of each first-level one, and how many of them may differ.
 SECOND, DIFFER = 2, 1
-#: Partitions beyond the pigeonhole's need, as a share; sets with more empty subsets than those draw a further partitioning.
-SPARE = 0.1
+#: Subsets with members that the smallest set of a band should have beyond those that differences can spoil, as a share of these.
+SPARE = 0.04
+#: Partitionings that a set tries at most; in the last one, subsets without members count as well.
+TRIES = 32
 #: Bits of a parity sketch; members of one signature that one key of the join has at most twice.
 SKETCH_BITS, TILE = 1024, 1024
 
@@ -36,25 +38,30 @@ def band_of(size: int) -> tuple[int, int, int]:
 
 
 @lru_cache(maxsize=1024)
-def layout(high: int, num: int, den: int) -> tuple[int, int]:
-    """(first-level partitions, subsets sure to agree) for sets of at most high members.
+def layout(low: int, high: int, num: int, den: int) -> tuple[int, int]:
+    """(first-level partitions, subsets sure to agree) for sets of a band, and those of the band before that may match them.
 
-    Two such sets with Jaccard >= num/den differ in at most k = 2 high (den - num) / (den + num) members. Each difference
-    spoils at most a fixed number of subsets; what is left over is sure to agree. k = 0 gives no partitions: such sets are equal.
+    Two sets of at most high members with Jaccard >= num/den differ in at most k = 2 high (den - num) / (den + num) members.
+    Each difference spoils at most a fixed number of subsets; what is left over is sure to agree. There are enough partitions
+    that even the smallest such set is expected to have more subsets with members than can be spoiled. k = 0 gives no
+    partitions: such sets are equal.
     """
     k = 2 * high * (den - num) // (den + num)
     if k == 0:
         return 0, 0
     take = SECOND - DIFFER
+    least = max(1, num * low // den)
     spoil = [comb(SECOND - d - 1, take - 1) for d in range(DIFFER + 1)]  # by the (d+1)-th differing part of a partition
-    first = ceil((k + 1 + ceil(SPARE * (k + 1))) / (DIFFER + 1))
+    first = ceil((k + 1) / (DIFFER + 1))
     while True:
-        left, sure = k, first * comb(SECOND, take)
+        left, spoiled = k, 0
         for cost in spoil:
             used = min(left, first)
-            sure, left = sure - used * cost, left - used
-        if sure > 0:
-            return first, sure
+            spoiled, left = spoiled + used * cost, left - used
+        subsets = first * comb(SECOND, take)
+        filled = subsets * (1 - exp(-least * take / (first * SECOND)))
+        if subsets > spoiled and (filled >= spoiled * (1 + SPARE) + 0.5 or first > 2 * least):
+            return first, subsets - spoiled
         first += 1
 
 
@@ -63,18 +70,18 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     n = len(s)
     if n == 0:
         return np.zeros(0, np.uint64)
-    band, _, high = band_of(n)
-    wanted = [(band, high)]
+    band, low, high = band_of(n)
+    wanted = [(band, low, high)]
     _, low, high = band_of(high + 1)
     if n * den >= num * low:  # large enough to match sets of the next band
-        wanted.append((band + 1, high))
+        wanted.append((band + 1, low, high))
     out = []
     picks = list(combinations(range(SECOND), SECOND - DIFFER))
-    for band, high in wanted:
-        first, sure = layout(high, num, den)
+    for band, low, high in wanted:
+        first, sure = layout(low, high, num, den)
         seed = 0
         while first:
-            key = np.uint64((seed * 1_000_003 + band) * 2_654_435_761 + 97)
+            key = np.uint64(((seed * 1_000_003 + band) * 2_654_435_761 + 97) % (1 << 64))
             h = mix(s ^ key)
             cell = (h >> np.uint64(20)) % np.uint64(first * SECOND)
             order = np.argsort(cell)
@@ -85,11 +92,11 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
             total, filled = total.reshape(first, SECOND), filled.reshape(first, SECOND)
             empty = 0
             for at, pick in enumerate(picks):
-                full = filled[:, pick].any(axis=1)
+                full = filled[:, pick].any(axis=1) | (seed == TRIES - 1)
                 where = np.flatnonzero(full).astype(np.uint64) * np.uint64(len(picks)) + np.uint64(at)
                 out.append(mix(total[full][:, pick].sum(axis=1, dtype=np.uint64) ^ mix(where + key)))
                 empty += int((~full).sum())
-            if empty < sure:  # one of the subsets that agree is not empty
+            if empty < sure:  # one of the subsets that agree is among those emitted
                 break
             seed += 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

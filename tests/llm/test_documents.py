@@ -73,7 +73,8 @@ def test_partenum_equals_brute_force(docs, width, num, den):
     assert found == components(rows, width, num, den)
 
 
-def test_partenum_chains_and_families(spark):
+@pytest.mark.parametrize("width,num,den", [(4, 85, 100), (5, 80, 100)])
+def test_partenum_chains_and_families(spark, width, num, den):
     """Families of edited texts, with links that only hold between neighbours and a passage that all share."""
     rng = np.random.default_rng(5)
     common = [f"c{k}" for k in range(50)]
@@ -86,20 +87,20 @@ def test_partenum_chains_and_families(spark):
                 words[int(rng.integers(0, len(words)))] = f"x{rng.integers(0, 10**6)}"
             rows.append((at, " ".join(words)))
             at += 1
-    found = partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, 4, 85, 100)
+    found = partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), width, num, den).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == components(rows, width, num, den)
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.integers(1, 400), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32))
-def test_similar_sets_share_a_signature(size, minus, plus, seed):
+@given(st.integers(1, 4000), st.integers(0, 400), st.integers(0, 400), st.integers(0, 2**32), st.sampled_from([80, 85]))
+def test_similar_sets_share_a_signature(size, minus, plus, seed, num):
     rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**63, size + plus + 5, dtype=np.uint64))
     a = np.sort(pool[:size])
     b = np.sort(np.concatenate((a[min(minus, size - 1) :], pool[size : size + plus])))
     shared = len(np.intersect1d(a, b))
-    if shared * 100 >= 85 * (len(a) + len(b) - shared) and not np.array_equal(a, b):
-        assert np.intersect1d(partenum.signatures(a, 85, 100), partenum.signatures(b, 85, 100)).size
+    if shared * 100 >= num * (len(a) + len(b) - shared) and not np.array_equal(a, b):
+        assert np.intersect1d(partenum.signatures(a, num, 100), partenum.signatures(b, num, 100)).size
 
 
 def test_partenum_odd_rows(odd, empty):
