@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +43,18 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int):
+    """Within, tables are written with at most so many rows in a batch for Python: for rows that hold whole sets."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with the value computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import connected_components, mix, shingle_sets, small, stash
+from tagmill.llm.common import arrow_batches, connected_components, mix, shingle_sets, small, stash
 
 #: Sizes from one band's start to its end grow by this factor.
 BAND = 1.5
@@ -109,8 +109,8 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, whole: bool = False) -> DataFrame:
-    """(doc_id, n, h1, h2) of each text's shingle set; with den its signatures; with whole the set and its parity sketch."""
+def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, parity: bool = False, whole: bool = False) -> DataFrame:
+    """(doc_id, n, h1, h2) of each text's shingle set; with den its signatures, with parity its sketch, with whole the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,12 +133,14 @@ def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, whole: bool
         names = ["doc_id", "n", "h1", "h2"]
         if den:
             columns, names = [*columns, _lists([signatures(s, num, den) for s in sets_])], [*names, "sigs"]
-        if whole:
+        if parity:
             bits = [np.packbits(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).view(np.uint64) for s in sets_]
-            columns, names = [*columns, _lists(sets_), _lists(bits)], [*names, "members", "parity"]
+            columns, names = [*columns, _lists(bits)], [*names, "parity"]
+        if whole:
+            columns, names = [*columns, _lists(sets_)], [*names, "members"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n long, h1 long, h2 long" + ", sigs array<long>" * bool(den) + ", members array<long>, parity array<long>" * whole
+    schema = "doc_id long, n long, h1 long, h2 long" + ", sigs array<long>" * bool(den) + ", parity array<long>" * parity + ", members array<long>" * whole
     return sets.select("doc_id", "text").mapInArrow(run, schema)
 
 
@@ -148,8 +150,8 @@ def _possible(nx: str, px: str, ny: str, py: str, num: int, den: int):
     return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (den + num) <= (F.col(nx) + F.col(ny)) * (den - num))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets have Jaccard >= num/den, by exact intersection."""
+def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets have Jaccard >= num/den, by exact intersection; a table in the shared folder."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def parts(column):
@@ -168,15 +170,18 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], names=["a", "b"])
 
     # Sizes and sketches first: they are a fortieth of the sets, and most pairs that only share a passage end here.
-    sketches = sets.select("doc_id", "n", "parity")
+    sketches = sketches.select("doc_id", "n", "parity")
     likely = pairs.join(sketches.toDF("a", "na", "pa"), "a").join(sketches.toDF("b", "nb", "pb"), "b")
     likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
-    sides = sets.select("doc_id", "members")
-    joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    return joined.mapInArrow(run, "a long, b long")
+    wanted = stash(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
+    texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
+    with arrow_batches(docs.sparkSession, 1000):
+        sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
+        joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+        return stash(joined.mapInArrow(run, "a long, b long"), "links")
 
 
-def _crossing(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that share a signature and that sizes and parity sketches leave possible.
 
     open_ has (sig, cid, component) without each signature's hub, whose pairs are verified already. Signatures with the same
@@ -190,7 +195,7 @@ def _crossing(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     spans = spans.where("lo <> hi").groupBy("m", "first", "f1", "f2").agg(F.min("sig").alias("sig"))
     spans = spans.select("sig", F.ceil(F.col("m") / TILE).cast("long").alias("g"))
     dealt = (
-        open_.join(spans, "sig").join(sets.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
+        open_.join(spans, "sig").join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
         .withColumn("t", F.pmod(F.xxhash64("cid"), F.col("g")))
         .withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         .select("sig", F.least("t", "h").alias("ti"), F.greatest("t", "h").alias("tj"), "t", "cid", "component", "n", "parity")
@@ -241,17 +246,17 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     pairs = stash(pairs, "pairs")
     wanted = stash(rows.select(F.col("cid").alias("doc_id")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
-    sets = stash(_sketch(texts, width, whole=True), "members")
-    links = stash(_verified(pairs, sets, num, den), "links")
+    sketches = stash(_sketch(texts, width, parity=True), "sketches")
+    links = _verified(docs, pairs, sketches, width, num, den)
     parts = connected_components(links)
 
     def placed(ids: DataFrame, parts: DataFrame) -> DataFrame:
         named = parts.withColumnRenamed("node", "cid")
         return ids.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
-    more = _crossing(placed(rows.where("cid <> hub").select("sig", "cid"), parts), sets, num, den)
+    more = _crossing(placed(rows.where("cid <> hub").select("sig", "cid"), parts), sketches, num, den)
     more = more.join(pairs, ["a", "b"], "left_anti")
-    more = stash(_verified(stash(more, "pairs"), sets, num, den), "links")
+    more = _verified(docs, stash(more, "pairs"), sketches, width, num, den)
     if not more.isEmpty():
         parts = connected_components(links.union(more))
 
