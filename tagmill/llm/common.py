@@ -44,11 +44,11 @@ def small(df: DataFrame, rows: int) -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int):
-    """Within, tables are written with at most so many rows in a batch for Python: for rows that hold whole sets."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def arrow_batches(spark: SparkSession, size: int):
+    """Within, tables are written with about so many bytes at most in a batch for Python, however long their rows are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, size)
     try:
         yield
     finally:

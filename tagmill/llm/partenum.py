@@ -22,6 +22,8 @@ SECOND, DIFFER = 2, 1
 SPARE = 0.04
 #: Partitionings that a set tries at most; in the last one, subsets without members count as well.
 TRIES = 32
+#: Bytes of a batch handed to Python, and shingles of a batch handed back, at most unless one row has more.
+BATCH_BYTES, BATCH_SHINGLES = 8 << 20, 1 << 20
 #: Bits of a parity sketch; members of one signature that one key of the join has at most twice.
 SKETCH_BITS, TILE = 1024, 1024
 
@@ -116,11 +118,13 @@ def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, parity: boo
         for batch in batches:
             ids, found = batch.column(0), []
             group: list[tuple[int, np.ndarray]] = []
+            held = 0
             for row, s in shingle_sets(batch.column(1), width):
                 group.append((row, s))
-                if len(group) == 512:
+                held += len(s)
+                if len(group) == 512 or held >= BATCH_SHINGLES:
                     yield emit(ids, group)
-                    group = []
+                    group, held = [], 0
             if group:
                 yield emit(ids, group)
 
@@ -175,10 +179,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int
     likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
     wanted = stash(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
-    with arrow_batches(docs.sparkSession, 1000):
-        sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
-        joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-        return stash(joined.mapInArrow(run, "a long, b long"), "links")
+    sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
+    joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
+    return stash(joined.mapInArrow(run, "a long, b long"), "links")
 
 
 def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
@@ -230,6 +233,11 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
     Null, empty or blank texts have no shingles, link with nothing and are their own component. Repeated rows are copies of
     each other; different texts under one id count as one document's. Rows with a null doc_id are returned with a null component. Other columns are ignored; an empty table gives no rows.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _components(docs, width, num, den)
+
+
+def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     members = stash(_sketch(docs, width), "sets")
     key = ["n", "h1", "h2"]
     filled = members.where("n > 0 and doc_id is not null")
