@@ -64,6 +64,19 @@ def linked_pairs(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) ->
                 yield i[sure], j[sure]
 
 
+def join_sets(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest place of each place's set, once the sets of each i and j are joined; root holds it before."""
+    while True:
+        low, high = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+        apart = low < high
+        if not apart.any():
+            return root
+        i, j = i[apart], j[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _tile(threshold: float):
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         left = pdf["t"].to_numpy() == pdf["ti"].to_numpy()
@@ -75,22 +88,18 @@ def _tile(threshold: float):
         if not len(a) or not len(b):
             return none
         rows = np.array(pdf["v"].tolist(), dtype=np.float64)
-        links, root = np.zeros(len(pdf), np.int64), ids.copy()
-        place = np.arange(len(pdf))
+        # Rows stand in the order of their ids, so a set's smallest place is that of its smallest id.
+        order = np.argsort(ids, kind="stable")
+        at = np.empty(len(ids), np.int64)
+        at[order] = np.arange(len(ids))
+        links, root = np.zeros(len(pdf), np.int64), np.arange(len(ids))
         for i, j in linked_pairs(rows[a], rows[b], threshold, same):
             i, j = a[i], b[j]
             np.add.at(links, i, weight[j])
             np.add.at(links, j, weight[i])
-            while True:  # the smallest id of each row's links so far
-                low = np.minimum(root[i], root[j])
-                old = root.copy()
-                np.minimum.at(root, i, low)
-                np.minimum.at(root, j, low)
-                np.minimum.at(root, place, root)
-                if (old == root).all():
-                    break
+            root = join_sets(root, at[i], at[j])
         hit = links > 0
-        return pd.DataFrame({"rep": ids[hit], "links": links[hit], "root": root[hit]})
+        return pd.DataFrame({"rep": ids[hit], "links": links[hit], "root": ids[order[root[at[hit]]]]})
 
     return tile
 
@@ -101,7 +110,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
     Equal vectors are folded into one representative with a count before anything is compared, so copies cost nothing.
     The representatives are dealt by hash into blocks; the task of a pair of blocks compares them by int8 products, and
     recomputes in double precision only pairs that the error bound leaves open. A task returns a count of links and the
-    smallest linked id per row, never the pairs. The work is that of all pairs of distinct vectors, cut into equal
+    smallest id of its set per row, over all links of the task, never the pairs. The work is that of all pairs of distinct vectors, cut into equal
     tasks; links chained over several tasks are joined by connected_components.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are kept. Vectors of different

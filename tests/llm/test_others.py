@@ -48,6 +48,26 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
+def test_chained_vectors_of_one_large_block(spark):
+    """Links that steps of one tile find one after another, between clusters that chains join."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(100, 24))
+    x = (base[rng.integers(0, 100, 2000)] + 0.35 * rng.normal(size=(2000, 24))).astype(np.float32).astype(np.float64)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    label = np.arange(len(x))
+    while True:
+        new = np.where(linked, label[None, :], len(x)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    frame = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r for r in vectors.near_vectors(frame, 0.9).collect()}
+    assert 1 < len(set(label)) < len(x) and len(rows) == len(x)
+    for i in range(len(x)):
+        assert (rows[i].n_links, rows[i].component_id, rows[i].kept) == (linked[i].sum() - 1, label[i], label[i] == i)
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(300, 64)), rng.normal(size=(300, 64))
