@@ -12,6 +12,8 @@ from tagmill.llm.common import WORDS, bind, stash
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
 #: Output shards (a power of two), blocks of each, and documents of one group that a task sums.
 SHARDS, BLOCKS, GROUP = 16, 64, 512
+#: Blocks for each source, at least, over all shards.
+SPREAD = 4
 
 
 def words(text: str = "text") -> Column:
@@ -74,19 +76,24 @@ def _split(seed: int, level: int):
 
 
 def shard_quotas(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = 0) -> DataFrame:
-    """(source, shard, blocks): the blocks of each source that each shard gets; each shard has `blocks`, each source its quota.
+    """(source, shard, blocks): the blocks of each source that each shard gets; all shards have equally many, each source its quota.
 
-    Quotas are the targets' shares of shards * blocks, rounded by largest remainder. From the root down, a node splits
+    Quotas are the targets' shares of shards * blocks, rounded by largest remainder, but at least one block each: a source
+    has its first block, and the rest are dealt by the shares beyond one block, which changes nothing where every share
+    is one block or more. `blocks` grows so that there are at least SPREAD blocks to a source. From the root down, a node splits
     its blocks into two halves of equal size; source by source, the left half's share is a hypergeometric draw from what is left,
     so the halves are a multivariate-hypergeometric draw and add up exactly. One row per node and source; sources
     are taken in order, by a draw whose left capacity carries over.
     """
+    q = targets.where("target > 0")
+    count = q.count()
+    blocks = max(blocks, -(-SPREAD * count // shards))
     n = shards * blocks
     whole = W.partitionBy()
-    exact = F.col("target") / F.sum("target").over(whole) * n
-    q = targets.where("target > 0").select("source", exact.alias("x")).withColumn("q", F.floor("x"))
+    q = q.select("source", F.greatest(F.col("target") / F.sum("target").over(whole) * n - 1, F.lit(0.0)).alias("x"))
+    q = q.select("source", (F.col("x") / F.sum("x").over(whole) * (n - count)).alias("x")).withColumn("q", F.floor("x"))
     rank = F.row_number().over(W.orderBy(F.desc(F.col("x") - F.col("q")), F.col("source").asc_nulls_last()))
-    q = q.withColumn("q", (F.col("q") + F.when(rank <= F.lit(n) - F.sum("q").over(whole), 1).otherwise(0)).cast("long"))
+    q = q.withColumn("q", (1 + F.col("q") + F.when(rank <= F.lit(n - count) - F.sum("q").over(whole), 1).otherwise(0)).cast("long"))
     node = q.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("nul"), "source", "q"))).alias("parts")).where("size(parts) > 0")
     node = node.withColumn("node", F.lit(0).cast("long"))
     width, level = shards, 0

@@ -245,6 +245,27 @@ def test_splitting_tree_is_exact(spark):
     assert set(shards.values()) == {16} and len(shards) == 8 and sum(sources.values()) == 128
 
 
+def test_small_sources_are_placed(spark):
+    """Beside a hot source, one of 0.01 % of the words and several smaller ones keep every taken word, also as documents."""
+    sizes = {"hot": [2000] * 100} | {f"s{k:02}": [n] for k, n in enumerate([20, 20, 5, 1] + [3] * 16)} | {None: [2, 2]}
+    rows = [(f"{s}-{k}", " ".join(["w"] * n), s) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    given = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    mixed = mixture.mix(given).collect()
+    taken = {r.doc_id: r.taken // r.size for r in mixed}
+    assert all(len(r.placements) * r.size == r.taken for r in mixed) and {r.source for r in mixed if r.taken} == set(sizes)
+    assert Counter(r.doc_id for r in mixture.mixed_documents(given).collect()) == {i: n for i, n in taken.items() if n}
+
+
+def test_more_sources_than_blocks(spark):
+    targets = spark.createDataFrame([(f"s{k}", 10, 1, 20.0) for k in range(600)] + [("none", 0, 1, 0.0)], "source string, source_size long, n long, target double")
+    quotas = mixture.shard_quotas(targets, 4, 16).collect()
+    shards, sources = Counter(), Counter()
+    for q in quotas:
+        shards[q.shard] += q.blocks
+        sources[q.source] += q.blocks
+    assert len(sources) == 600 and min(sources.values()) >= 1 and len(shards) == 4 and len(set(shards.values())) == 1
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 5)), min_size=1, max_size=9, unique_by=lambda x: x[0]), st.integers(1, 4))
 def test_buckets_are_optimal(rows, buckets):
