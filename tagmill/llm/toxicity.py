@@ -159,13 +159,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights[:-1] + self.weights[-1], -50, 50)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     a = np.column_stack((x, np.ones(len(x))))
     w = np.zeros(a.shape[1])
     penalty = np.diag([ridge] * x.shape[1] + [1e-6])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + penalty, a.T @ (weight * (y - p)) - penalty @ w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -176,7 +176,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
     """Fit on the labelled rows outside the held-out quarter; shared counts come from all documents.
 
     Class counts use parts 0 and 1 of the labelled ids, the calibration part 3, so it sees texts whose counts it did not
-    make. The driver gets the table of at most 32 ** 4 counts and at most 2 * fit_rows rows of features. Without
+    make; its rows are weighted to each class's true count. The driver gets the table of at most 32 ** 4 counts and at
+    most 2 * fit_rows rows of features. Without
     labels of both classes every score is 0.5 or the known class's share.
     """
     known = label_rows(labels)
@@ -187,7 +188,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
         table[k][at] = counted[name].to_numpy()
     ratio = log_ratio(*table)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
-    pick = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded(known.where("part = 3"), fit_rows), "id")
+    fit = known.where("part = 3")
+    pick = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded(fit, fit_rows), "id")
+    # A row of a class that was cut stands for as many of its labels.
+    stands = {r["is_toxic"]: max(1.0, r["count"] / fit_rows) for r in fit.groupBy((F.col("toxic") == 1).alias("is_toxic")).count().collect()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -198,8 +202,10 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
     x, y = sample[["a", "b", "c"]].to_numpy(dtype=np.float64).reshape(-1, 3), (sample["toxic"] == 1).to_numpy(dtype=np.float64)
     if not len(x):
         return Model(ratio, np.zeros(3), np.ones(3), np.zeros(4))
-    mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
-    return Model(ratio, mean, scale, _logistic((x - mean) / scale, y))
+    weight = np.where(y == 1, stands.get(True, 1.0), stands.get(False, 1.0))
+    mean = np.average(x, axis=0, weights=weight)
+    scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)), 1e-9)
+    return Model(ratio, mean, scale, _logistic((x - mean) / scale, y, weight))
 
 
 def scorer(docs: DataFrame, model: Model):

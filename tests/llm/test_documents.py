@@ -153,6 +153,17 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_calibration_keeps_the_class_prior(spark):
+    """With the ordinary rows cut to a few, scores stay near those of the full fit, whose mean is the toxic share."""
+    rng = np.random.default_rng(11)
+    toxic = rng.random(6000) < 0.1
+    texts = [" ".join(rng.choice(["awful", "nasty"] if rng.random() < (0.25 if t else 0.1) else [f"plain{chr(97 + k)}" for k in range(20)]) for _ in range(12)) for t in toxic]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(t)) for k, t in enumerate(toxic)], "doc_id long, toxic int")
+    full, cut = ([r.score for r in toxicity.score_toxicity(docs, labels, fit_rows=n).orderBy("doc_id").collect()] for n in (8000, 140))
+    assert abs(np.mean(full) - 0.1) < 0.03 and abs(np.mean(cut) - np.mean(full)) < 0.03 and np.mean(np.abs(np.array(cut) - full)) < 0.06
+
+
 def test_shared_backoff_of_unseen_expressions_is_neutral():
     everywhere = np.zeros(toxicity.CELLS, np.int64)
     everywhere[toxicity.cells("quiet words")] += 3
