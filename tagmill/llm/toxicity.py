@@ -1,8 +1,9 @@
-"""Toxicity by two class-conditional Kneser-Ney models of words, compared by length-normalised log-likelihood."""
+"""Toxicity by two class-conditional Kneser-Ney models of letter runs, beginnings, words and pairs of words, compared by length-normalised log-likelihood."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,31 +13,35 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters fall into 32 symbols: 0 between words, a-z, four symbols for other letters by code point, 31 for the rest.
-#: A word counts by its first four symbols, its stem, so the tables have at most 32 ** 4 rows whatever the corpus.
-SYMBOLS, STEM = 32, 4
-CELLS = SYMBOLS**STEM
-#: Discount of a class's count of a stem: one seen twice or less in a class is left to the shared model.
+from tagmill.llm import common
+
+#: Four tables of hashed cells: runs of up to four letters, beginnings of words, whole words, pairs of words. Their size bounds what is collected.
+BITS = (18, 18, 20, 20)
+START = [sum(1 << b for b in BITS[:k]) for k in range(5)]
+CELLS = START[4]
+RUN = 4
+#: Cells that the driver collects at a time.
+SLICE = 1 << 18
+#: Discount of a class's count of a cell: one seen twice or less in a class is left to the lower model.
 DISCOUNT = 2.0
-#: A word's log ratio beyond this margin counts as evidence.
+#: A log ratio beyond this margin counts as evidence.
 MARGIN = 1.5
 #: Labelled rows of each class, at most, that the class counts and the calibration use (the smallest by a hash of the id).
 TRAIN_ROWS, FIT_ROWS = 40_000, 8_000
-#: Characters of a text that are turned into symbols at a time, up to the next white space.
+#: Characters of a text that are read at a time, up to the next white space if there is some within as many again.
 PIECE = 1 << 18
 _GAP = re.compile(r"\s")
+#: Scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, ideographs): each character is a word.
+ALONE = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
+_ODD = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint32)
 
 
-def _symbols() -> np.ndarray:
-    out = np.full(1 << 16, SYMBOLS - 1, np.uint8)
-    for k in range(1 << 16):
-        c = chr(k)
-        if c.isspace():
-            out[k] = 0
-        elif "a" <= c <= "z":
-            out[k] = k - 96
-        elif c.isalpha():
-            out[k] = 27 + k % 4
+def _kinds() -> np.ndarray:
+    """0 for what stands between words, 1 for letters, marks and digits, 2 for those that are words alone; the last entry is for what follows."""
+    out = np.array([unicodedata.category(chr(k))[0] in "LMN" for k in range(1 << 16)], np.uint8)
+    for low, high in ALONE:
+        out[low : high + 1] *= 2
+    out[-1] = 2
     return out
 
 
@@ -46,28 +51,60 @@ _TABLE: list[np.ndarray] = []
 def _pieces(text: str) -> Iterator[str]:
     start = 0
     while start < len(text):
-        gap = _GAP.search(text, start + PIECE)
-        stop = gap.start() if gap else len(text)
+        gap = _GAP.search(text, start + PIECE, start + 2 * PIECE)
+        stop = gap.start() if gap else min(len(text), start + 2 * PIECE)
         yield text[start:stop]
         start = stop
 
 
-def cells(text: str | None) -> np.ndarray:
-    """The table cell of each word's stem, padded with gaps; none for null, empty and blank texts."""
+def units(text: str | None) -> Iterator[tuple[np.ndarray, ...]]:
+    """By pieces, the cells of the letter runs that end at each letter, of words' first RUN letters, of words, and of pairs, with the cells of a pair's two words.
+
+    Words are cut at all but letters, marks and digits, and hashed whole; a run stays within what is between two cuts.
+    """
     if not _TABLE:
-        _TABLE.append(_symbols())
-    parts = [np.zeros(0, np.int64)]
+        _TABLE.append(_kinds())
+    last = np.zeros(0, np.uint64)
     for piece in _pieces(text or ""):
         code = np.frombuffer(piece.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = np.concatenate((np.zeros(1, np.uint8), _TABLE[0][np.minimum(code, 0xFFFF)], np.zeros(STEM, np.uint8)))
-        start = np.flatnonzero((s[:-STEM] == 0) & (s[1 : len(s) - STEM + 1] != 0)) + 1
-        cell, inside = np.zeros(len(start), np.int64), np.ones(len(start), bool)
-        for k in range(STEM):
-            symbol = np.where(inside, s[start + k], 0)
-            inside &= symbol != 0
-            cell = cell * SYMBOLS + symbol
-        parts.append(cell)
-    return np.concatenate(parts)
+        kind = _TABLE[0][np.minimum(code, 0xFFFF)]
+        letter = kind > 0
+        if not letter.any():
+            continue
+        inside, alone = np.zeros(len(code), bool), kind == 2
+        inside[1:] = letter[:-1]
+        c = code * letter
+        run, before = c * _ODD[0], c
+        for k in range(1, RUN):
+            shifted = np.zeros_like(c)
+            shifted[1:] = before[:-1]
+            before = shifted * inside
+            run += before * _ODD[k]
+        run = run[letter]
+        run ^= run >> np.uint32(15)
+        run *= np.uint32(0x2C1B3C6D)
+        start = letter & (~inside | alone)
+        start[1:] |= letter[1:] & alone[:-1]
+        stop = letter.copy()
+        stop[:-1] &= ~letter[1:] | start[1:]
+        first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
+        up, down = common._power(len(code))
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(c * up, out=total[1:])
+        word = common.mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
+        begun = np.minimum(end, first + RUN)
+        stem = common.mix((total[begun] - total[first]) * down[first] + (begun - first).astype(np.uint64))
+        row = np.concatenate((last, word))
+        pair = common.mix(row[:-1] * np.uint64(0x9E3779B97F4A7C15) + row[1:])
+        last = word[-1:]
+        stems, word, pairs = ((h >> np.uint64(64 - BITS[k])).astype(np.int64) + START[k] for k, h in ((1, stem), (2, row), (3, pair)))
+        runs = (run >> np.uint32(32 - BITS[0])).astype(np.int64)
+        yield runs, stems, word[len(row) - len(first) :], pairs, word[:-1], word[1:]
+
+
+def cells(text: str | None) -> np.ndarray:
+    """The cells of all runs, beginnings, words and pairs; none for null, empty and blank texts."""
+    return np.concatenate([np.zeros(0, np.int64), *[part for piece in units(text) for part in piece[:4]]])
 
 
 def label_rows(labels: DataFrame) -> DataFrame:
@@ -84,10 +121,14 @@ def _bounded(rows: DataFrame, most: int) -> DataFrame:
 
 
 def count_cells(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """(cell, everywhere, toxic, ordinary): counts of each stem in all documents and in the two classes."""
+    """(cell, everywhere, toxic, ordinary, first, second): counts of each cell in all documents and in the two classes.
+
+    Pairs are counted in the classes' documents only; first and second are the cells of their words, -1 for other cells.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((3, CELLS), np.int64)
+        ends = np.full((2, CELLS), -1, np.int32)
         waiting: dict[int, list[np.ndarray]] = {0: [], 1: [], 2: []}
         size = 0
 
@@ -99,50 +140,78 @@ def count_cells(docs: DataFrame, train: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = cells(text)
-                waiting[0 if toxic is None else 1 if toxic == 1 else 2].append(c)
-                size += len(c)
-                if size > 4_000_000:
-                    flush()
-                    size = 0
+                for runs, stems, words, pairs, first, second in units(text):
+                    if toxic is None:
+                        waiting[0] += [runs, stems, words]
+                    else:
+                        waiting[1 if toxic == 1 else 2] += [runs, stems, words, pairs]
+                        np.maximum.at(ends[0], pairs, first.astype(np.int32))
+                        np.maximum.at(ends[1], pairs, second.astype(np.int32))
+                    size += len(runs) + 3 * len(words)
+                    if size > 4_000_000:
+                        flush()
+                        size = 0
         flush()
         at = np.flatnonzero(table.any(axis=0))
         everywhere = table.sum(axis=0)
         for k in range(0, len(at), 65536):
             x = at[k : k + 65536]
-            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int32)), pa.array(everywhere[x]), pa.array(table[1][x]), pa.array(table[2][x])], names=["cell", "everywhere", "toxic", "ordinary"])
+            columns = [x.astype(np.int32), everywhere[x], table[1][x], table[2][x], ends[0][x], ends[1][x]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["cell", "everywhere", "toxic", "ordinary", "first", "second"])
 
     marked = docs.select(F.col("doc_id").alias("id"), "text").join(train.select("id", "toxic"), "id", "left").select("text", "toxic")
-    parts = marked.mapInArrow(run, "cell int, everywhere long, toxic long, ordinary long")
-    return parts.groupBy("cell").agg(F.sum("everywhere").alias("everywhere"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    parts = marked.mapInArrow(run, "cell int, everywhere long, toxic long, ordinary long, first int, second int")
+    sums = [F.sum(c).alias(c) for c in ("everywhere", "toxic", "ordinary")]
+    return parts.groupBy("cell").agg(*sums, F.max("first").alias("first"), F.max("second").alias("second"))
 
 
-def log_ratio(everywhere: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
-    """log p_toxic - log p_ordinary of each stem.
+def log_ratio(everywhere: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, first: np.ndarray | None = None, second: np.ndarray | None = None) -> np.ndarray:
+    """log p_toxic - log p_ordinary of each run, beginning and word, and of each pair's second word after its first; 0 for pairs of neither class.
 
-    Both classes discount their own counts and hand the discounted mass to one shared model: the counts of the whole
-    corpus, themselves discounted and backed off to the stems' first three symbols, which count by the number of
-    stems they begin (Kneser-Ney's continuation counts). So a stem that neither class knows well says little.
+    Of all but pairs both classes discount their own counts and hand the discounted mass to one shared model: the counts of
+    the whole corpus, themselves discounted and backed off, for words to the number of words they follow
+    (Kneser-Ney's continuation counts). So a word that neither class knows well says little. Of pairs, each class discounts
+    its counts after the first word and hands the mass to its own model of words.
     """
-    n = everywhere.astype(np.float64)
-    begun = np.repeat((n > 0).reshape(-1, SYMBOLS).sum(axis=1), SYMBOLS) + 1.0
-    lower = begun / begun.sum()
-    shared = (np.maximum(n - 0.75, 0) + (np.minimum(n, 0.75).sum() or 1.0) * lower) / max(1.0, n.sum())
-    shared /= shared.sum()
-    logs = []
-    for counts in (toxic.astype(np.float64), ordinary.astype(np.float64)):
-        held = np.minimum(counts, DISCOUNT).sum()
-        logs.append(np.log((np.maximum(counts - DISCOUNT, 0) + held * shared) / counts.sum() if held else shared))
-    return (logs[0] - logs[1]).astype(np.float32)
-
-
-def features(text: str | None, ratio: np.ndarray) -> tuple[float, float, float]:
-    """The log-likelihood ratio per word; its part beyond the margin per word, and per square root of the words. 0 without words."""
-    r = ratio[cells(text)].astype(np.float64)
-    if not len(r):
-        return 0.0, 0.0, 0.0
-    beyond = np.maximum(r - MARGIN, 0).sum()
-    return float(r.mean()), float(beyond / len(r)), float(beyond / np.sqrt(len(r)))
+    out, pairs = np.zeros(CELLS, np.float32), np.zeros(0, np.int64)
+    if first is not None:
+        pairs = np.flatnonzero(first >= 0)
+        first, second = first[pairs] - START[2], second[pairs] - START[2]
+    words = []
+    for level in range(3):
+        s = slice(START[level], START[level + 1])
+        n = everywhere[s].astype(np.float64)
+        lower = 1.0 + (np.bincount(second, minlength=1 << BITS[2]) if level == 2 and len(pairs) else (n > 0))
+        shared = (np.maximum(n - 0.75, 0) + (np.minimum(n, 0.75).sum() or 1.0) * (lower / lower.sum())) / max(1.0, n.sum())
+        shared /= shared.sum()
+        words = []
+        for counts in (toxic[s].astype(np.float64), ordinary[s].astype(np.float64)):
+            held = np.minimum(counts, DISCOUNT).sum()
+            words.append((np.maximum(counts - DISCOUNT, 0) + held * shared) / counts.sum() if held else shared)
+        out[s] = np.log(words[0]) - np.log(words[1])
+    if len(pairs):
+        logs = []
+        for counts, word in zip((toxic[pairs].astype(np.float64), ordinary[pairs].astype(np.float64)), words, strict=True):
+            total, held = (np.bincount(first, weights)[first] for weights in (counts, np.minimum(counts, DISCOUNT)))
+            known = (np.maximum(counts - DISCOUNT, 0) + held * word[second]) / np.maximum(total, 1)
+            logs.append(np.log(np.where(total > 0, known, word[second])))
+        out[pairs] = logs[0] - logs[1]
+    return out
+
+
+#: Of runs, beginnings, words and pairs each: the mean log ratio; its part beyond the margin per unit, and per square root of the units.
+FEATURES = 12
+
+
+def features(text: str | None, ratio: np.ndarray) -> np.ndarray:
+    """The features of a text, all 0 without words. A pair of neither class counts as its second word does."""
+    sums = np.zeros((4, 3))
+    for runs, stems, words, pairs, _, second in units(text):
+        paired = ratio[pairs]
+        for k, r in enumerate((ratio[runs], ratio[stems], ratio[words], np.where(paired == 0, ratio[second], paired))):
+            sums[k] += len(r), r.sum(dtype=np.float64), np.maximum(r - MARGIN, 0).sum(dtype=np.float64)
+    n = np.maximum(sums[:, 0], 1)
+    return np.concatenate((sums[:, 1] / n, sums[:, 2] / n, sums[:, 2] / np.sqrt(n)))
 
 
 @dataclass
@@ -176,17 +245,23 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
     """Fit on the labelled rows outside the held-out quarter; shared counts come from all documents.
 
     Class counts use parts 0 and 1 of the labelled ids, the calibration part 3, so it sees texts whose counts it did not
-    make; its rows are weighted to each class's true count. The driver gets the table of at most 32 ** 4 counts and at
+    make; its rows are weighted to each class's true count. The driver gets the table of at most CELLS counts and at
     most 2 * fit_rows rows of features. Without
     labels of both classes every score is 0.5 or the known class's share.
     """
     known = label_rows(labels)
-    counted = count_cells(docs, _bounded(known.where("part in (0, 1)"), train_rows)).toPandas()
-    table = np.zeros((3, CELLS), np.int64)
-    at = counted["cell"].to_numpy()
-    for k, name in enumerate(("everywhere", "toxic", "ordinary")):
-        table[k][at] = counted[name].to_numpy()
-    ratio = log_ratio(*table)
+    counted = common.stash(count_cells(docs, _bounded(known.where("part in (0, 1)"), train_rows)), "cells")
+    table = np.zeros((3, CELLS), np.float32)
+    ends = np.full((2, CELLS), -1, np.int32)
+    for low in range(0, CELLS, SLICE):  # to spare the driver's memory
+        rows = counted.where(F.col("cell").between(low, low + SLICE - 1)).toPandas()
+        at = rows["cell"].to_numpy()
+        for into, names in ((table, ("everywhere", "toxic", "ordinary")), (ends, ("first", "second"))):
+            for k, name in enumerate(names):
+                into[k][at] = rows[name].to_numpy()
+        del rows, at
+    ratio = log_ratio(*table, *ends)
+    del table, ends
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     fit = known.where("part = 3")
     pick = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded(fit, fit_rows), "id")
@@ -195,13 +270,13 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = [features(t, shared.value) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "a": [v[0] for v in x], "b": [v[1] for v in x], "c": [v[2] for v in x]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, shared.value).tolist() for t in pdf["text"]]})
 
-    sample = pick.select("text", "toxic").mapInPandas(run, "toxic int, a double, b double, c double").toPandas().sort_values(["a", "b", "c", "toxic"])
-    x, y = sample[["a", "b", "c"]].to_numpy(dtype=np.float64).reshape(-1, 3), (sample["toxic"] == 1).to_numpy(dtype=np.float64)
+    sample = pick.select("text", "toxic").mapInPandas(run, "toxic int, x array<double>").toPandas()
+    rows = np.array(sorted([*x, float(t == 1)] for x, t in zip(sample["x"], sample["toxic"], strict=True)), dtype=np.float64).reshape(-1, FEATURES + 1)
+    x, y = rows[:, :-1], rows[:, -1]
     if not len(x):
-        return Model(ratio, np.zeros(3), np.ones(3), np.zeros(4))
+        return Model(ratio, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
     weight = np.where(y == 1, stands.get(True, 1.0), stands.get(False, 1.0))
     mean = np.average(x, axis=0, weights=weight)
     scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)), 1e-9)
@@ -215,7 +290,7 @@ def scorer(docs: DataFrame, model: Model):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         for texts in batches:
-            x = np.array([features(t, model.ratio) for t in texts], dtype=np.float64).reshape(-1, 3)
+            x = np.array([features(t, model.ratio) for t in texts], dtype=np.float64).reshape(-1, FEATURES)
             yield pd.Series(model.score(x), dtype="float64")
 
     return F.pandas_udf(score, "double")

@@ -153,6 +153,45 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert toxicity.drop_toxic(odd, labels).columns == odd.columns
 
 
+def test_units_cover_whole_words():
+    def words(text):
+        return [c for piece in toxicity.units(text) for c in piece[2]]
+
+    assert words("idiot") != words("idiom") and words('("Idiot"), x') == words("idiot x") and words("you,idiot/you") == words("you idiot you")
+    assert len(words("\u4f60\u662f\u50bb\u74dc")) == 4 and len(set(words("\u0e04\u0e27\u0e32"))) == 3
+    runs = [set(next(toxicity.units(t))[0]) for t in ("idiot", "whatanidiotyouare")]
+    assert len(runs[0] & runs[1]) == 2
+    one, other = (next(toxicity.units(t)) for t in ("not good but bad", "not bad but good"))
+    assert sorted(one[2]) == sorted(other[2]) and set(one[3]) != set(other[3])
+    long = "ab" * toxicity.PIECE * 2 + " end"
+    assert sum(len(piece[0]) for piece in toxicity.units(long)) == len(long) - 1 and words(long)[-1] == words("end")[0]
+
+
+def test_toxicity_beyond_the_first_letters(spark):
+    """What tells the classes apart are late letters, the order of words, or characters of texts without spaces."""
+    rng = np.random.default_rng(4)
+    clean = [f"plain{chr(97 + k)}" for k in range(20)]
+    han = [chr(0x4E00 + k) for k in range(40)]
+    texts, toxic = [], []
+    for k in range(2400):
+        t = int(rng.random() < 0.3)
+        fill = [str(w) for w in rng.choice(clean, 12)]
+        if k % 3 == 0:
+            fill[5] = "idiot" if t else "idiom"
+        elif k % 3 == 1:
+            fill[5:7] = ["drop", "dead"] if t else ["dead", "drop"]
+        else:
+            fill = ["".join(rng.choice(han, 12)) + ("\u50bb\u74dc" if t else "\u897f\u74dc") + "".join(rng.choice(han, 12))]
+        texts.append(" ".join(fill))
+        toxic.append(t)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int")
+    rows = toxicity.score_toxicity(docs, labels).where("held_out").collect()
+    for kind in range(3):
+        right = [r.predicted == toxic[r.doc_id] for r in rows if r.doc_id % 3 == kind]
+        assert np.mean(right) > 0.95, (kind, np.mean(right))
+
+
 def test_calibration_keeps_the_class_prior(spark):
     """With the ordinary rows cut to a few, scores stay near those of the full fit, whose mean is the toxic share."""
     rng = np.random.default_rng(11)
