@@ -97,7 +97,8 @@ def truncated_total(histogram: DataFrame, limits: DataFrame) -> DataFrame:
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:
     """The smallest length that at least a share q of the documents don't exceed."""
-    return histogram.where(F.col("share_at_most") >= q).agg(F.min("length").alias("length"))
+    total = histogram.agg(F.sum("n_docs").alias("docs"))
+    return histogram.crossJoin(total).where((F.col("docs") - F.col("docs_above")) / F.col("docs") >= q).agg(F.min("length").alias("length"))
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:

@@ -262,6 +262,11 @@ def test_pieces_keep_the_count():
     assert "".join(lengths.pieces(text, 100)) == text and sum(len(encoding.encode_ordinary(p)) for p in lengths.pieces(text, 100)) == len(encoding.encode_ordinary(text))
 
 
+def test_quantiles_of_many_documents(spark):
+    histogram = spark.createDataFrame([(5, 9_999_996, 4, 1.0), (9, 4, 0, 1.0)], "length long, n_docs long, docs_above long, share_at_most double")
+    assert [lengths.quantile(histogram, q).first().length for q in (0.5, 0.9999996, 1.0)] == [5, 5, 9]
+
+
 def test_mixing(docs, odd, empty):
     rows = mixture.mix(docs).collect()
     sizes = {r.doc_id: len(WORD.findall(r.text or "")) for r in docs.collect()}
