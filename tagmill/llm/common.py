@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Fixed patterns: words are runs of anything but these six white-space bytes.
@@ -16,6 +17,10 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 #: A side of a join may be broadcast up to so many rows of one or two numbers; beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Rows of one key that a task of split_join takes, at least, and keys with more rows than a task takes, at most.
+CHUNK, HOT_KEYS = 256, 100_000
+#: Groups of one stretch of running_sums.
+STRETCH = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. A temporary one stands in on a single machine only; a cluster must name it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tagmill-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -35,7 +43,17 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     """Write to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found.stashed_at = path
+    return found
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that no later step reads."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t.stashed_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -149,32 +167,80 @@ def shingle_sets(column, width: int):
                 yield row + i, np.zeros(0, np.uint64)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+    """left (of so many rows) joined with right, which has one row of each key; a hot key's rows are dealt over several tasks.
+
+    Rows of left are counted by key, pre-aggregated. A key with more than `chunk` rows is dealt over as many parts as it has
+    chunks, and right's row of it is repeated for each. There are at most HOT_KEYS such keys, so their list may be broadcast.
+    """
+    chunk = max(CHUNK, -(-rows // HOT_KEYS))
+    if rows <= chunk:
+        return left.join(right, keys, how)
+    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk)
+    hot = F.broadcast(counted.select(*keys, F.ceil(F.col("_rows") / chunk).cast("long").alias("_parts")))
+    parts = F.coalesce("_parts", F.lit(1).cast("long"))
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    copies = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    return dealt.join(copies, [*keys, "_part"], how).drop("_part")
+
+
+def running_sums(rows: DataFrame, keys: list[str], group: str, order: list[str], value: str) -> DataFrame:
+    """rows with `before`: the sum of value over the rows with equal keys that stand earlier by (group, *order).
+
+    group counts from 0. Sums run within groups, over the groups of a stretch, and over stretches, so no task sums a whole
+    key. Keys must not be null.
+    """
+
+    def earlier(name: str, by: list[str], *order: str) -> Column:
+        return F.coalesce(F.sum(name).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+
+    groups = rows.groupBy(*keys, group).agg(F.sum(value).alias("_m")).withColumn("_s", F.floor(F.col(group) / STRETCH))
+    stretches = groups.groupBy(*keys, "_s").agg(F.sum("_m").alias("_t")).select(*keys, "_s", earlier("_t", keys, "_s").alias("_over"))
+    groups = groups.withColumn("_in", earlier("_m", [*keys, "_s"], group)).join(stretches, [*keys, "_s"]).select(*keys, group, (F.col("_in") + F.col("_over")).alias("_base"))
+    summed = rows.withColumn("before", earlier(value, [*keys, group], *order)).join(groups, [*keys, group])
+    return summed.withColumn("before", F.col("before") + F.col("_base")).drop("_base")
+
+
+def ranked(rows: DataFrame, column: str) -> DataFrame:
+    """rows with `rank`, the number of rows with a smaller value of the column: unique, not null.
+
+    A bounded sample of values only sets where the groups begin in which rows are numbered; ranks are exact.
+    """
+    bounds = sorted(r[0] for r in rows.select(column).orderBy(F.xxhash64(column)).limit(1000).collect())
+    group = F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<string>"), lambda b: b <= F.col(column))).cast("long")
+    return running_sums(rows.withColumn("_g", group).withColumn("_one", F.lit(1)), [], "_g", [column], "_one").drop("_g", "_one").withColumnRenamed("before", "rank")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge (a, b); component is the smallest node that links reach.
 
-    Each round points every node to its smallest neighbour, follows the pointers twice, and contracts the edges.
-    Minima are pre-aggregated, hubs only occur in plain joins, and each round's tables are written to the shared folder.
-    Empty edges give no rows.
+    Each round points every node to its smallest neighbour, doubles the pointers until all end at a root, and contracts the
+    edges to the roots, of which at least half go. Minima are pre-aggregated and hubs' rows are dealt over several tasks.
+    Each step's table is written to the shared folder; those no later step needs are deleted. Empty edges give no rows.
     """
     edges = stash(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
+    n, rounds = edges.count(), []
+    while n:
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("node", "to")
-        up = both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up"))
-        for _ in range(2):
-            up = up.join(up.toDF("up", "top"), "up").select("node", F.col("top").alias("up"))
-        up = stash(up, "pointers")
-        if labels is None:
-            labels = up.toDF("node", "component")
-        else:
-            moved = up.toDF("component", "top")
-            labels = labels.join(moved, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-        labels = stash(labels, "labels")
-        edges = (
-            edges.join(up.toDF("a", "ra"), "a").join(up.toDF("b", "rb"), "b").where("ra <> rb")
-            .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        )
-        edges = stash(edges, "edges")
-    if labels is None:
+        up = stash(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), "pointers")
+        nodes, moved = up.count(), True
+        while moved:
+            step = split_join(up.select("node", "up"), up.select(F.col("node").alias("up"), F.col("up").alias("top")), ["up"], nodes)
+            step = stash(step.select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "pointers")
+            moved = not step.where("moved").isEmpty()
+            discard(up)
+            up = step
+        up = up.select("node", "up")
+        rounds.append((up, nodes))
+        at_a, at_b = (up.toDF(c, f"r{c}") for c in "ab")
+        left = split_join(split_join(edges, at_a, ["a"], n), at_b, ["b"], n).where("ra <> rb")
+        left = stash(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(edges)
+        edges, n = left, left.count()
+    if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    found, _ = rounds.pop()
+    while rounds:  # from the last round's roots back to the first round's nodes
+        up, nodes = rounds.pop()
+        found = split_join(up, found.toDF("up", "top"), ["up"], nodes, "left").select("node", F.coalesce("top", "up").alias("up"))
+    return found.toDF("node", "component")
