@@ -334,6 +334,19 @@ def test_buckets_are_optimal(rows, buckets):
     assert cost(packing.best_boundaries(n, c, n * c, buckets)) == best
 
 
+def test_buckets_of_long_lengths():
+    """Every length is a boundary to choose, however long; against the plain recurrence."""
+    rng = np.random.default_rng(3)
+    n = np.unique(np.concatenate((rng.integers(1, 400, 150), rng.integers(15000, 60000, 250))))
+    k = rng.integers(1, 50, len(n))
+    c = np.concatenate(([0], np.cumsum(k)))
+    cost = np.where(np.arange(len(n) + 1) == 0, 0.0, np.inf)
+    for _ in range(6):
+        cost = np.array([0.0] + [min(cost[i] + n[j - 1] * (c[j] - c[i]) for i in range(j)) for j in range(1, len(n) + 1)])
+    ends = packing.best_boundaries(n, k, n * k, 6)
+    assert len(ends) <= 6 and ends[-1] == n[-1] and (np.array(ends)[np.searchsorted(ends, n)] * k).sum() == cost[-1]
+
+
 def test_packing(docs, odd, empty):
     rows = packing.pack(docs, buckets=6, budget=3000).collect()
     batches = defaultdict(list)
