@@ -73,6 +73,12 @@ def arrow_batches(spark: SparkSession, size: int):
         spark.conf.set(key, before)
 
 
+def words(text: str = "text") -> Column:
+    """The number of words of a text, 0 for null: what is left when each word is one letter and white space is gone."""
+    marks = F.translate(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), WORDS, "w"), "\t\n\x0b\f\r ", "")
+    return F.length(marks).cast("long")
+
+
 def bind(value: Column, body) -> Column:
     """body(value) with the value computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

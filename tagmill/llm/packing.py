@@ -6,16 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import WORDS, running_sums, stash
+from tagmill.llm.common import running_sums, stash, words
 
 #: Documents of one group that a task numbers.
 GROUP = 2048
 
 
-def words(text: str = "text") -> Column:
-    return F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORDS)).cast("long")
-
-
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
     """Upper ends of at most `buckets` groups of ascending lengths, with the least total of counts * end - tokens.
 
