@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -321,6 +322,57 @@ def test_more_sources_than_blocks(spark):
     assert len(sources) == 600 and min(sources.values()) >= 1 and len(shards) == 4 and len(set(shards.values())) == 1
 
 
+@pytest.mark.parametrize("n,m,d", [(20, 7, 10), (9, 9, 4), (12, 0, 6), (400, 30, 200), (50000, 20000, 25000)])
+def test_draws_follow_hypergeometric_odds(spark, n, m, d):
+    """The distribution function at every grid point u is the exact one: outcomes cover intervals of u as long as their odds."""
+    from pyspark.sql import functions as F
+
+    grid = 20000
+    rows = spark.range(grid).select(F.expr(mixture.hypergeometric(f"{n}", f"{m}", f"{d}", f"((id + 0.5D) / {grid})")).alias("x")).groupBy("x").count().collect()
+    low, high = max(0, d + m - n), min(d, m)
+    assert all(low <= r.x <= high for r in rows) and sum(r["count"] for r in rows) == grid
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    found = {r.x: r["count"] / grid for r in rows}
+    for x in range(low, high + 1):
+        odds = math.exp(log(m, x) + log(n - m, d - x) - log(n, d))
+        assert abs(found.get(x, 0) - odds) < 1.5 / grid + 1e-6
+
+
+def test_groups_of_sources_are_drawn_exactly(spark, monkeypatch):
+    """Many sources, of which a draw takes few at a time, over many shards: every quota and every shard adds up."""
+    monkeypatch.setattr(mixture, "SOURCES", 7)
+    monkeypatch.setattr(mixture, "GROUP", 3)
+    targets = mixture.source_targets(spark.createDataFrame([(f"s{k:03}", 1 + k * k % 997, 10) for k in range(90)] + [(None, 5, 1)], "source string, source_size long, n long"))
+    quotas = mixture.shard_quotas(targets, 32, 16).collect()
+    shards, sources = Counter(), Counter()
+    for q in quotas:
+        shards[q.shard] += q.blocks
+        sources[q.source] += q.blocks
+    assert len(shards) == 32 and set(shards.values()) == {16} and len(sources) == 91
+    total = sum(r.target for r in targets.collect())
+    for r in targets.collect():
+        assert abs(sources[r.source] - 1 - r.target / total * (512 - 91)) <= 1.5
+    dealt = mixture.block_shards(spark.createDataFrame(quotas)).collect()
+    assert Counter((r.k, r.shard) for r in dealt) == {("t" if q.source is None else "s" + q.source, q.shard): q.blocks for q in quotas} and len({(r.k, r.block) for r in dealt}) == 512
+
+
+def test_shards_lie_whole_and_in_order(docs):
+    from pyspark.sql import functions as F
+
+    rows = mixture.mixed_documents(docs, shard_words=20000).select("doc_id", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")).orderBy("at").collect()
+    where, sizes = defaultdict(list), Counter()
+    for r in mixture.mix(docs, shard_words=20000).collect():
+        for p in r.placements:
+            where[p.shard].append((p.order, r.doc_id))
+            sizes[p.shard] += r.size
+    assert len(where) == 32 and max(sizes.values()) < 3 * sum(sizes.values()) / 32
+    want = {s: [i for _, i in sorted(x)] for s, x in where.items()}
+    found = defaultdict(list)
+    for r in rows:
+        found[r.part].append(r.doc_id)
+    assert {p: found[p] for p in found} == want
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 60), st.integers(1, 5)), min_size=1, max_size=9, unique_by=lambda x: x[0]), st.integers(1, 4))
 def test_buckets_are_optimal(rows, buckets):
