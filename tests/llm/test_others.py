@@ -48,6 +48,32 @@ def test_vectors_equal_brute_force(spark):
     assert vectors.near_vectors(frame.where("false")).count() == 0
 
 
+def test_doubtful_pairs_and_repeated_ids(spark):
+    """Cosines all around the threshold, several vectors under one id, rows without one, and a very common vector."""
+    rng = np.random.default_rng(8)
+    first = rng.normal(size=16)
+    first /= np.linalg.norm(first)
+    other = rng.normal(size=(500, 16))
+    other -= np.outer(other @ first, first)
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = 0.9 + rng.normal(size=500) * 1e-3
+    x = np.concatenate(([first], first * cosine[:, None] + other * np.sqrt(1 - cosine**2)[:, None], [first] * 600))
+    ids = [k // 2 for k in range(len(x))]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = u @ u.T >= 0.9
+    np.fill_diagonal(linked, False)
+    label = np.array(ids)
+    while True:
+        new = np.array([min([label[i], *label[linked[i]]]) for i in range(len(x))])
+        if (new == label).all():
+            break
+        label = new
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in zip(ids, x, strict=True)] + [(None, [1.0] * 16)], "vec_id long, embedding array<double>")
+    rows = sorted(tuple(r) for r in vectors.near_vectors(frame, 0.9, block=100).where("vec_id is not null").collect())
+    assert rows == sorted((i, int(linked[k].sum()), int(label[k]), bool(label[k] == i)) for k, i in enumerate(ids))
+    assert vectors.near_vectors(frame, 0.9).where("vec_id is null").first()[1:] == (0, None, True)
+
+
 def test_chained_vectors_of_one_large_block(spark):
     """Links that steps of one tile find one after another, between clusters that chains join."""
     rng = np.random.default_rng(5)
