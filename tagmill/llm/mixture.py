@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import ranked, running_sums, small, stash, words
+from tagmill.llm.common import BROADCAST_ROWS, ranked, running_sums, small, split_join, stash, words
 
 #: Fixed values of the query's contract: the repeating weights, the mix's share of all sizes, and the most a source repeats.
 WEIGHTS, SHARE, MOST = (5, 2, 1), 1.5, 2.0
@@ -174,7 +174,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     plan = stash(block_shards(quotas, seed), "blocks")
     known = targets.select("k", "source_size", "n", "target").join(keyed(quotas.groupBy("source").agg(F.sum("blocks").alias("quota"))).drop("source"), "k", "left")
 
-    line = sized.join(known, "k").withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
+    n_sources, n_docs = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    line = sized.join(F.broadcast(known), "k") if n_sources <= BROADCAST_ROWS else split_join(sized, known, ["k"], n_docs)
+    line = line.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     line = line.withColumn("g", F.floor((F.col("key") / F.lit(float(1 << 64)) + 0.5) * F.ceil(F.col("n") / GROUP)))
     line = running_sums(line, ["k"], "g", ["key", "doc_id", "size"], "size")
 
