@@ -228,6 +228,59 @@ def test_surrogates(spark):
     assert (out[3].text, out[4].text, out[5].text) == ("clean", None, "")
 
 
+def test_surrogates_keep_types_and_persons(spark):
+    texts = [
+        "password=пароль password=!!!! password=пароль1 password=1234", "Mr. John Smith met Mr. Smith and Mr. SMITH. John Smith left, said Smith; Dr. John Smith and Prof. Dr. Smith stayed. Blacksmith. Miss Jane Doe",
+        "DE89370400440532013000, GB29 NWBK 6016 1331 9268 19", "10.1.2.3 192.168.1.7 172.20.1.1 127.0.0.1 8.8.8.8", "+49 30 123456 and +44 20 7946 0958 and +380 44 123 4567", "Κύριος Νίκος Παππάς, श्री अजय शर्मा, السيد أحمد حسن",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.replace_entities(docs, "k").collect()}
+    out = {k: r.text for k, r in rows.items()}
+    old, new = texts[0].split(), out[0].split()
+    assert len(set(new)) == 4 and not set(old) & set(new) and all(n.startswith("password=") for n in new) and re.fullmatch(r"password=[а-я]{6}", new[0]) and "пароль" not in out[0]
+    given, family = re.match(r"Mr\. (\w+) (\w+) met", out[1]).groups()
+    assert out[1].startswith(f"Mr. {given} {family} met Mr. {family} and Mr. {family.upper()}. {given} {family} left, said {family}; Dr. {given} {family} and Prof. Dr. {family} stayed. Blacksmith. Miss ")
+    assert given in pii.NAMES["latin", "male"] and not re.search("John|Smith|Jane|Doe", out[1])
+    for a, b in zip(texts[2].split(", "), out[2].split(", "), strict=True):
+        plain = b.replace(" ", "")
+        assert a[:2] == b[:2] and a != b and [k for k, c in enumerate(a) if c == " "] == [k for k, c in enumerate(b) if c == " "]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    blocks = [re.match(x, y) for x, y in zip((r"10\.", r"192\.168\.", r"172\.(1[6-9]|2\d|3[01])\.", r"127\.", r"(?!10\.)[1-8]\d\."), out[3].split(), strict=True)]
+    assert all(blocks) and not set(texts[3].split()) & set(out[3].split())
+    assert re.fullmatch(r"\+49 \d\d \d{6} and \+44 \d\d \d{4} \d{4} and \+380 \d\d \d{3} \d{4}", out[4]) and "123456" not in out[4]
+    assert re.fullmatch(r"Κύριος [\u0370-\u03FF\u1F00-\u1FFF]+ [\u0370-\u03FF]+, श्री [\u0900-\u097F]+ [\u0900-\u097F]+, السيد [\u0600-\u06FF]+ [\u0600-\u06FF]+", out[5])
+    assert not re.search("Νίκος|Παππάς|अजय|शर्मा|أحمد|حسن", out[5])
+
+
+def test_surrogates_equal_brute_force(spark):
+    """Over a corpus of many repeated mentions: what stands between them is untouched, equal entities have one surrogate
+    everywhere, different ones different ones, and none is an entity of the corpus."""
+    rng = np.random.default_rng(12)
+    stems = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(400)]
+    pools = {
+        "email": [f"{s}@{t}.org" for s, t in zip(stems, stems[1:], strict=False)], "ip": [f"192.168.{a}.{b}" for a, b in rng.integers(1, 250, (300, 2))], "card": [f"4{k:015}" for k in rng.integers(0, 10**15, 300)],
+        "ssn": [f"{k // 10**6:03}-{k // 10**4 % 100:02}-{k % 10**4:04}" for k in rng.integers(0, 10**9, 300)], "phone": [f"+1 ({k // 10**7}) {k // 10**4 % 1000:03}-{k % 10**4:04}" for k in rng.integers(2 * 10**9, 10**10, 300)],
+        "key": [f"password={s}" for s in stems], "male": [f"Mr. {s.title()}" for s in stems], "female": [f"Ms. {s.upper()}" for s in stems],
+    }
+    texts = [" | ".join(str(rng.choice(pools[k])) for k in rng.choice(list(pools), 6)) for _ in range(1500)]
+    rows = {r.doc_id: r for r in pii.replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").collect()}
+
+    def entity(kind, value):
+        value = re.sub(r"^(Mr\. |Ms\. |password=)", "", value)
+        return ("family" if kind in ("male", "female") else kind, value.lower() if kind != "key" else value)
+
+    found = defaultdict(set)
+    for k, text in enumerate(texts):
+        old, new = text.split(" | "), rows[k].text.split(" | ")
+        assert len(old) == len(new) == rows[k].n_entities
+        for a, b, kind in zip(old, new, rows[k].kinds, strict=True):
+            assert a in pools[kind] and re.sub(r"\w", "", a) == re.sub(r"\w", "", b) or kind == "email"
+            found[entity(kind, a)].add(entity(kind, b))
+    assert all(len(v) == 1 for v in found.values())
+    drawn = [next(iter(v)) for v in found.values()]
+    assert len(set(drawn)) == len(drawn) and not set(drawn) & set(found)
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than the lists hold without repetition, and surrogates that would be entities."""
     docs = spark.createDataFrame([(k, f"Mr. Name{chr(97 + k // 26 % 26)}{chr(97 + k % 26)}{chr(97 + k // 676)} met 10.0.{k // 250}.{k % 250}") for k in range(3000)], "doc_id long, text string")
