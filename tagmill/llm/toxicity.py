@@ -246,8 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
 
     Class counts use parts 0 and 1 of the labelled ids, the calibration part 3, so it sees texts whose counts it did not
     make; its rows are weighted to each class's true count. The driver gets the table of at most CELLS counts and at
-    most 2 * fit_rows rows of features. Without
-    labels of both classes every score is 0.5 or the known class's share.
+    most 2 * fit_rows rows of features. Unless calibration has labels of both classes every score is 0.
     """
     known = label_rows(labels)
     counted = common.stash(count_cells(docs, _bounded(known.where("part in (0, 1)"), train_rows)), "cells")
@@ -275,8 +274,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
     sample = pick.select("text", "toxic").mapInPandas(run, "toxic int, x array<double>").toPandas()
     rows = np.array(sorted([*x, float(t == 1)] for x, t in zip(sample["x"], sample["toxic"], strict=True)), dtype=np.float64).reshape(-1, FEATURES + 1)
     x, y = rows[:, :-1], rows[:, -1]
-    if not len(x):
-        return Model(ratio, np.zeros(FEATURES), np.ones(FEATURES), np.zeros(FEATURES + 1))
+    if not (y == 1).any() or not (y == 0).any():  # nothing tells the classes apart, so nothing is found toxic
+        return Model(ratio, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -50.0])
     weight = np.where(y == 1, stands.get(True, 1.0), stands.get(False, 1.0))
     mean = np.average(x, axis=0, weights=weight)
     scale = np.maximum(np.sqrt(np.average((x - mean) ** 2, axis=0, weights=weight)), 1e-9)
@@ -316,6 +315,10 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, *
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The documents below the threshold, with all their columns."""
+    """The documents below the threshold, with all their columns.
+
+    Null, empty and blank texts have the score of texts without evidence, rows without a doc_id are judged like others, and
+    repeated rows alike. An empty table gives no rows.
+    """
     score = scorer(docs, train(docs, labels, **options))
-    return docs.withColumn("_score", score("text")).where(F.col("_score") < threshold).drop("_score")
+    return docs.where(score("text") < threshold)
