@@ -43,8 +43,19 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns: one for each text, that of the smallest doc_id."""
-    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.withColumn("_sha", F.sha2(normalised(), 256))
-    on = marked["doc_id"].eqNullSafe(kept["_id"]) & (marked["_sha"] == kept["_sha"])
-    return marked.join(kept, on, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    """The documents that stay, with all their columns: one for each text, that of the smallest doc_id.
+
+    Null, empty and blank texts: null and empty ones are equal, and one stays. Of rows that repeat both doc_id and text the one
+    with the smallest hash of its columns stays (any, if those are equal), so reruns agree. An empty table gives no rows.
+    """
+    kept = exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    kept = stash(kept, "kept")
+    twice = stash(kept.groupBy("id", "sha").count().where("count > 1").drop("count"), "repeated")
+    kept = kept.distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(normalised(), 256).alias("text_sha"))
+    on = F.col("row.doc_id").eqNullSafe(F.col("id")) & (F.col("text_sha") == F.col("sha"))
+    if twice.isEmpty():
+        return rows.join(kept, on, "left_semi").select("row.*")
+    single = rows.join(kept.join(twice, ["sha"], "left_anti"), on, "left_semi").select("row")
+    several = rows.join(kept.join(twice, ["sha"], "left_semi"), on).groupBy("text_sha").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return single.unionByName(several).select("row.*")
