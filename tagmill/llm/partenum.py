@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import arrow_batches, connected_components, mix, shingle_sets, small, stash
+from tagmill.llm.common import arrow_batches, connected_components, discard, mix, shingle_sets, small, split_join, stash
 
 #: Sizes from one band's start to its end grow by this factor.
 BAND = 1.5
@@ -175,19 +175,47 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int
 
     # Sizes and sketches first: they are a fortieth of the sets, and most pairs that only share a passage end here.
     sketches = sketches.select("doc_id", "n", "parity")
-    likely = pairs.join(sketches.toDF("a", "na", "pa"), "a").join(sketches.toDF("b", "nb", "pb"), "b")
+    count = pairs.count()
+    likely = split_join(split_join(pairs, sketches.toDF("a", "na", "pa"), ["a"], count), sketches.toDF("b", "nb", "pb"), ["b"], count)
     likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
     wanted = stash(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
     sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
-    joined = likely.join(sides.toDF("a", "ma"), "a").join(sides.toDF("b", "mb"), "b").select("a", "b", "ma", "mb")
-    return stash(joined.mapInArrow(run, "a long, b long"), "links")
+    count = likely.count()
+    joined = split_join(split_join(likely, sides.toDF("a", "ma"), ["a"], count), sides.toDF("b", "mb"), ["b"], count).select("a", "b", "ma", "mb")
+    links = stash(joined.mapInArrow(run, "a long, b long"), "links")
+    discard(likely, wanted, sides)
+    return links
+
+
+def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, cid) in order: (sig, cid, hub, false) of every member of a signature after its first, the hub; and
+    (sig, hub, hub, true) of the partition's first and last signature, whose members may go on in other partitions."""
+
+    def emit(sig, cid, hub, edge: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(cid, pa.int64()), pa.array(hub, pa.int64()), pa.array(np.full(len(sig), edge))], names=["sig", "cid", "hub", "edge"])
+
+    last: tuple[int, int] | None = None
+    for batch in batches:
+        sig, cid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sig):
+            continue
+        first = last is None
+        start = np.r_[first or sig[0] != last[0], sig[1:] != sig[:-1]]
+        at = np.maximum.accumulate(np.where(start, np.arange(len(sig)), -1))
+        hub = np.where(at >= 0, cid[at], 0 if first else last[1])
+        if first:
+            yield emit(sig[:1], hub[:1], hub[:1], True)
+        yield emit(sig[~start], cid[~start], hub[~start], False)
+        last = int(sig[-1]), int(hub[-1])
+    if last is not None:
+        yield emit([last[0]], [last[1]], [last[1]], True)
 
 
 def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that share a signature and that sizes and parity sketches leave possible.
 
-    open_ has (sig, cid, component) without each signature's hub, whose pairs are verified already. Signatures with the same
+    open_ has (sig, cid, component) without those hubs whose pairs are all verified already. Signatures with the same
     members are taken once. Members are dealt into tiles, so that no key of the join has more than two tiles of rows; what
     the join's condition rules out is never written.
     """
@@ -198,7 +226,7 @@ def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     spans = spans.where("lo <> hi").groupBy("m", "first", "f1", "f2").agg(F.min("sig").alias("sig"))
     spans = spans.select("sig", F.ceil(F.col("m") / TILE).cast("long").alias("g"))
     dealt = (
-        open_.join(spans, "sig").join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
+        split_join(open_, spans, ["sig"], open_.count()).join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
         .withColumn("t", F.pmod(F.xxhash64("cid"), F.col("g")))
         .withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         .select("sig", F.least("t", "h").alias("ti"), F.greatest("t", "h").alias("tj"), "t", "cid", "component", "n", "parity")
@@ -224,8 +252,9 @@ def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int
        level are enumerated, by bands of set sizes, so that similar sets are certain to share one signature. Subsets
        without members are no evidence and are left out; a set with too many of them draws further partitionings until it
        has enough others.
-    3. One shuffle brings equal signatures together. Each member is paired with the smallest id of its signature, not
-       with every other member; distinct pairs are verified by exact intersection and joined into components.
+    3. Ranges of (signature, class) bring equal signatures together, a hot one's over several tasks. Each member is paired
+       with the first of its signature in its task, and these with the smallest of all, not every member with every
+       other; distinct pairs are verified by exact intersection and joined into components.
     4. Signatures that still span several components are compared across those components, in tiles of bounded size;
        rigorous size and parity-sketch bounds drop impossible pairs, the rest are verified exactly. Pairs within a
        component can't change it. So no link between different components is lost.
@@ -243,16 +272,20 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     filled = members.where("n > 0 and doc_id is not null")
     classes = filled.groupBy(*key).agg(F.min("doc_id").alias("cid"))
 
-    signed = _sketch(docs, width, num, den).where("n > 0 and doc_id is not null")
-    signed = signed.groupBy(*key).agg(F.min_by("sigs", "doc_id").alias("sigs"), F.min("doc_id").alias("cid"))
-    rows = signed.select("cid", F.explode("sigs").alias("sig"))
-    same = "(partition by sig)"
-    rows = rows.selectExpr("sig", "cid", f"min(cid) over {same} as hub", f"max(cid) over {same} as top").where("hub <> top").select("sig", "cid", "hub")
-    rows = stash(rows, "signatures")
-
-    pairs = rows.where("cid <> hub").select(F.col("hub").alias("a"), F.col("cid").alias("b")).distinct()
-    pairs = stash(pairs, "pairs")
-    wanted = stash(rows.select(F.col("cid").alias("doc_id")).distinct(), "wanted")
+    first = stash(classes.select(F.col("cid").alias("doc_id")).distinct(), "classes")
+    texts = docs.select("doc_id", "text").join(small(first, first.count()), "doc_id", "left_semi")
+    signed = stash(_sketch(texts, width, num, den).where("n > 0").select("doc_id", "sigs"), "signed")
+    spread = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("cid")).repartitionByRange("sig", "cid").sortWithinPartitions("sig", "cid")
+    rows = stash(spread.mapInArrow(_sharing, "sig long, cid long, hub long, edge boolean"), "signatures")
+    discard(signed, first)
+
+    # The few signatures that go on from one task to the next: their first members are paired with the smallest of all.
+    parted = rows.where("edge").groupBy("sig").agg(F.min("hub").alias("top"), F.max("hub").alias("last")).where("top <> last").select("sig", "top")
+    edges = rows.where("edge").join(F.broadcast(parted), "sig").select("sig", "cid", "top").distinct()
+    pairs = rows.where("not edge").select(F.col("hub").alias("a"), F.col("cid").alias("b"))
+    pairs = stash(pairs.union(edges.select("top", "cid")).where("a <> b").distinct(), "pairs")
+    members_of = rows.where("not edge").select("sig", "cid").union(edges.select("sig", "cid"))
+    wanted = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
     sketches = stash(_sketch(texts, width, parity=True), "sketches")
     links = _verified(docs, pairs, sketches, width, num, den)
@@ -262,19 +295,23 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         named = parts.withColumnRenamed("node", "cid")
         return ids.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
-    more = _crossing(placed(rows.where("cid <> hub").select("sig", "cid"), parts), sketches, num, den)
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    more = _verified(docs, stash(more, "pairs"), sketches, width, num, den)
+    more = _crossing(placed(members_of, parts), sketches, num, den)
+    more = stash(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = _verified(docs, more, sketches, width, num, den)
     if not more.isEmpty():
         parts = connected_components(links.union(more))
 
     named = placed(classes, parts).select(*key, F.col("component").alias("component_id"))
-    found = members.where("n > 0 and doc_id is not null").join(named, key).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = split_join(filled, named, key, members.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = members.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(rest)
 
 
 def keep_one_of_each(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents that are the smallest doc_id of their component, with all their columns."""
-    kept = jaccard_components(docs, width, num, den).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    """The documents that are the smallest doc_id of their component, with all their columns.
+
+    Texts without words, null ones among them, and rows without a doc_id stay. Rows that repeat a doc_id stay or go together.
+    """
+    kept = jaccard_components(docs, width, num, den).where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.join(kept, F.col("row.doc_id").eqNullSafe(F.col("id")), "left_semi").select("row.*")
