@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from tagmill.llm import exactdedup, lengths, mixture, packing, partenum, pii, toxicity
+from tagmill.llm import common, exactdedup, lengths, mixture, packing, partenum, pii, toxicity
 
 SF = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -484,11 +484,40 @@ def test_pipeline(spark):
 
 
 def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
+    """Every stage on nulls, empty and long texts, repeats, no rows, and columns named like the operators' own."""
+    from pyspark.sql import functions as F
+
     spark.createDataFrame([(4, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    for table in (odd, empty):
-        docs = table.select("doc_id", "text", "lang", "source", "n_chars")
+    names = ("_id", "_p", "_sha", "_score", "id", "sha", "row", "order", "shard", "k", "key", "before", "taken", "size", "component", "_part", "score", "count")
+    wide = odd.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    for table in (wide, wide.where("false")):
+        docs = table
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, str(tmp_path))
-            assert name == "packing" or out.columns == docs.columns
-            docs = out
-        docs.collect()
+            assert name == "packing" or out.columns == table.columns
+            docs = common.stash(out, "stage")
+            assert (docs.count() > 0) == (table is wide)
+            if name == "exact dedup" and table is wide:
+                left = docs.select("doc_id", "text", "_sha").collect()
+                assert {r._sha for r in left} == {2} and sorted((r.doc_id for r in left if r.doc_id), key=int) == [1, 3, 4, 6, 7, 8, 9, 10, 11]
+
+
+def test_of_repeated_rows_the_same_one_stays(spark):
+    rows = spark.createDataFrame([(1, "a  b", "x"), (1, "a b", "y"), (2, "a b", "z"), (1, "c", "u"), (3, None, "v"), (3, "", "w")], "doc_id long, text string, note string")
+    left = [sorted(map(str, exactdedup.keep_first(t).collect())) for t in (rows, rows.repartition(3), rows.orderBy("note", ascending=False))]
+    assert left[0] == left[1] == left[2] and len(left[0]) == 3
+
+
+def test_hot_signatures_are_split(spark):
+    """One family of thousands of near copies that share their signatures, over many partitions."""
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*words, f"x{rng.integers(0, 10**6)}"])) for k in range(3000)] + [(k, f"only one {k} of its kind") for k in range(3000, 3400)]
+    spark.conf.set("spark.sql.shuffle.partitions", 40)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.doc_id: r.component_id for r in partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert all(found[k] == 0 for k in range(3000)) and all(found[k] == k for k in range(3000, 3400))
