@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import stash
+from tagmill.llm.common import discard, stash
 
 #: Schemas of the calls that tool_traffic derives: field -> (type, required). Types: string, number, boolean, array, object.
 SCHEMAS = {
@@ -70,8 +70,10 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without known dependencies, else one more than the highest dependency; null on or behind a cycle.
 
     Chains (calls with one dependency) are followed by pointer doubling, in as many rounds as the logarithm of the longest.
-    What is left are calls with several dependencies; each round gives a level to those whose dependencies all have one,
-    in as many rounds as such calls nest. Every round is a join on ids, written to the shared folder.
+    What is left are calls with several dependencies; each round gives a level to those whose dependencies all have one.
+    So there are as many rounds as the longest path has calls with several dependencies, whatever lies between
+    them and however many calls there are: at most the number of such calls of one conversation. Every round is a join on
+    ids of the calls still open, written to the shared folder; tables that no later round reads are deleted.
     """
     key = F.struct("conv_id", "call_id")
     nodes = stash(calls.select(key.alias("k"), "depends_on").dropDuplicates(["k"]), "nodes")
@@ -101,7 +103,9 @@ def topological_levels(calls: DataFrame) -> DataFrame:
         if ready.isEmpty():
             break
         done = done.union(ready)
-        many = stash(many.join(ready.select("k"), "k", "left_anti"), "many")
+        left = stash(many.join(ready.select("k"), "k", "left_anti"), "many")
+        discard(many)
+        many = left
     chained = chain.join(done.select(F.col("k").alias("up"), "level"), "up").select("k", (F.col("level") + F.col("dist")).alias("level"))
     return nodes.select("k").join(done.union(chained), "k", "left").select("k.conv_id", "k.call_id", "level")
 
@@ -110,21 +114,24 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas=SCHEMAS) -> DataFra
     """One row per call, or per id of results without a call: conv_id, call_id, name, status, level, errors, json.
 
     Calls (conv_id, call_id, name, arguments, depends_on) and results (conv_id, call_id, content) are joined on their ids by
-    a hash-partitioned full outer join. Status is linked, unanswered or orphan (a result without a call). Level orders a
+    a shuffled hash join, calls being the built side. Status is linked, unanswered or orphan (a result without a call). Level orders a
     conversation's calls topologically: sort by (level, call_id). errors lists what the schemas find wrong. json
     is one object with sorted keys, no white space and no nulls: arguments, call_id, depends_on, level, name, result.
 
     Of repeated calls of one id the smallest (name, arguments) stays, of repeated results the smallest content. Null ids
-    form no link: such rows are left out. Null or broken arguments give an error and are written as they stand.
+    form no link: such rows are left out. Null, broken and non-object arguments give the error
+    "not an object": null ones are written as null, broken ones as the string they are, others as canonical JSON.
     Dependencies on unknown calls don't count. Other columns are ignored; empty tables give no rows.
     """
     key = ["conv_id", "call_id"]
     calls = calls.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min(F.struct("name", "arguments", "depends_on")).alias("c"))
     calls = stash(calls.select(*key, "c.*", F.lit(True).alias("is_call")), "calls")
     results = results.where("conv_id is not null and call_id is not null").groupBy(*key).agg(F.min("content").alias("content"), F.lit(True).alias("is_result"))
-    both = calls.join(topological_levels(calls), key).join(results, key, "full")
+    both = results.join(calls.join(topological_levels(calls), key).hint("shuffle_hash"), key, "full")
     status = F.when(F.col("is_call").isNull(), "orphan").when(F.col("is_result").isNull(), "unanswered").otherwise("linked")
-    args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.to_json(F.struct(F.col("arguments").alias("raw"))))
+    # A string as JSON: the array of the string alone, without its brackets.
+    quoted = F.regexp_replace(F.to_json(F.array("arguments")), r"(?s)^\[(.*)\]$", "$1")
+    args = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.when(F.col("arguments").isNotNull(), quoted), F.lit("null"))
     body = F.to_json(F.struct(F.col("call_id"), F.array_sort(F.array_distinct("depends_on")).alias("depends_on"), "level", "name", F.col("content").alias("result")))
     # Keys are in order already; the arguments, as JSON of their own, stand first.
     text = F.when(F.col("is_call").isNull(), body).otherwise(F.concat(F.lit('{"arguments":'), args, F.lit(","), F.substring(body, 2, 2**31 - 1)))
