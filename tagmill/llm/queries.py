@@ -67,7 +67,7 @@ def _op2_sql() -> str:
 
     strict = " + ".join(hit(t) for t in urls.STRICT)
     soft = " + ".join(hit(t) for t in urls.SOFT)
-    weight = " + ".join(f"{w}::DOUBLE * {hit(t)}" for t, w in urls.SOFT.items())
+    weight = "round(" + " + ".join(f"{w}::DOUBLE * {hit(t)}" for t, w in urls.SOFT.items()) + ", 6)"
     return f"""
     WITH p AS (
       SELECT page_id, lower(coalesce(url, '')) AS low,
@@ -87,7 +87,7 @@ def _op2_sql() -> str:
       FROM r)
     SELECT page_id, host, path, rule,
            CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-                WHEN strict_hits > 0 OR soft_weight >= 1 THEN 'block' ELSE 'allow' END AS verdict,
+                WHEN strict_hits > 0 OR (soft_hits > 1 AND soft_weight >= 1) THEN 'block' ELSE 'allow' END AS verdict,
            strict_hits::INT AS strict_hits, soft_hits::INT AS soft_hits, soft_weight
     FROM j"""
 
