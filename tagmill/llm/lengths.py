@@ -46,7 +46,11 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encoded_length(path: str = VOCABULARY):
-    """A column function: the number of tokens of each whole text; null and empty texts have none."""
+    """A column function: the number of tokens of each whole text; null and empty texts have none.
+
+    The vocabulary must lie at the path on every machine; a missing or broken one is an error before any task starts.
+    """
+    _encoding(path)
 
     @F.pandas_udf("long")
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
