@@ -21,6 +21,16 @@ def test_urls(spark):
     assert urls.judge_urls(pages.where("false")).count() == 0
 
 
+def test_url_weights_ties_and_odd_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "http://a.org/free/deal"), (2, "http://a.org/deal/coupon/bonus"), (3, "http://a.org/gambling"), (4, "http://a.org/" + "x" * 500_000 + "/casino"), (None, "http://a.org/casino"), (6, "http://b.ab.de/xyz")], "page_id long, url string")
+    rules = (("block", "de", "/xyz"), ("allow", "ab.de", "/"), ("allow", "b.de", "/"))
+    rows = {r.page_id: r for r in urls.judge_urls(pages, rules=rules).collect()}
+    assert [rows[k].verdict for k in (1, 2, 3, 4, None)] == ["allow", "block", "allow", "block", "block"]
+    assert [rows[k].soft_weight for k in (1, 2, 3)] == [0.8, 1.0, 0.8] and (rows[6].rule, rows[6].verdict) == ("ab.de/", "allow")
+    (tmp_path / "terms.csv").write_text("term,weight\nCasino,\nfree,0.5\nfree,0.7\nporn,2\nnone,0\n")
+    assert urls.read_vocabulary(spark, str(tmp_path)) == (["casino", "porn"], {"free": 0.7})
+
+
 def test_vectors_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(60, 24))
@@ -137,6 +147,28 @@ def test_tool_calls(spark):
     assert toolcalls.link_calls(calls.where("false"), results.where("false")).count() == 0
 
 
+def test_odd_arguments_and_deep_graphs(spark):
+    """Arguments as they stand, a long text, and calls with two dependencies each, against the longest path."""
+    given = [None, "{broken", '"text"', "[1, 2]", '{"b":1,"a":null}', '{"text":"' + "x" * 300_000 + '"}']
+    rng = np.random.default_rng(1)
+    depends = [[f"c{i}" for i in {max(0, k - 1 - int(d)) for d in rng.integers(0, 6, 2)}] if k else [] for k in range(30)]
+    calls = spark.createDataFrame([(1, f"c{k}", "configure", given[k % 6], depends[k]) for k in range(30)], "conv_id long, call_id string, name string, arguments string, depends_on array<string>")
+    out = toolcalls.link_calls(calls, spark.createDataFrame([(1, "c0", "r")], "conv_id long, call_id string, content string"))
+    rows = {r.call_id: r for r in out.collect()}
+    level = {}
+    for k in range(30):
+        level[f"c{k}"] = max((level[d] + 1 for d in depends[k]), default=0)
+    assert {k: r.level for k, r in rows.items()} == level
+    want = ["null", '"{broken"', '"text"', "[1,2]", '{"a":null,"b":1}', given[5]]
+    assert all(rows[f"c{k}"].json.startswith(f'{{"arguments":{want[k]},"call_id":') for k in range(6)) and [rows[f"c{k}"].errors for k in range(4)] == [["not an object"]] * 4
+
+
+def test_link_is_a_hash_join(spark):
+    turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", "t") for k in range(6)], "conv_id long, turn int, role string, text string")
+    plan = toolcalls.link_calls(*toolcalls.tool_traffic(turns))._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "FullOuter" in plan
+
+
 def test_long_chains_of_calls(spark):
     turns = spark.createDataFrame([(1, k, "user" if k % 2 == 0 else "assistant", f"t{k}", "x") for k in range(700)] + [(2, 0, None, None, None), (None, 1, "user", "t", "x"), (3, 5, "user", None, "x")], "conv_id long, turn int, role string, text string, name string")
     rows = toolcalls.link_calls(*toolcalls.tool_traffic(turns)).collect()
