@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.text import strip
 
+#: Fixed pattern of valid urls; the messages of path_error are fixed values as well.
 URL = r"(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$"
 
 

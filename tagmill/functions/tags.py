@@ -56,17 +56,37 @@ def parse_tag_response(text: Column) -> Column:
     return F.when(F.size(strings) > 0, strings).otherwise(plain)
 
 
-def entity_summary(text: Column) -> Column:
-    """Category -> trimmed values, case-insensitively distinct keeping the first; empty categories dropped."""
+def entity_answer(text: Column) -> Column:
+    """The JSON of a model's answer: the body of its first fence if there is one, else all of it."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    parsed = F.from_json(F.when(fenced != "", fenced).otherwise(text), "map<string,array<string>>")
+    return strip(F.when(fenced != "", fenced).otherwise(text))
+
+
+def entity_error(text: Column) -> Column:
+    """Why an answer gives no entities; null if it does."""
+    json = F.try_parse_json(entity_answer(text))
+    return F.when(text.isNull(), "no answer").when(json.isNull(), "JSON parse error").when(~F.schema_of_variant(json).startswith("OBJECT"), "Expected an object")
+
+
+def entity_list(summary: Column) -> Column:
+    """The flat list (class, text) of a summary, category after category."""
+    return F.flatten(F.transform(F.map_entries(summary), lambda e: F.transform(e["value"], lambda v: F.struct(e["key"].alias("class"), v.alias("text")))))
+
+
+def entity_summary(text: Column) -> Column:
+    """Category -> trimmed values, case-insensitively distinct keeping the first; empty categories and those that are no lists dropped. A broken answer has none."""
+    body = entity_answer(text)
+    json = F.try_parse_json(body)
+    keys = F.coalesce(F.when(entity_error(text).isNull(), F.json_object_keys(body)), F.array().cast("array<string>"))
+    strings = lambda k: F.transform(F.filter(F.coalesce(F.try_variant_get(json, F.concat(F.lit("$['"), k, F.lit("']")), "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
+    parsed = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, strings(k))))
 
     def distinct(values: Column) -> Column:
         kept = F.filter(F.transform(values, strip), lambda v: v != "")
         first = lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v)))
         return F.aggregate(kept, F.array().cast("array<string>"), first)
 
-    return F.map_filter(F.transform_values(F.coalesce(parsed, F.create_map().cast("map<string,array<string>>")), lambda k, v: distinct(v)), lambda k, v: F.size(v) > 0)
+    return F.map_filter(F.transform_values(parsed, lambda k, v: distinct(v)), lambda k, v: F.size(v) > 0)
 
 
 def tier_targets(total: Column) -> Column:
@@ -85,14 +105,30 @@ def unsupported_model(name: Column) -> Column:
     return F.lower(name).rlike("|".join(u.replace(".", r"\.") for u in UNSUPPORTED))
 
 
-def build_prompt(title: Column, description: Column, text: Column, tags: Column, had: Column, hints: Column, instruction: str = "Give short English tags for retrieval.") -> Column:
-    """The model's prompt: title, description, preview, tier targets, tags already had (15 at most) and entity hints (10 each)."""
+#: Fixed quality tiers of which a prompt warns the model.
+POOR = {"low": "The text comes from a poor scan: expect wrong letters and use only what is certain.", "medium": "The text comes from a scan: correct obvious recognition errors."}
+
+
+def build_prompt(title: Column, description: Column, text: Column, tags: Column, had: Column, hints: Column, instruction: str = "Give short English tags for retrieval.", language: Column | None = None, quality: Column | None = None, excluded: Column | None = None, requested: Column | None = None) -> Column:
+    """The model's prompt: title, description, preview, tier targets, tags already had (15 at most), terms not to use, and entity hints (10 each).
+
+    A language other than English asks for translation, and a poor quality tier for care. Of the entity hints, document_type isn't
+    listed; its first value becomes one of the actions. The tiers follow `tags`, however many are requested.
+    """
     from tagmill.functions.text import content_preview, sanitize_text
 
+    none = F.lit(None).cast("string")
     t = tier_targets(tags)
-    hint = F.array_join(F.transform(F.map_entries(hints), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(F.slice(e["value"], 1, 10), ", "))), "\n")
+    listed = F.map_filter(hints, lambda k, v: (k != "document_type") & (F.size(v) > 0))
+    hint = F.array_join(F.transform(F.map_entries(listed), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(F.slice(e["value"], 1, 10), ", "))), "\n")
+    kind = F.try_element_at(F.try_element_at(hints, F.lit("document_type")), F.lit(1))
     return F.concat_ws(
-        "\n", F.lit(instruction), F.concat(F.lit("Title: "), sanitize_text(title)), F.when(strip(description) != "", F.concat(F.lit("Description: "), sanitize_text(description))),
+        "\n", F.lit(instruction), none if requested is None else F.format_string("Give exactly %d tags.", requested.cast("int")),
+        none if language is None else F.when(language != "English", F.concat(F.lit("The document is in "), language, F.lit(": translate names and terms to English."))),
+        none if quality is None else F.when(quality == "low", POOR["low"]).when(quality == "medium", POOR["medium"]),
+        F.concat(F.lit("Title: "), sanitize_text(title)), F.when(strip(description) != "", F.concat(F.lit("Description: "), sanitize_text(description))),
         F.format_string("Answer as JSON with %d names, %d subjects and %d actions.", t["names"], t["subjects"], t["actions"]),
-        F.when(F.size(had) > 0, F.concat(F.lit("Already have: "), F.array_join(F.slice(had, 1, 15), ", "))), F.when(F.size(F.map_keys(hints)) > 0, hint), content_preview(sanitize_text(text)),
+        F.when(F.size(had) > 0, F.concat(F.lit("Already have: "), F.array_join(F.slice(had, 1, 15), ", "))),
+        none if excluded is None else F.when(F.size(excluded) > 0, F.concat(F.lit("Do not use: "), F.array_join(F.array_sort(excluded), ", "))),
+        F.when(F.size(F.map_keys(listed)) > 0, hint), F.when((F.size(F.map_keys(listed)) > 0) & kind.isNotNull(), F.concat(F.lit("One of the actions is the document's type: "), kind)), content_preview(sanitize_text(text)),
     )

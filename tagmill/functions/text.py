@@ -30,6 +30,11 @@ SCRIPTS = {
 _SPACE = r"(?U)\s+"
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)^\s+|\s+$", "")
 
@@ -38,8 +43,13 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_chars(text: Column, letters: str) -> Column:
+    """How many characters are of a class (in brackets); unlike count it builds no list of them."""
+    return F.length(text) - F.length(F.regexp_replace(text, letters, ""))
+
+
 def word_count(text: Column) -> Column:
-    return count(F.coalesce(text, F.lit("")), r"(?U)\S+")
+    return F.length(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\S+", "w"), _SPACE, ""))
 
 
 def lines(text: Column) -> Column:
@@ -69,8 +79,12 @@ def strip_control(text: Column) -> Column:
 def clean_text(text: Column, max_words: int = 2500) -> Column:
     text = F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{2,}", "\n")
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
-    words = F.filter(F.split(text, _SPACE), lambda w: w != "")
-    return strip(F.when(F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")).otherwise(text))
+
+    def cut(t: Column) -> Column:
+        first = lambda words: F.when(F.size(words) > max_words, F.array_join(F.slice(words, 1, max_words), " ")).otherwise(t)
+        return bind(F.filter(F.split(t, _SPACE), lambda w: w != ""), first)
+
+    return strip(bind(text, cut))
 
 
 def has_sufficient_text(text: Column) -> Column:
@@ -90,8 +104,7 @@ def title_from_metadata(title: Column, heading: Column, text: Column) -> Column:
 
 
 def latin_extended_ratio(text: Column) -> Column:
-    text = strip(text)
-    return F.coalesce(F.try_divide(count(text, r"[\u00A0-\u024F]"), F.length(text)), F.lit(0.0))
+    return bind(strip(text), lambda t: F.coalesce(F.try_divide(count_chars(t, r"[\u00A0-\u024F]"), F.length(t)), F.lit(0.0)))
 
 
 def assess_quality(text: Column, pages: Column, confidence: Column) -> Column:
@@ -105,48 +118,55 @@ def assess_quality(text: Column, pages: Column, confidence: Column) -> Column:
 
 def ocr_reason(text: Column, pages: Column) -> Column:
     """Why recognition should be attempted, the first rule that holds; `sufficient` if none."""
-    body, n = strip(text), F.length(strip(text))
-    rows = lines(text)
-    share = F.coalesce(F.try_divide(F.size(F.filter(rows, lambda x: F.length(x) >= 40)), F.size(rows)), F.lit(0.0))
-    words = F.coalesce(F.try_divide(word_count(body), pages), F.lit(0.0))
-    return (
-        F.when(n < 200, "very little text").when(latin_extended_ratio(text) > 0.25, "garbled encoding")
-        .when(F.coalesce(F.try_divide(n, pages), F.lit(0.0)) < SCANNED_CHARS_PER_PAGE, "low density").when(n < MIN_CHARS, "below content minimum")
-        .when(F.size(rows) == 0, "no text lines").when((words < MIN_WORDS_PER_PAGE) & (share < 0.3), "sparse content").when(words < 30, "very low word density").otherwise("sufficient")
-    )
+    measures = lambda t: F.struct(F.length(t).alias("n"), lines(t).alias("rows"), F.coalesce(F.try_divide(word_count(t), pages), F.lit(0.0)).alias("words"))
+
+    def sparse(m: Column) -> Column:
+        share = F.coalesce(F.try_divide(F.size(F.filter(m["rows"], lambda x: F.length(x) >= 40)), F.size(m["rows"])), F.lit(0.0))
+        return F.when(F.size(m["rows"]) == 0, "no text lines").when((m["words"] < MIN_WORDS_PER_PAGE) & (share < 0.3), "sparse content").when(m["words"] < 30, "very low word density").otherwise("sufficient")
+
+    def reason(t: Column) -> Column:
+        n = F.length(t)
+        extended = F.coalesce(F.try_divide(count_chars(t, r"[\u00A0-\u024F]"), n), F.lit(0.0))
+        return (
+            F.when(n < 200, "very little text").when(extended > 0.25, "garbled encoding").when(F.coalesce(F.try_divide(n, pages), F.lit(0.0)) < SCANNED_CHARS_PER_PAGE, "low density")
+            .when(n < MIN_CHARS, "below content minimum").otherwise(bind(measures(t), sparse))
+        )
+
+    return bind(strip(text), reason)
 
 
 def is_gibberish(text: Column) -> Column:
     """Of the first 1000 characters: few vowels, long consonant runs, or few tokens with a vowel; other scripts: few letters."""
-    s = F.substring(text, 1, 1000)
-    low = F.lower(s)
-    ascii_letters, beyond = count(s, "[A-Za-z]"), count(s, r"[\p{L}&&[^\u0000-\u024F]]")
-    solid, letters = count(s, r"(?U)\S"), count(s, r"\p{L}")
-    plain = count(low, "[a-z]")
-    words, tokens = word_count(low), F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0))
-    voiced = F.size(F.filter(tokens, lambda t: t.rlike("[aeiou]")))
-    latin = (
-        ((plain > 50) & (F.try_divide(count(low, "[aeiou]"), plain) < 0.20))
-        | ((words > 20) & (F.try_divide(count(low, "[bcdfghjklmnpqrstvwxyz]{4,}"), words) > 0.15))
-        | ((F.size(tokens) > 20) & (F.try_divide(voiced, F.size(tokens)) < 0.60))
-    )
-    other = (solid > 50) & (F.try_divide(letters, solid) < 0.30)
-    return F.coalesce(F.when(F.length(text) < 20, False).when(beyond > ascii_letters, other).otherwise(latin), F.lit(False))
+
+    def latin(low: Column) -> Column:
+        plain, words, tokens = count_chars(low, "[a-z]"), word_count(low), F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0))
+        few = lambda t: (F.size(t) > 20) & (F.try_divide(F.size(F.filter(t, lambda x: x.rlike("[aeiou]"))), F.size(t)) < 0.60)
+        vowels = (plain > 50) & (F.try_divide(count_chars(low, "[aeiou]"), plain) < 0.20)
+        runs = (words > 20) & (F.try_divide(count(low, "[bcdfghjklmnpqrstvwxyz]{4,}"), words) > 0.15)
+        return vowels | runs | bind(tokens, few)
+
+    def judged(s: Column) -> Column:
+        solid = count_chars(s, r"(?U)\S")
+        other = (solid > 50) & (F.try_divide(count_chars(s, r"\p{L}"), solid) < 0.30)
+        return F.when(count_chars(s, r"[\p{L}&&[^\u0000-\u024F]]") > count_chars(s, "[A-Za-z]"), other).otherwise(bind(F.lower(s), latin))
+
+    return F.coalesce(F.when(F.length(text) < 20, False).otherwise(bind(F.substring(text, 1, 1000), judged)), F.lit(False))
 
 
 def is_corrupted(text: Column, legacy: list[str] = LEGACY) -> Column:
-    s = F.substring(text, 1, 1000)
-    n = F.length(s)
-    found = F.lit(False)
-    for pattern in legacy:
-        found = found | s.contains(pattern)
-    marks = F.coalesce((F.try_divide(count(s, SPECIAL), n) > 0.05) | (F.try_divide(count(s, PAIRS), n) > 0.02), F.lit(False))
-    return F.coalesce(F.when(F.length(text) < 50, False).otherwise(found | marks), F.lit(False))
+
+    def judged(s: Column) -> Column:
+        found = F.lit(False)
+        for pattern in legacy:
+            found = found | s.contains(pattern)
+        return found | F.coalesce((F.try_divide(count_chars(s, SPECIAL), F.length(s)) > 0.05) | (F.try_divide(count(s, PAIRS), F.length(s)) > 0.02), F.lit(False))
+
+    return F.coalesce(F.when(F.length(text) < 50, False).otherwise(bind(F.substring(text, 1, 1000), judged)), F.lit(False))
 
 
 def script_counts(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
-    return {name: count(text, f"[\\x{{{a:x}}}-\\x{{{b:x}}}]") for name, (a, b, _) in SCRIPTS.items()}
+    return {name: count_chars(text, f"[\\x{{{a:x}}}-\\x{{{b:x}}}]") for name, (a, b, _) in SCRIPTS.items()}
 
 
 def script_histogram(text: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +32,8 @@ def document_confidence(words: DataFrame) -> DataFrame:
 
 
 def select_best(candidates: DataFrame) -> DataFrame:
-    """(doc_id, engine, text) chosen among rows (doc_id, engine, text, confidence) of embedded, tesseract, easyocr."""
-    wide = candidates.groupBy("doc_id").pivot("engine", ["embedded", "tesseract", "easyocr"]).agg(F.first(F.struct("text", "confidence")))
+    """(doc_id, engine, text) chosen among rows (doc_id, engine, text, confidence) of embedded, tesseract, easyocr; of an engine's repeated rows the surest, then longest."""
+    wide = candidates.groupBy("doc_id").pivot("engine", ["embedded", "tesseract", "easyocr"]).agg(F.max_by(F.struct("text", "confidence"), F.struct(F.coalesce("confidence", F.lit(-1.0)), F.length(F.coalesce("text", F.lit(""))), "text")))
     size = {e: F.length(F.coalesce(F.col(f"{e}.text"), F.lit(""))) for e in ("embedded", "tesseract", "easyocr")}
     conf = F.coalesce(F.col("tesseract.confidence"), F.lit(0.0))
     bad = {e: (size[e] > 100) & is_gibberish(F.col(f"{e}.text")) for e in ("tesseract", "easyocr")}
@@ -51,3 +54,22 @@ def route_language(docs: DataFrame, detected: str = "lang") -> DataFrame:
     method = F.when(short, "image").when(known, "detected").otherwise("script")
     language = F.when(~short & known, F.col(detected)).otherwise(language_by_script(F.col("text")))
     return docs.withColumn("language", language).withColumn("method", method).join(F.broadcast(table), "language", "left")
+
+
+def detect_language(docs: DataFrame, make_detector: Callable[[], Callable[[str], str]], default: str = "hi") -> DataFrame:
+    """docs with `lang` by a user's detector, made once per task, on the first 1000 characters; the default for fewer than 20, or where it fails."""
+
+    @F.pandas_udf("string")
+    def detect(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        detector = make_detector()
+
+        def one(text: str | None) -> str:
+            try:
+                return detector(text) if text and len(text.strip()) >= 20 else default
+            except Exception:  # a detector may give up on a text
+                return default
+
+        for texts in batches:
+            yield texts.map(one)
+
+    return docs.withColumn("lang", detect(F.substring("text", 1, 1000)))

@@ -50,6 +50,27 @@ def page(df: DataFrame, limit: int, offset: int = 0, key: str = "id", newest: bo
     return df.orderBy(order, key).offset(offset).limit(limit)
 
 
+def lookup_by_id(df: DataFrame, value: object, key: str = "id") -> DataFrame:
+    """The row of an id, or none; the filter reaches the scan."""
+    return df.where(F.col(key) == value)
+
+
+def count_user_jobs(jobs: DataFrame, user: int | None) -> DataFrame:
+    return jobs.where(visible_to(user)).agg(F.count(F.lit(1)).alias("jobs"))
+
+
+def batch_summary(docs: DataFrame, *keys: str) -> DataFrame:
+    """Documents, those processed and failed, and the processed share in percent to one place."""
+    counts = docs.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") == "success").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"))
+    return counts.withColumn("success_rate", F.round(100 * F.col("processed") / F.greatest("total", F.lit(1)), 1))
+
+
+def with_result(rows: DataFrame, docs: DataFrame, key: str, doc_key: str) -> DataFrame:
+    """Rows that have any document with a result."""
+    done = docs.where(F.col("status").isin("success", "failed")).select(F.col(doc_key).alias("_done")).distinct()
+    return rows.join(done, F.col(key) == F.col("_done"), "left_semi")
+
+
 def recent_documents(docs: DataFrame, limit: int, *keys: str) -> DataFrame:
     return docs.where(F.col("status").isin("success", "failed")).orderBy(F.desc_nulls_last("processed_at"), *keys).limit(limit)
 
@@ -92,7 +113,7 @@ def running_progress(docs: DataFrame, *order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of both; where the key agrees, the new values that are not null replace the old ones."""
+    """Rows of both; where the key agrees, the new values that are not null replace the old ones. Counters are recomputed, never added to."""
     rest = [c for c in old.columns if c not in keys]
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, keys, "full")

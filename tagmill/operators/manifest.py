@@ -62,7 +62,20 @@ def attach_validation(df: DataFrame, results: DataFrame, order: str) -> DataFram
 
 
 def number_rows(df: DataFrame, *order: str, partition: Sequence[str] = ()) -> DataFrame:
-    return df.withColumn("row_number", F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
+    """Numbers from 1 by the order, which must be unique, within each partition key, or over all rows.
+
+    Without a key, rows are dealt into ranges that a bounded sample sets, numbered within them, and moved on by the counts of
+    the ranges before, so no task holds all rows. The sample only balances; numbers are exact.
+    """
+    if partition:
+        return df.withColumn("row_number", F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
+    key = F.struct(*order)
+    bounds = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(1000).agg(F.array_sort(F.collect_list("k")).alias("b"))
+    dealt = df.withColumn("_bounds", bounds.scalar()).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over at most 1,001 rows
+    starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = dealt.withColumn("row_number", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")
+    return numbered.withColumn("row_number", F.col("row_number") + F.col("_start")).drop("_range", "_start")
 
 
 def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -74,6 +87,30 @@ def insert_column(df: DataFrame, name: str, after: str) -> DataFrame:
     return df.select(*df.columns[:at], F.lit("").alias(name), *df.columns[at:])
 
 
+def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
+    return df if old in PROTECTED else df.withColumnRenamed(old, new)
+
+
+def reorder_columns(df: DataFrame, *first: str) -> DataFrame:
+    """The given columns first, the others after them in their order."""
+    return df.select(*first, *[c for c in df.columns if c not in first])
+
+
+def append_row(df: DataFrame, **values: object) -> DataFrame:
+    """One more row, numbered last: pending, without a path, empty but for the given values."""
+    filled = {"status": "pending", "title": "", "file_path": "", "description": ""} | values
+    last = df.agg(F.coalesce(F.max("row_number"), F.lit(0)).alias("row_number"))
+    cells = [(F.col("row_number") + 1 if c == "row_number" else F.lit(filled.get(c))).cast(df.schema[c].dataType).alias(c) for c in df.columns]
+    return df.unionByName(last.select(*cells))
+
+
+def filter_sort(df: DataFrame, contains: Mapping[str, str] | None = None, order: Sequence[str] = (), newest: bool = False) -> DataFrame:
+    """Rows whose columns contain the given texts, whatever their case, by the given columns."""
+    for column, text in (contains or {}).items():
+        df = df.where(F.contains(F.lower(F.col(column).cast("string")), F.lit(text.lower())))
+    return df.orderBy(*[F.desc_nulls_last(c) if newest else F.asc_nulls_last(c) for c in order]) if order else df
+
+
 def update_rows(df: DataFrame, ids: DataFrame, key: str, values: Mapping[str, object]) -> DataFrame:
     marked = df.join(ids.select(key, F.lit(True).alias("_hit")).distinct(), key, "left")
     return marked.withColumns({c: F.when(F.col("_hit"), F.lit(v)).otherwise(F.col(c)) for c, v in values.items()}).drop("_hit")

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.functions.tags import normalize_tag, tag_verdict
-from tagmill.functions.text import assess_quality, clean_text, has_sufficient_text, is_gibberish
+from tagmill.functions.text import assess_quality, bind, clean_text, has_sufficient_text, is_gibberish
 
-#: An exclusion list up to so many terms may be broadcast; beyond it the join shuffles.
-BROADCAST_TERMS = 100_000
+#: An exclusion list up to so many terms becomes a filter; up to so many it may be broadcast; beyond, the join shuffles.
+FILTER_TERMS, BROADCAST_TERMS = 2_000, 100_000
 
 
 def hyphenated(text: Column) -> Column:
@@ -18,20 +18,31 @@ def hyphenated(text: Column) -> Column:
 
 
 def covered_grams(tag: Column) -> Column:
-    """The hyphen-bounded runs of a tag's parts that cover at least half of its non-empty parts."""
-    parts = F.split(tag, "-")
-    full = F.size(F.filter(parts, lambda p: p != ""))
-    n = F.size(parts)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.slice(parts, i, j - i + 1))))
-    long_enough = F.filter(runs, lambda r: (F.size(F.filter(r, lambda p: p != "")) * 2 >= full) & (F.size(F.filter(r, lambda p: p != "")) > 0))
-    return F.array_distinct(F.concat(F.array(tag), F.transform(long_enough, lambda r: F.array_join(r, "-"))))
+    """The hyphen-bounded runs of a tag's parts that cover at least half of its non-empty parts; shorter runs are not made."""
+    filled = lambda parts: F.size(F.filter(parts, lambda p: p != ""))
+
+    def runs(x: Column) -> Column:
+        least = F.greatest(F.lit(1), F.ceil(x["full"] / 2).cast("int"))
+        n = F.size(x["parts"])
+        ends = lambda i: F.when(i + least - 1 <= n, F.sequence(i + least - 1, n)).otherwise(F.array().cast("array<int>"))
+        every = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(ends(i), lambda j: F.slice(x["parts"], i, j - i + 1))))
+        return F.transform(F.filter(every, lambda r: (filled(r) * 2 >= x["full"]) & (filled(r) > 0)), lambda r: F.array_join(r, "-"))
+
+    split = bind(F.split(tag, "-"), lambda p: F.struct(p.alias("parts"), filled(p).alias("full")))
+    return F.array_distinct(F.concat(F.array(tag), bind(split, runs)))
 
 
 def exclude_tags(tags: DataFrame, terms: DataFrame, column: str = "tag") -> DataFrame:
     """Drop tags that equal a term, or hold one on word boundaries that covers at least half of their words.
 
-    Written as an equi-join of each distinct tag's word runs with the terms, not as a test of all pairs.
+    Each tag's word runs are looked up among the terms, not all pairs tested: a short list is a set in a filter, so the tags
+    pass once and nothing is shuffled; a longer one is joined with the distinct tags' runs.
     """
+    short = terms.select(hyphenated(F.col("term")).alias("gram")).where("gram <> ''").limit(FILTER_TERMS + 1).collect()
+    if len(short) <= FILTER_TERMS:
+        listed = ", ".join("'" + t.gram.replace("\\", "\\\\").replace("'", "\\'") + "'" for t in short) or "NULL"
+        dropped = F.expr(f"coalesce(exists(_grams, g -> g IN ({listed})), false)")
+        return tags.withColumn("_grams", covered_grams(hyphenated(F.col(column)))).where(~dropped).drop("_grams")
     grams = tags.select(F.col(column).alias("_tag")).distinct().withColumn("gram", F.explode(covered_grams(hyphenated(F.col("_tag")))))
     wanted = terms.select(hyphenated(F.col("term")).alias("gram")).where("gram <> ''").distinct()
     n = wanted.limit(BROADCAST_TERMS + 1).count()
@@ -63,24 +74,63 @@ def new_tags_only(tags: DataFrame, had: DataFrame, key: str) -> DataFrame:
     return tags.withColumn("_low", F.lower("tag")).join(low, [key, "_low"], "left_anti").drop("_low")
 
 
+def _counted(text: Column) -> Column:
+    """The words of 4 letters or more of a text with their counts, an array of (tag, tf): runs of equal words, once sorted."""
+
+    def runs(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))).otherwise(F.array().cast("array<int>"))
+        return bind(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(w, p - 1).alias("tag"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - p).cast("long").alias("tf"))))
+
+    return bind(F.array_sort(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))), runs)
+
+
+def _candidates(counts: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tag, tf, df, rank) of counts (doc_id, tag, tf), which are partitioned by document.
+
+    Only words that may be among the first n go on to the join with the words' document counts: those whose tf has rank n
+    or better, ties and all, so hot words of little weight stay behind.
+    """
+    df = counts.groupBy("tag").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
+    likely = counts.withColumn("_r", F.rank().over(W.partitionBy("doc_id").orderBy(F.desc("tf")))).where((F.col("_r") <= n) & (F.col("tf") > 0)).drop("_r")
+    return top_tags(likely.join(df, "tag"), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
+
+
 def candidate_tags(docs: DataFrame, n: int = 8) -> DataFrame:
-    """(doc_id, tag, tf, df, rank): words of 4 letters or more ranked by tf, then rarity: a stand-in for a model."""
-    words = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower(F.col("text")), F.lit("[a-z]{4,}"), F.lit(0))).alias("tag"))
-    tf = words.groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("tag").agg(F.count(F.lit(1)).alias("df"))
-    return top_tags(tf.join(df, "tag"), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
+    """(doc_id, tag, tf, df, rank): words of 4 letters or more ranked by tf, then rarity: a stand-in for a model.
+
+    Words are counted within their row; one shuffle by document serves both the document counts and the ranking.
+    """
+    counts = docs.select("doc_id", F.explode(_counted(F.col("text"))).alias("w")).select("doc_id", "w.tag", "w.tf").repartition("doc_id")
+    return _candidates(counts, n)
 
 
 def tag_documents(docs: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
-    """One row per document: success, tags, error. A document without enough readable text has a stage-prefixed error."""
-    rows = docs.select("doc_id", clean_text(F.col("text")).alias("text"))
-    rows = rows.withColumn("error", F.when(~has_sufficient_text(F.col("text")), "Text extraction failed: insufficient text").when(is_gibberish(F.col("text")), "Text extraction failed: gibberish"))
-    found = candidate_tags(rows.where("error is null").select("doc_id", "text"), 3 * n).withColumn("tag", normalize_tag(F.col("tag")))
+    """One row per document: success, tags, error. A document without enough readable text has a stage-prefixed error.
+
+    Each text is cleaned and judged once, and becomes its counted words and one row for itself (tf -1, with its error in
+    the place of the tag); one shuffle by document serves all that follows.
+    """
+    short, odd = "Text extraction failed: insufficient text", "Text extraction failed: gibberish"
+
+    def entries(x: Column) -> Column:
+        own = F.array(F.struct(x["error"].alias("tag"), F.lit(-1).cast("long").alias("tf")))
+        return F.concat(own, F.when(x["error"].isNull(), _counted(x["text"])).otherwise(F.array().cast("array<struct<tag:string,tf:bigint>>")))
+
+    judged = lambda t: F.struct(t.alias("text"), F.when(~has_sufficient_text(t), short).when(is_gibberish(t), odd).alias("error"))
+    counts = docs.select("doc_id", F.explode(bind(bind(clean_text(F.col("text")), judged), entries)).alias("w")).select("doc_id", "w.tag", "w.tf").repartition("doc_id")
+    found = _candidates(counts, 3 * n).withColumn("tag", normalize_tag(F.col("tag")))
     found = exclude_tags(found.where(tag_verdict(F.col("tag")) == "valid"), terms)
     best = top_tags(first_occurrence(found, "doc_id", "rank"), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
-    listed = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
-    out = rows.join(listed, "doc_id", "left").withColumn("error", F.coalesce("error", F.when(F.col("tags").isNull(), "Tag generation failed: no tags")))
-    return out.select("doc_id", F.col("error").isNull().alias("success"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), "error")
+    rows = counts.where("tf = -1").select("doc_id", F.col("tag").alias("error"), F.lit(None).cast("struct<rank:int,tag:string>").alias("t"))
+    both = rows.unionByName(best.select("doc_id", F.lit(None).cast("string").alias("error"), F.struct("rank", "tag").alias("t")))
+    out = both.groupBy("doc_id").agg(F.max("error").alias("error"), F.transform(F.array_sort(F.collect_list("t")), lambda x: x["tag"]).alias("tags"))
+    out = out.withColumn("error", F.coalesce("error", F.when(F.size("tags") == 0, "Tag generation failed: no tags")))
+    return out.select("doc_id", F.col("error").isNull().alias("success"), "tags", "error")
+
+
+def preview_tags(tags: Column, n: int) -> Column:
+    """The first n tags, and how many more there are."""
+    return F.struct(F.slice(tags, 1, n).alias("shown"), F.greatest(F.lit(0), F.size(tags) - n).alias("more"))
 
 
 def corpus_quality(docs: DataFrame) -> DataFrame:

@@ -157,7 +157,16 @@ def route_language(spark, sf_dir):
     return extraction.route_language(_t(spark, sf_dir, "documents")).select("doc_id", "language", "method", "codes")
 
 
-@query()
+def _squeeze(sql: str) -> str:
+    return f"regexp_replace(regexp_replace({sql}, '{U_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+@query(rf"""WITH s AS (SELECT doc_id, {STRIP} AS b FROM documents),
+ h AS (SELECT doc_id, b, list_filter(list_transform(regexp_extract_all(substr(b, 1, 5000), '(?i)(?:^|\n){U_SPACE}*(?:subject|sub|re|ref|regarding|विषय)\s*[:.\-]\s*(.+)'), lambda x: {_squeeze('x')}), lambda x: len(x) BETWEEN 11 AND 299)[:3] AS h,
+ list_filter(list_transform(regexp_split_to_array(b, '\r\n|\n|\r'), lambda x: {_squeeze('x')}), lambda x: len(x) BETWEEN 35 AND 220 AND regexp_matches(x, '(?i)(?:\b(?:19|20)\d{{2}}(?:[-/]\d{{2,4}})?\b|\b[A-Z]{{2,}}(?:[-/][A-Z0-9]{{2,}})*\b)'))[:10] AS k FROM s),
+ w AS (SELECT doc_id, b, CASE WHEN len(h) > 0 THEN '[SUBJECT/HEADING]' || chr(10) || array_to_string(h, chr(10)) || chr(10) || chr(10) ELSE '' END || '[START]' || chr(10) || substr(b, 1, 4000) || chr(10) || chr(10) || '[MIDDLE]' || chr(10)
+ || substr(b, greatest(0, len(b) // 2 - 2000) + 1, 4000) || chr(10) || chr(10) || '[END]' || chr(10) || right(b, 4000) || CASE WHEN len(k) > 0 THEN chr(10) || chr(10) || '[KEY LINES]' || chr(10) || '- ' || array_to_string(k, chr(10) || '- ') ELSE '' END AS w FROM h)
+ SELECT doc_id, CASE WHEN len(b) <= 15000 THEN b WHEN len(w) > 15000 THEN regexp_replace(substr(w, 1, 15000), '{U_SPACE}+$', '') || chr(10) || '...[truncated]' ELSE w END AS preview FROM w""")
 def content_preview(spark, sf_dir):
     return _docs(spark, sf_dir, preview=text.content_preview(F.col("text")))
 
@@ -198,7 +207,11 @@ def document_confidence(spark, sf_dir):
     return extraction.document_confidence(words)
 
 
-@query()
+@query(f"""WITH g AS ({SQL['gibberish_text']}), d AS (SELECT doc_id, substr(text, 1, 150) AS e, CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END AS t, (doc_id % 101)::DOUBLE AS conf, substr(text, 1, 2000) AS y, gibberish FROM documents JOIN g USING (doc_id)),
+ m AS (SELECT *, len(t) > 100 AND gibberish AS bad_t, len(y) > 100 AND gibberish AS bad_y FROM d),
+ b AS (SELECT *, CASE WHEN conf >= 60 AND len(t) > 100 AND NOT bad_t THEN 'tesseract' WHEN CASE WHEN len(t) = 0 THEN len(y) > 0 WHEN bad_t THEN (NOT bad_y AND len(y) > 0) OR len(y) > len(t) ELSE len(y) > 0 AND len(y) >= len(t) * CASE WHEN conf < 60 THEN 0.5 ELSE 0.8 END END THEN 'easyocr'
+ WHEN len(t) > 0 THEN 'tesseract' END AS best FROM m), c AS (SELECT *, CASE WHEN best IS NULL OR CASE best WHEN 'tesseract' THEN len(t) ELSE len(y) END < len(e) THEN 'embedded' ELSE best END AS engine FROM b)
+ SELECT doc_id, engine, CASE engine WHEN 'tesseract' THEN t WHEN 'easyocr' THEN y ELSE e END AS text FROM c""")
 def select_best_extraction(spark, sf_dir):
     d = _t(spark, sf_dir, "documents")
     engines = [("embedded", F.substring("text", 1, 150), None), ("tesseract", F.when(F.col("doc_id") % 5 > 0, F.col("text")), (F.col("doc_id") % 101).cast("double")), ("easyocr", F.substring("text", 1, 2000), None)]
@@ -242,18 +255,19 @@ def tag_verdict(spark, sf_dir):
     return words.select("tag", tags.tag_verdict(F.col("tag")).alias("verdict"))
 
 
-@query("""SELECT doc_id, [w for w in regexp_extract_all(text, '[A-Za-z]+')[:6]] AS tags FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_extract_all(text, '[A-Za-z]+') ELSE list_filter(list_transform(string_split(regexp_replace(text, '[^A-Za-z,.]', ' ', 'g'), CASE WHEN contains(text, ',') THEN ',' ELSE chr(10) END), lambda x: trim(x)), lambda x: x <> '') END AS tags FROM documents""")
 def parse_tag_response(spark, sf_dir):
-    w = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
-    half = F.least(F.lit(3), F.size(w))
-    answer = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.slice(w, F.lit(1), half).alias("names"), F.slice(w, F.lit(4), F.lit(3)).alias("context"))), F.lit("\n```"))
+    w = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
+    half = F.floor(F.size(w) / 2).cast("int")
+    json = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.slice(w, F.lit(1), half).alias("names"), F.slice(w, half + 1, F.size(w)).alias("context"))), F.lit("\n```"))
+    answer = F.when(F.col("doc_id") % 3 == 0, json).otherwise(F.regexp_replace("text", "[^A-Za-z,.]", " "))
     return _docs(spark, sf_dir, answer=answer).select("doc_id", tags.parse_tag_response(F.col("answer")).alias("tags"))
 
 
-@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+')[:6], lambda x: lower(x)) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM w), f AS (SELECT doc_id, v, min(p) AS p FROM u GROUP BY ALL)
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM w), f AS (SELECT doc_id, v, min(p) AS p FROM u GROUP BY ALL)
  SELECT doc_id, list(v ORDER BY p) AS vals FROM f GROUP BY doc_id""")
 def entity_summary(spark, sf_dir):
-    w = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z]+"), F.lit(0)), 1, 6)
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z]+"), F.lit(0))
     found = _docs(spark, sf_dir, answer=F.to_json(F.struct(w.alias("words"), F.array(F.lit(" ")).alias("none"))))
     return found.select("doc_id", F.element_at(tags.entity_summary(F.col("answer")), F.lit("words")).alias("vals")).where("vals is not null")
 
@@ -304,7 +318,17 @@ def candidate_tags(spark, sf_dir):
     return tagging.candidate_tags(_t(spark, sf_dir, "documents"))
 
 
-@query()
+_OWN = [t.replace(" ", "-") for t in TERMS]
+TAGGED = f"""WITH c AS (SELECT doc_id, {CLEAN} AS c FROM documents), cw AS (SELECT doc_id, c, {_w('c')} AS w FROM c), ck AS (SELECT doc_id, CASE WHEN len(w) > 2500 THEN array_to_string(w[:2500], ' ') ELSE c END AS text FROM cw),
+ s AS (SELECT doc_id, {STRIP} AS text FROM ck), g AS ({SQL['gibberish_text'].replace('FROM documents', 'FROM s')}),
+ e AS (SELECT doc_id, text, CASE WHEN len({STRIP}) < 50 THEN 'Text extraction failed: insufficient text' WHEN gibberish THEN 'Text extraction failed: gibberish' END AS error FROM s JOIN g USING (doc_id)),
+ {CAND.replace('FROM documents', 'FROM e WHERE error IS NULL')[5:]}, r AS (SELECT doc_id, tag, tf, df, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, df, tag) AS k FROM tf JOIN df USING (tag)),
+ v AS (SELECT *, {VERDICT} AS verdict FROM r WHERE k <= 24), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, df, tag) AS rank FROM v WHERE verdict = 'valid' AND tag NOT IN ({', '.join(f"'{t}'" for t in _OWN)})),
+ l AS (SELECT doc_id, list(tag ORDER BY rank) AS tags FROM b WHERE rank <= 8 GROUP BY doc_id),
+ tagged AS (SELECT doc_id, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) IS NULL AS success, coalesce(tags, []) AS tags, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) AS error FROM e LEFT JOIN l USING (doc_id))"""
+
+
+@query(TAGGED + " SELECT * FROM tagged")
 def tag_documents(spark, sf_dir):
     return tagging.tag_documents(_t(spark, sf_dir, "documents"), _terms(spark))
 
@@ -315,6 +339,11 @@ def corpus_quality(spark, sf_dir):
     return tagging.corpus_quality(_t(spark, sf_dir, "documents"))
 
 
+@query(TAGGED + " SELECT doc_id, tags[:5] AS shown, greatest(0, len(tags) - 5)::INT AS more FROM tagged")
+def preview_tags(spark, sf_dir):
+    return tag_documents(spark, sf_dir).select("doc_id", tagging.preview_tags(F.col("tags"), 5).alias("p")).select("doc_id", "p.*")
+
+
 # Jobs
 
 
@@ -357,6 +386,52 @@ def page_jobs(spark, sf_dir):
     return jobs.page(_jobs(spark, sf_dir), 100, 200)
 
 
+@query(f"WITH {JOBS} SELECT * FROM jobs ORDER BY created_at ASC NULLS LAST, id LIMIT 100")
+def oldest_jobs(spark, sf_dir):
+    return jobs.page(_jobs(spark, sf_dir), 100, newest=False)
+
+
+@query(f"WITH {JOBS}, {DOCS} SELECT docs.*, created_at FROM docs JOIN jobs ON id = job_id WHERE user_id = 7 ORDER BY created_at DESC NULLS LAST, job_id, part_id, supp_id, line LIMIT 100 OFFSET 20")
+def page_documents(spark, sf_dir):
+    mine = _jobs(spark, sf_dir).where("user_id = 7").select(F.col("id").alias("job_id"), "created_at")
+    rows = _items(spark, sf_dir).join(mine, "job_id").withColumn("key", F.struct(*KEYS))
+    return jobs.page(rows, 100, 20, key="key").select(*KEYS, "status", "processed_at", "created_at")
+
+
+@query(f"WITH {JOBS}, {DOCS} SELECT jobs.*, n FROM jobs JOIN (SELECT job_id, count(*) AS n FROM docs GROUP BY ALL) ON id = job_id WHERE id = (SELECT min(o_orderkey) FROM orders WHERE o_orderstatus = 'F')")
+def lookup_by_id(spark, sf_dir):
+    found = _jobs(spark, sf_dir)
+    key = found.where("status = 'completed'").agg(F.min("id")).scalar()
+    n = jobs.lookup_by_id(_items(spark, sf_dir), key, "job_id").groupBy("job_id").agg(F.count(F.lit(1)).alias("n"))
+    return jobs.lookup_by_id(found, key).join(n, F.col("id") == F.col("job_id")).drop("job_id")
+
+
+@query(f"WITH {JOBS} SELECT count(*) AS jobs FROM jobs WHERE user_id = 7 OR user_id IS NULL")
+def count_user_jobs(spark, sf_dir):
+    return jobs.count_user_jobs(_jobs(spark, sf_dir), 7)
+
+
+@query(f"WITH {DOCS} SELECT job_id, count(*) AS total, count(*) FILTER (status = 'success') AS processed, count(*) FILTER (status = 'failed') AS failed, round(100 * count(*) FILTER (status = 'success') / count(*), 1) AS success_rate FROM docs GROUP BY job_id")
+def batch_summary(spark, sf_dir):
+    return jobs.batch_summary(_items(spark, sf_dir), "job_id")
+
+
+@query(f"WITH {JOBS}, {DOCS} SELECT * FROM jobs WHERE id IN (SELECT job_id FROM docs WHERE status IN ('success', 'failed'))")
+def jobs_with_result(spark, sf_dir):
+    return jobs.with_result(_jobs(spark, sf_dir), _items(spark, sf_dir), "id", "job_id")
+
+
+@query(f"WITH {JOBS}, {DOCS} SELECT docs.* FROM docs WHERE job_id IN (SELECT job_id FROM docs WHERE status IN ('success', 'failed'))")
+def documents_with_recent_status(spark, sf_dir):
+    d = _items(spark, sf_dir)
+    return jobs.with_result(d, d, "job_id", "job_id")
+
+
+@query(f"WITH {PROGRESS}, r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC NULLS LAST, id) AS rank FROM pr) SELECT user_id, count(*) AS jobs, sum(total_documents)::BIGINT AS documents, sum(processed_count)::BIGINT AS processed, sum(failed_count)::BIGINT AS failed FROM r WHERE rank <= 3 GROUP BY user_id")
+def recent_user_stats(spark, sf_dir):
+    return jobs.user_stats(job_progress(spark, sf_dir), 3)
+
+
 @query(f"WITH {JOBS} SELECT DISTINCT status, job_type FROM jobs")
 def distinct_filter_values(spark, sf_dir):
     return _jobs(spark, sf_dir).select("status", "job_type").distinct()
@@ -441,7 +516,7 @@ def validate_paths(spark, sf_dir):
     return manifest.path_summary(manifest.validate_paths(manifest.normalize_rows(_manifest(spark, sf_dir))))
 
 
-@query(r"""SELECT page_id, regexp_matches(url, '(?i)^https?://(?:(?:[A-Z0-9](?:[A-Z0-9-]{0,61}[A-Z0-9])?\.)+[A-Z]{2,6}\.?|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)$') AS valid,
+@query("SELECT page_id, regexp_matches(url, '" + paths.URL + r"""') AS valid,
  CASE WHEN n = '' THEN 'URL Document.pdf' WHEN ends_with(lower(n), '.pdf') THEN n ELSE n || '.pdf' END AS name, 'pages' AS bucket, substr(url, 9) AS key, replace(replace(replace(url, '/', '_'), ':', ''), '?', '') AS file
  FROM (SELECT *, regexp_extract(regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1), '[^/]*$') AS n FROM pages)""")
 def url_names(spark, sf_dir):
@@ -484,6 +559,18 @@ def merge_results(spark, sf_dir):
     return manifest.merge_results(p, results).select("row_number", "status", "error")
 
 
+@query("SELECT page_id, url FROM pages WHERE contains(lower(url), 'example') AND contains(lower(html), '<h1') ORDER BY url DESC, page_id DESC")
+def filter_sort_grid(spark, sf_dir):
+    return manifest.filter_sort(_t(spark, sf_dir, "pages"), {"url": "Example", "html": "<H1"}, ["url", "page_id"], newest=True).select("page_id", "url")
+
+
+@query("SELECT url AS link, page_id, row_number, status FROM (SELECT url, page_id, row_number() OVER (ORDER BY url, page_id) AS row_number, 'done' AS status FROM pages UNION ALL SELECT '', NULL, count(*) + 1, 'pending' FROM pages)")
+def reorder_and_append(spark, sf_dir):
+    rows = manifest.number_rows(_t(spark, sf_dir, "pages").select("page_id", F.col("url").alias("file_path")), "file_path", "page_id").withColumn("status", F.lit("done"))
+    renamed = manifest.append_row(rows.withColumn("row_number", F.col("row_number").cast("long"))).withColumnRenamed("file_path", "url")
+    return manifest.reorder_columns(manifest.rename_column(renamed, "url", "link"), "link", "page_id")
+
+
 @query("""WITH k AS (SELECT page_id, url FROM pages WHERE page_id NOT IN (SELECT page_id FROM pages WHERE contains(url, 'utm'))) SELECT page_id, '' AS note, CASE WHEN contains(url, '#top') THEN 'restarted' ELSE url END AS url, 1 + (SELECT count(*) FROM k j WHERE j.page_id < k.page_id) AS row_number FROM k""")
 def reshape_manifest(spark, sf_dir):
     p = _t(spark, sf_dir, "pages")
@@ -529,12 +616,25 @@ def terminal_jobs(spark, sf_dir):
     return progress.terminal_jobs(state, _t(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.floor(F.col("user_id") / 4).alias("total")).distinct())
 
 
-@query(f"WITH {EVENTS} SELECT job_id FROM r GROUP BY job_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR")
+@query(f"WITH {EVENTS} SELECT job_id FROM r GROUP BY job_id HAVING max(ts) < (SELECT max(ts) FROM events) - INTERVAL 12 HOUR AND arg_max(status, (ts, event_id)) <> 'failed'")
 def stalled_jobs(spark, sf_dir):
     r = _results(spark, sf_dir)
-    now = r.agg(F.max("ts").alias("now"))
-    last = r.groupBy("job_id").agg(F.max("ts").alias("last_seen"))
-    return last.join(F.broadcast(now)).where(F.col("last_seen") < F.col("now") - F.expr("interval 12 hours")).select("job_id")
+    over = progress.latest_status(r).where("status = 'failed'")
+    return progress.stalled_jobs(r, r.agg(F.max("ts")).scalar(), 12 * 3600, over).select("job_id")
+
+
+@query(f"""WITH {EVENTS}, s AS (SELECT job_id, count(*) FILTER (status = 'success') AS processed, count(*) FILTER (status = 'failed') AS failed, min(ts) AS a, max(ts) AS b, max(ts) FILTER (status = 'pending' AND job_id % 5 = 0) AS told FROM r GROUP BY job_id),
+ o AS (SELECT *, CASE WHEN told IS NOT NULL THEN 'cancelled' WHEN processed + failed >= job_id // 4 THEN 'completed' END AS outcome FROM s)
+ SELECT job_id, outcome, processed, failed, round((epoch_us(coalesce(told, b)) - epoch_us(a)) / 1e6, 2) AS seconds FROM o WHERE outcome IS NOT NULL""")
+def final_jobs(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    totals = r.select("job_id", F.floor(F.col("job_id") / 4).alias("total")).distinct()
+    return progress.final_jobs(r, totals, r.where("status = 'pending' AND job_id % 5 = 0").select("job_id", F.lit("cancelled").alias("command"), F.col("ts").alias("event_time")))
+
+
+@query(f"WITH {EVENTS}, w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, status FROM r) SELECT start, status, count(*) AS n FROM w GROUP BY ALL")
+def sliding_windows(spark, sf_dir):
+    return progress.status_windows(_results(spark, sf_dir), "1 hour", "30 minutes").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"WITH {EVENTS} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, status, count(*) AS n FROM r GROUP BY ALL")
@@ -551,4 +651,4 @@ def expire_state(spark, sf_dir):
 @query(f"WITH {EVENTS} SELECT * FROM r")
 def catchup_then_live(spark, sf_dir):
     r = _results(spark, sf_dir).drop("value")
-    return progress.catch_up(r, r.where(F.col("event_id") % 2 == 0)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return progress.catch_up(r.where("event_id % 3 > 0"), r.where("event_id % 2 = 0 OR event_id % 3 = 0")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

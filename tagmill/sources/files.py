@@ -8,8 +8,16 @@ from pyspark.sql import functions as F
 MAX_BYTES = 50 * 1024 * 1024
 
 
-def read_manifest(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV manifest with a header; every column stays a string."""
+def read_manifest(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """A CSV manifest with a header; every column stays a string.
+
+    Without an encoding the bytes decide: UTF-8 if they are valid, else Latin-1, which every byte fits. An empty file is an error.
+    """
+    if encoding is None:
+        size, valid = spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.every(F.is_valid_utf8(F.col("content").cast("string")))).first()
+        if not size:
+            raise ValueError("The manifest is empty")
+        encoding = "UTF-8" if valid else "ISO-8859-1"
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
 
 
@@ -22,6 +30,23 @@ def read_binary_documents(spark: SparkSession, path: str, max_bytes: int = MAX_B
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
 
 
+def attach_contents(manifest: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows (file_source_type, file_path) with `content` of files (path, length, content), or with `error` for what can't be read.
+
+    Paths agree without their scheme. URLs need a fetcher of the caller's: a table of what it fetched, as files like any other.
+    """
+    bare = lambda c: F.regexp_replace(c, "^[a-z0-9]+:/*", "/")
+    kind = F.lower(F.trim("file_source_type"))
+    found = files.select(bare(F.col("path")).alias("_path"), "length", "content")
+    joined = manifest.withColumn("_at", bare(F.trim("file_path"))).join(found, F.col("_at") == F.col("_path"), "left")
+    error = (
+        F.when(~F.coalesce(kind, F.lit("")).isin("url", "s3", "local"), F.concat(F.lit("Unsupported source type: "), F.coalesce(kind, F.lit(""))))
+        .when(F.col("_path").isNull(), "File not found").when((kind == "local") & (F.col("length") > max_bytes), "File is too large")
+    )
+    joined = joined.withColumn("error", error)
+    return joined.withColumn("content", F.when(F.col("error").isNull(), F.col("content"))).drop("_at", "_path", "length")
+
+
 def list_objects(spark: SparkSession, path: str) -> DataFrame:
     """Name, size and time of files under a prefix; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed mapping of the event table's types to result statuses.
@@ -28,14 +28,29 @@ def terminal_jobs(state: DataFrame, totals: DataFrame) -> DataFrame:
     return state.join(totals, "job_id").where(F.col("processed") + F.col("failed") >= F.col("total"))
 
 
+def final_jobs(rows: DataFrame, totals: DataFrame, commands: DataFrame) -> DataFrame:
+    """(job_id, outcome, processed, failed, seconds) of jobs that are over: told to end by a command (cancelled, failed), or all documents have a result.
+
+    seconds lie between the first and the last result, or the command that ended the job.
+    """
+    state = rows.groupBy("job_id").agg(F.count_if(F.col("status") == "success").alias("processed"), F.count_if(F.col("status") == "failed").alias("failed"), F.min("ts").alias("start"), F.max("ts").alias("end"))
+    told = commands.where(F.col("command").isin("cancelled", "failed")).groupBy("job_id").agg(F.max_by("command", "event_time").alias("command"), F.max("event_time").alias("told_at"))
+    joined = state.join(told, "job_id", "full").join(totals, "job_id", "left")
+    outcome = F.coalesce("command", F.when(F.col("processed") + F.col("failed") >= F.col("total"), "completed"))
+    end = F.coalesce("told_at", "end")
+    seconds = F.round((F.unix_micros(end) - F.unix_micros(F.coalesce("start", end))) / 1e6, 2)
+    return joined.select("job_id", outcome.alias("outcome"), F.coalesce("processed", F.lit(0)).alias("processed"), F.coalesce("failed", F.lit(0)).alias("failed"), seconds.alias("seconds")).where("outcome is not null")
+
+
 def active_jobs(latest: DataFrame) -> DataFrame:
     return latest.where("status = 'processing'").select("job_id")
 
 
-def stalled_jobs(rows: DataFrame, now, seconds: int = 30) -> DataFrame:
-    """Jobs whose last result is older than the limit."""
+def stalled_jobs(rows: DataFrame, now: Column, seconds: int = 30, over: DataFrame | None = None) -> DataFrame:
+    """Jobs whose last result is older than the limit, but for those that are over (job_id)."""
     last = rows.groupBy("job_id").agg(F.max("ts").alias("last_seen"))
-    return last.where(F.col("last_seen") < now - F.expr(f"interval {seconds} seconds"))
+    stalled = last.where(F.col("last_seen") < now - F.expr(f"interval {seconds} seconds"))
+    return stalled if over is None else stalled.join(over.select("job_id"), "job_id", "left_anti")
 
 
 def status_windows(rows: DataFrame, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
