@@ -21,7 +21,7 @@ START = [sum(1 << b for b in BITS[:k]) for k in range(5)]
 CELLS = START[4]
 RUN = 4
 #: Cells that the driver collects at a time.
-SLICE = 1 << 18
+SLICE = 1 << 20
 #: Discount of a class's count of a cell: one seen twice or less in a class is left to the lower model.
 DISCOUNT = 2.0
 #: A log ratio beyond this margin counts as evidence.
@@ -165,37 +165,62 @@ def count_cells(docs: DataFrame, train: DataFrame) -> DataFrame:
     return parts.groupBy("cell").agg(*sums, F.max("first").alias("first"), F.max("second").alias("second"))
 
 
-def log_ratio(everywhere: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray, first: np.ndarray | None = None, second: np.ndarray | None = None) -> np.ndarray:
-    """log p_toxic - log p_ordinary of each run, beginning and word, and of each pair's second word after its first; 0 for pairs of neither class.
+def class_odds(counted: DataFrame) -> tuple[DataFrame, list[float]]:
+    """(cell, p_toxic, p_ordinary) of the cells that a class knows, and by kind the log ratio of all cells that none knows.
 
     Of all but pairs both classes discount their own counts and hand the discounted mass to one shared model: the counts of
     the whole corpus, themselves discounted and backed off, for words to the number of words they follow
     (Kneser-Ney's continuation counts). So a word that neither class knows well says little. Of pairs, each class discounts
-    its counts after the first word and hands the mass to its own model of words.
+    its counts after the first word and hands the mass to its own model of words: p is that of the second word after the first.
     """
-    out, pairs = np.zeros(CELLS, np.float32), np.zeros(0, np.int64)
-    if first is not None:
-        pairs = np.flatnonzero(first >= 0)
-        first, second = first[pairs] - START[2], second[pairs] - START[2]
-    words = []
-    for level in range(3):
-        s = slice(START[level], START[level + 1])
-        n = everywhere[s].astype(np.float64)
-        lower = 1.0 + (np.bincount(second, minlength=1 << BITS[2]) if level == 2 and len(pairs) else (n > 0))
-        shared = (np.maximum(n - 0.75, 0) + (np.minimum(n, 0.75).sum() or 1.0) * (lower / lower.sum())) / max(1.0, n.sum())
-        shared /= shared.sum()
-        words = []
-        for counts in (toxic[s].astype(np.float64), ordinary[s].astype(np.float64)):
-            held = np.minimum(counts, DISCOUNT).sum()
-            words.append((np.maximum(counts - DISCOUNT, 0) + held * shared) / counts.sum() if held else shared)
-        out[s] = np.log(words[0]) - np.log(words[1])
-    if len(pairs):
-        logs = []
-        for counts, word in zip((toxic[pairs].astype(np.float64), ordinary[pairs].astype(np.float64)), words, strict=True):
-            total, held = (np.bincount(first, weights)[first] for weights in (counts, np.minimum(counts, DISCOUNT)))
-            known = (np.maximum(counts - DISCOUNT, 0) + held * word[second]) / np.maximum(total, 1)
-            logs.append(np.log(np.where(total > 0, known, word[second])))
-        out[pairs] = logs[0] - logs[1]
+    kinds = len(BITS)
+    kind = F.when(F.col("cell") < START[1], 0)
+    for k in range(1, kinds):
+        kind = kind.when(F.col("cell") < START[k + 1], k)
+    rows = counted.withColumn("kind", kind)
+    kept = lambda c, d: F.greatest(F.col(c) - d, F.lit(0.0))
+    given = lambda c, d: F.least(F.col(c).cast("double"), F.lit(d))
+    sums = [F.count(F.lit(1)), F.sum(kept("everywhere", 0.75)), F.sum(given("everywhere", 0.75)), *[f for c in ("toxic", "ordinary") for f in (F.sum(c), F.sum(given(c, DISCOUNT)))]]
+    totals = {r[0]: [float(x or 0) for x in r[1:]] for r in rows.groupBy("kind").agg(*sums).collect()}
+    n_pairs = totals.get(3, [0.0])[0]
+    follows = rows.where("kind = 3").groupBy(F.col("second").alias("cell")).agg(F.count(F.lit(1)).alias("follows"))
+    known = rows.where("kind < 3 and toxic + ordinary > 0").join(follows, "cell", "left")
+
+    odds = {"toxic": F.lit(None), "ordinary": F.lit(None)}
+    unknown = []
+    for k in range(kinds - 1):
+        filled, own, mass, *classes = totals.get(k, [0.0] * 7)
+        mass = mass or 1.0
+        seen = F.coalesce("follows", F.lit(0)) if k == 2 and n_pairs else F.when(F.col("everywhere") > 0, 1).otherwise(0)
+        lower = (seen + 1) / ((1 << BITS[k]) + (n_pairs if k == 2 and n_pairs else filled))
+        shared = (kept("everywhere", 0.75) + mass * lower) / (own + mass)
+        left = []
+        for c, total, held in (("toxic", *classes[:2]), ("ordinary", *classes[2:])):
+            p = (kept(c, DISCOUNT) + held * shared) / total if held else shared
+            odds[c] = F.when(F.col("kind") == k, p).otherwise(odds[c])
+            left.append(np.log(held / total) if held else 0.0)
+        unknown.append(left[0] - left[1])
+    words = known.select("cell", *[p.alias(f"p_{c}") for c, p in odds.items()])
+
+    pairs = rows.where("kind = 3").select("cell", "first", "second", "toxic", "ordinary")
+    sides = [f for c in ("toxic", "ordinary") for f in (F.sum(c).alias(f"n_{c}"), F.sum(given(c, DISCOUNT)).alias(f"held_{c}"))]
+    after = pairs.groupBy("first").agg(*sides)
+    second = words.select(F.col("cell").alias("second"), F.col("p_toxic").alias("w_toxic"), F.col("p_ordinary").alias("w_ordinary"))
+    paired = pairs.join(after, "first").join(second, "second")
+    chance = [F.when(F.col(f"n_{c}") > 0, (kept(c, DISCOUNT) + F.col(f"held_{c}") * F.col(f"w_{c}")) / F.col(f"n_{c}")).otherwise(F.col(f"w_{c}")).alias(f"p_{c}") for c in ("toxic", "ordinary")]
+    return words.unionByName(paired.select("cell", *chance)), unknown
+
+
+def log_ratio(counted: DataFrame) -> np.ndarray:
+    """log p_toxic - log p_ordinary by cell, 0 for pairs of neither class. Only the cells that a class knows come to the driver."""
+    odds, unknown = class_odds(counted)
+    out = np.zeros(CELLS, np.float32)
+    for k, value in enumerate(unknown):
+        out[START[k] : START[k + 1]] = value
+    rows = odds.select("cell", (F.log("p_toxic") - F.log("p_ordinary")).cast("float").alias("ratio"))
+    for low in range(0, CELLS, SLICE):  # to spare the driver's memory
+        part = rows.where(F.col("cell").between(low, low + SLICE - 1)).toPandas()
+        out[part["cell"].to_numpy()] = part["ratio"].to_numpy()
     return out
 
 
@@ -245,22 +270,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
     """Fit on the labelled rows outside the held-out quarter; shared counts come from all documents.
 
     Class counts use parts 0 and 1 of the labelled ids, the calibration part 3, so it sees texts whose counts it did not
-    make; its rows are weighted to each class's true count. The driver gets the table of at most CELLS counts and at
+    make; its rows are weighted to each class's true count. The driver gets the log ratios of at most CELLS cells and at
     most 2 * fit_rows rows of features. Unless calibration has labels of both classes every score is 0.
     """
     known = label_rows(labels)
     counted = common.stash(count_cells(docs, _bounded(known.where("part in (0, 1)"), train_rows)), "cells")
-    table = np.zeros((3, CELLS), np.float32)
-    ends = np.full((2, CELLS), -1, np.int32)
-    for low in range(0, CELLS, SLICE):  # to spare the driver's memory
-        rows = counted.where(F.col("cell").between(low, low + SLICE - 1)).toPandas()
-        at = rows["cell"].to_numpy()
-        for into, names in ((table, ("everywhere", "toxic", "ordinary")), (ends, ("first", "second"))):
-            for k, name in enumerate(names):
-                into[k][at] = rows[name].to_numpy()
-        del rows, at
-    ratio = log_ratio(*table, *ends)
-    del table, ends
+    ratio = log_ratio(counted)
     shared = docs.sparkSession.sparkContext.broadcast(ratio)
     fit = known.where("part = 3")
     pick = docs.select(F.col("doc_id").alias("id"), "text").join(_bounded(fit, fit_rows), "id")
