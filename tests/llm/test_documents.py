@@ -204,10 +204,55 @@ def test_calibration_keeps_the_class_prior(spark):
     assert abs(np.mean(full) - 0.1) < 0.03 and abs(np.mean(cut) - np.mean(full)) < 0.03 and np.mean(np.abs(np.array(cut) - full)) < 0.06
 
 
-def test_shared_backoff_of_unseen_expressions_is_neutral():
-    everywhere = np.zeros(toxicity.CELLS, np.int64)
-    everywhere[toxicity.cells("quiet words")] += 3
-    assert not toxicity.log_ratio(everywhere, np.zeros_like(everywhere), np.zeros_like(everywhere)).any()
+def test_shared_backoff_of_unseen_expressions_is_neutral(spark):
+    docs = spark.createDataFrame([(1, "quiet words"), (2, "quiet words quiet words")], "doc_id long, text string")
+    counted = toxicity.count_cells(docs, spark.createDataFrame([], "id long, toxic int"))
+    assert not toxicity.log_ratio(counted).any()
+
+
+def test_probabilities_equal_brute_force(spark):
+    """Word and pair probabilities against plain Kneser-Ney over words; and the models sum to one."""
+    rng = np.random.default_rng(9)
+    vocabulary = [f"word{chr(97 + k)}" for k in range(26)]
+    texts = [[str(w) for w in rng.choice(vocabulary, 30, p=np.arange(26, 0, -1) / 351)] for _ in range(40)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    label = {k: int(k % 3 == 0) for k in range(30)}
+    counted = toxicity.count_cells(docs, spark.createDataFrame(list(label.items()), "id long, toxic int"))
+    odds, _ = toxicity.class_odds(counted)
+    found = {r.cell: (r.p_toxic, r.p_ordinary) for r in odds.collect()}
+
+    cell = {w: int(next(toxicity.units(w))[2][0]) for w in vocabulary}
+    pair_cell = {(v, w): int(next(toxicity.units(f"{v} {w}"))[3][0]) for v in vocabulary for w in vocabulary}
+    assert len(set(cell.values())) == 26 and len(set(pair_cell.values())) == 676
+    everywhere = Counter(w for t in texts for w in t)
+    pairs = {y: Counter(p for k, z in label.items() if z == y for p in itertools.pairwise(texts[k])) for y in (1, 0)}
+    words = {y: Counter(w for k, z in label.items() if z == y for w in texts[k]) for y in (1, 0)}
+    kinds = set(pairs[1]) | set(pairs[0])
+    cells = 1 << toxicity.BITS[2]
+
+    def shared(w):
+        lower = (1 + sum(p[1] == w for p in kinds)) / (cells + len(kinds))
+        return (max(everywhere[w] - 0.75, 0) + sum(min(n, 0.75) for n in everywhere.values()) * lower) / sum(everywhere.values())
+
+    def word(y, w):
+        held = sum(min(n, 2) for n in words[y].values())
+        return (max(words[y][w] - 2, 0) + held * shared(w)) / sum(words[y].values())
+
+    def pair(y, v, w):
+        after = [n for p, n in pairs[y].items() if p[0] == v]
+        return (max(pairs[y][v, w] - 2, 0) + sum(min(n, 2) for n in after) * word(y, w)) / sum(after) if after else word(y, w)
+
+    for w in vocabulary:
+        assert found[cell[w]] == pytest.approx((word(1, w), word(0, w)), rel=1e-9)
+    for v, w in kinds:
+        assert found[pair_cell[v, w]] == pytest.approx((pair(1, v, w), pair(0, v, w)), rel=1e-9)
+    rest = (cells - 26) / (cells + len(kinds)) * sum(min(n, 0.75) for n in everywhere.values()) / sum(everywhere.values())
+    for y in (1, 0):
+        none = sum(min(n, 2) for n in words[y].values()) / sum(words[y].values()) * rest
+        assert sum(found[cell[w]][1 - y] for w in vocabulary) + none == pytest.approx(1)
+        for v in vocabulary[:5]:
+            held = sum(min(n, 2) for p, n in pairs[y].items() if p[0] == v) / sum(n for p, n in pairs[y].items() if p[0] == v)
+            assert sum(pair(y, v, w) for w in vocabulary) + held * none == pytest.approx(1)
 
 
 def test_surrogates(spark):
