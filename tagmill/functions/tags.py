@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tagmill.functions.text import strip
+from tagmill.functions.text import bind, strip
 
 #: Fixed lists of the noise rules.
 NOISE = ["contact", "email", "phone", "address", "document", "information", "data", "details", "pdf", "report", "government", "india", "language", "publication", "contact details", "contact information", "phone number", "email address"]
@@ -59,13 +59,16 @@ def parse_tag_response(text: Column) -> Column:
 def entity_answer(text: Column) -> Column:
     """The JSON of a model's answer: the body of its first fence if there is one, else all of it."""
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return strip(F.when(fenced != "", fenced).otherwise(text))
+    return strip(bind(fenced, lambda f: F.when(f != "", f).otherwise(text)))
+
+
+def _json_error(json: Column) -> Column:
+    return F.when(json.isNull(), "JSON parse error").when(~F.schema_of_variant(json).startswith("OBJECT"), "Expected an object")
 
 
 def entity_error(text: Column) -> Column:
     """Why an answer gives no entities; null if it does."""
-    json = F.try_parse_json(entity_answer(text))
-    return F.when(text.isNull(), "no answer").when(json.isNull(), "JSON parse error").when(~F.schema_of_variant(json).startswith("OBJECT"), "Expected an object")
+    return F.when(text.isNull(), "no answer").otherwise(_json_error(F.try_parse_json(entity_answer(text))))
 
 
 def entity_list(summary: Column) -> Column:
@@ -75,18 +78,23 @@ def entity_list(summary: Column) -> Column:
 
 def entity_summary(text: Column) -> Column:
     """Category -> trimmed values, case-insensitively distinct keeping the first; empty categories and those that are no lists dropped. A broken answer has none."""
-    body = entity_answer(text)
-    json = F.try_parse_json(body)
-    keys = F.coalesce(F.when(entity_error(text).isNull(), F.json_object_keys(body)), F.array().cast("array<string>"))
-    strings = lambda k: F.transform(F.filter(F.coalesce(F.try_variant_get(json, F.concat(F.lit("$['"), k, F.lit("']")), "array<variant>"), F.array().cast("array<variant>")), lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string"))
-    parsed = F.map_from_entries(F.transform(F.array_distinct(keys), lambda k: F.struct(k, strings(k))))
-
     def distinct(values: Column) -> Column:
+        # Sorted by lower case and place, the first of each run stays, in the order of the places.
         kept = F.filter(F.transform(values, strip), lambda v: v != "")
-        first = lambda acc, v: F.when(F.exists(acc, lambda a: F.lower(a) == F.lower(v)), acc).otherwise(F.concat(acc, F.array(v)))
-        return F.aggregate(kept, F.array().cast("array<string>"), first)
+        placed = F.array_sort(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("v"))))
+        first = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["low"] != x["low"]))
+        return F.transform(F.array_sort(F.transform(bind(placed, first), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
+
+    def listed(json: Column, k: Column) -> Column:
+        items = F.coalesce(F.try_variant_get(json, F.concat(F.lit("$['"), k, F.lit("']")), "array<variant>"), F.array().cast("array<variant>"))
+        return distinct(F.transform(F.filter(items, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: v.cast("string")))
+
+    def summary(body: Column, json: Column) -> Column:
+        keys = F.coalesce(F.when(_json_error(json).isNull(), F.json_object_keys(body)), F.array().cast("array<string>"))
+        filled = F.filter(F.transform(F.array_distinct(keys), lambda k: F.struct(k.alias("k"), listed(json, k).alias("v"))), lambda e: F.size(e["v"]) > 0)
+        return F.map_from_entries(filled)
 
-    return F.map_filter(F.transform_values(parsed, lambda k, v: distinct(v)), lambda k, v: F.size(v) > 0)
+    return bind(entity_answer(text), lambda body: bind(F.try_parse_json(body), lambda json: summary(body, json)))
 
 
 def tier_targets(total: Column) -> Column:
