@@ -92,17 +92,27 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
 
 
 def truncated_total(histogram: DataFrame, limits: DataFrame) -> DataFrame:
-    """For each row of limits (limit): the tokens left when every document is cut to that limit, and how many are cut."""
-    best = limits.select("limit").distinct().join(histogram, F.col("length") <= F.col("limit"), "left").groupBy("limit").agg(F.max_by(F.struct("length", "truncated_total", "docs_above"), "length").alias("h"))
-    total = histogram.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("docs"))
-    cut = F.coalesce("h.docs_above", "docs")
-    return best.join(total).select("limit", (F.coalesce("h.truncated_total", F.lit(0)) + (F.col("limit") - F.coalesce("h.length", F.lit(0))) * cut).alias("tokens"), cut.alias("cut_docs"))
+    """For each row of limits (limit): the tokens left when every document is cut to that limit, and how many are cut.
+
+    Limits are put among the lengths, slice by slice, so each finds the last length before it without being held against
+    all; where its slice has none, that of an earlier slice stands in. Null limits are left out.
+    """
+    h = F.struct("length", "truncated_total", "docs_above")
+    known = histogram.select(F.col("length").alias("at"), h.alias("h"))
+    asked = limits.where("limit is not null").select(F.col("limit").cast("long").alias("at")).distinct().withColumn("h", F.lit(None).cast(known.schema["h"].dataType))
+    rows = known.withColumn("asked", F.lit(0)).unionByName(asked.withColumn("asked", F.lit(1))).withColumn("slice", F.floor(F.col("at") / SLICE))
+    slices = rows.groupBy("slice").agg(F.max_by("h", F.when(F.col("asked") == 0, F.col("at"))).alias("h"))
+    earlier = slices.select("slice", F.last("h", ignorenulls=True).over(W.orderBy("slice").rowsBetween(W.unboundedPreceding, -1)).alias("earlier"))
+    within = F.last("h", ignorenulls=True).over(W.partitionBy("slice").orderBy("at", "asked"))
+    found = rows.withColumn("within", within).where("asked = 1").join(earlier, "slice").select(F.col("at").alias("limit"), F.coalesce("within", "earlier").alias("h"))
+    docs = histogram.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).scalar()
+    return found.withColumn("cut_docs", F.coalesce("h.docs_above", docs)).select("limit", (F.coalesce("h.truncated_total", F.lit(0)) + (F.col("limit") - F.coalesce("h.length", F.lit(0))) * F.col("cut_docs")).alias("tokens"), "cut_docs")
 
 
 def quantile(histogram: DataFrame, q: float) -> DataFrame:
     """The smallest length that at least a share q of the documents don't exceed."""
-    total = histogram.agg(F.sum("n_docs").alias("docs"))
-    return histogram.crossJoin(total).where((F.col("docs") - F.col("docs_above")) / F.col("docs") >= q).agg(F.min("length").alias("length"))
+    docs = histogram.agg(F.sum("n_docs")).scalar()
+    return histogram.where((docs - F.col("docs_above")) / docs >= q).agg(F.min("length").alias("length"))
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
