@@ -171,10 +171,21 @@ def content_preview(spark, sf_dir):
     return _docs(spark, sf_dir, preview=text.content_preview(F.col("text")))
 
 
-@query()
+#: What the step that drops control characters is given.
+SANITIZED = SQL["sanitize_text"].split("regexp_replace(", 1)[1].split(", '...')")[0] + ", '...')"
+
+
+@query(f"""WITH z AS (SELECT doc_id, {SANITIZED} AS text FROM documents), p AS ({SQL['content_preview'].replace('FROM documents', 'FROM z')}), t AS (SELECT doc_id, title AS text FROM ({SQL['title_from_text']}))
+ SELECT doc_id, concat_ws(chr(10), 'Give short English tags for retrieval.', 'Give exactly 24 tags.', CASE WHEN lang <> 'en' THEN 'The document is in ' || lang || ': translate names and terms to English.' END,
+ CASE doc_id % 3 WHEN 0 THEN '{tags.POOR['low']}' WHEN 1 THEN '{tags.POOR['medium']}' END, 'Title: ' || title, CASE WHEN trim(source) <> '' THEN 'Description: ' || source END, 'Answer as JSON with 4 names, 2 subjects and 2 actions.',
+ 'Do not use: economy, the', 'lang: ' || lang, 'One of the actions is the document''s type: ' || source, preview) AS prompt FROM documents JOIN p USING (doc_id) JOIN (SELECT doc_id, {SANITIZED} AS title FROM t) USING (doc_id)""")
 def build_prompt(spark, sf_dir):
     none = F.array().cast("array<string>")
-    return _docs(spark, sf_dir, prompt=tags.build_prompt(text.title_from_text(F.col("text")), F.col("source"), F.col("text"), F.lit(8), none, F.create_map(F.lit("lang"), F.array("lang"))))
+    language = F.when(F.col("lang") == "en", "English").otherwise(F.col("lang"))
+    quality = F.element_at(F.array(F.lit("low"), F.lit("medium"), F.lit("high")), (F.col("doc_id") % 3 + 1).cast("int"))
+    hints = F.create_map(F.lit("lang"), F.array("lang"), F.lit("document_type"), F.array("source"))
+    excluded = F.array(F.lit("the"), F.lit("economy"))
+    return _docs(spark, sf_dir, prompt=tags.build_prompt(text.title_from_text(F.col("text")), F.col("source"), F.col("text"), F.lit(8), none, hints, language=language, quality=quality, excluded=excluded, requested=F.lit(24)))
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]*>', chr(10), 'g') AS t FROM pages),
