@@ -526,6 +526,8 @@ def test_pipeline(spark):
     taken = Counter(r.doc_id for r in rows)
     assert set(taken) <= left and max(taken.values()) <= 2
     assert abs(sum(size[i] * n for i, n in taken.items()) - 1.5 * sum(size.values())) < 20 * max(size.values())
+    mixed = mixture.mix(docs.join(spark.createDataFrame([(i,) for i in left], "doc_id long"), "doc_id", "left_semi")).where("taken > 0").collect()
+    assert taken == Counter({r.doc_id: r.taken // r.size for r in mixed})
 
 
 def test_stages_on_odd_rows(spark, odd, empty, tmp_path):
