@@ -72,7 +72,7 @@ def pack(docs: DataFrame, length: Column | None = None, buckets: int = 16, budge
     """
     sized = docs.select("doc_id", (words() if length is None else F.coalesce(length, F.lit(0)).cast("long")).alias("length"))
     sized = stash(sized, "lengths")
-    table = sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values("length")
+    table = sized.groupBy("length").agg(F.count(F.lit(1)).alias("n")).toArrow().sort_by("length")
     lengths, n = table["length"].to_numpy(), table["n"].to_numpy()
     ends = best_boundaries(lengths, n, lengths * n, buckets)
     if not ends:

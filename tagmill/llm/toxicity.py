@@ -20,8 +20,6 @@ BITS = (18, 18, 20, 20)
 START = [sum(1 << b for b in BITS[:k]) for k in range(5)]
 CELLS = START[4]
 RUN = 4
-#: Cells that the driver collects at a time.
-SLICE = 1 << 20
 #: Discount of a class's count of a cell: one seen twice or less in a class is left to the lower model.
 DISCOUNT = 2.0
 #: A log ratio beyond this margin counts as evidence.
@@ -218,9 +216,8 @@ def log_ratio(counted: DataFrame) -> np.ndarray:
     for k, value in enumerate(unknown):
         out[START[k] : START[k + 1]] = value
     rows = odds.select("cell", (F.log("p_toxic") - F.log("p_ordinary")).cast("float").alias("ratio"))
-    for low in range(0, CELLS, SLICE):  # to spare the driver's memory
-        part = rows.where(F.col("cell").between(low, low + SLICE - 1)).toPandas()
-        out[part["cell"].to_numpy()] = part["ratio"].to_numpy()
+    table = rows.toArrow()  # columns of numbers, not objects
+    out[table["cell"].to_numpy()] = table["ratio"].to_numpy()
     return out
 
 
@@ -286,8 +283,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, fit_
         for pdf in batches:
             yield pd.DataFrame({"toxic": pdf["toxic"], "x": [features(t, shared.value).tolist() for t in pdf["text"]]})
 
-    sample = pick.select("text", "toxic").mapInPandas(run, "toxic int, x array<double>").toPandas()
-    rows = np.array(sorted([*x, float(t == 1)] for x, t in zip(sample["x"], sample["toxic"], strict=True)), dtype=np.float64).reshape(-1, FEATURES + 1)
+    sample = pick.select("text", "toxic").mapInPandas(run, "toxic int, x array<double>").toArrow()
+    rows = np.array(sorted([*x, float(t == 1)] for x, t in zip(sample["x"].to_pylist(), sample["toxic"].to_pylist(), strict=True)), dtype=np.float64).reshape(-1, FEATURES + 1)
     x, y = rows[:, :-1], rows[:, -1]
     if not (y == 1).any() or not (y == 0).any():  # nothing tells the classes apart, so nothing is found toxic
         return Model(ratio, np.zeros(FEATURES), np.ones(FEATURES), np.r_[np.zeros(FEATURES), -50.0])
