@@ -81,9 +81,9 @@ def entity_summary(text: Column) -> Column:
     def distinct(values: Column) -> Column:
         # Sorted by lower case and place, the first of each run stays, in the order of the places.
         kept = F.filter(F.transform(values, strip), lambda v: v != "")
-        placed = F.array_sort(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("v"))))
+        placed = F.sort_array(F.transform(kept, lambda v, i: F.struct(F.lower(v).alias("low"), i.alias("at"), v.alias("v"))))
         first = lambda p: F.filter(p, lambda x, i: (i == 0) | (F.get(p, i - 1)["low"] != x["low"]))
-        return F.transform(F.array_sort(F.transform(bind(placed, first), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
+        return F.transform(F.sort_array(F.transform(bind(placed, first), lambda x: F.struct(x["at"], x["v"].alias("v")))), lambda x: x["v"])
 
     def listed(json: Column, k: Column) -> Column:
         items = F.coalesce(F.try_variant_get(json, F.concat(F.lit("$['"), k, F.lit("']")), "array<variant>"), F.array().cast("array<variant>"))

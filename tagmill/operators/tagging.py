@@ -81,7 +81,7 @@ def _counted(text: Column) -> Column:
         starts = F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))).otherwise(F.array().cast("array<int>"))
         return bind(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(w, p - 1).alias("tag"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - p).cast("long").alias("tf"))))
 
-    return bind(F.array_sort(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))), runs)
+    return bind(F.sort_array(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))), runs)
 
 
 def _candidates(counts: DataFrame, n: int) -> DataFrame:
