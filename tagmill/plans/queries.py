@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.functions import paths, tags, text
@@ -283,6 +284,15 @@ def entity_summary(spark, sf_dir):
     return found.select("doc_id", F.element_at(tags.entity_summary(F.col("answer")), F.lit("words")).alias("vals")).where("vals is not null")
 
 
+@query("""WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda x: lower(x)) AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM w), f AS (SELECT doc_id, v, min(p) AS p FROM u GROUP BY ALL)
+ SELECT doc_id, 'words' AS class, v AS text, row_number() OVER (PARTITION BY doc_id ORDER BY p)::INT - 1 AS at FROM f UNION ALL SELECT doc_id, 'source', source, NULL FROM documents WHERE trim(source) <> ''""")
+def entity_list(spark, sf_dir):
+    answer = F.to_json(F.struct(F.regexp_extract_all(F.lower("text"), F.lit("[A-Za-z]+"), F.lit(0)).alias("words"), F.array("source", F.concat(F.lit(" "), F.upper("source"))).alias("source")))
+    flat = _docs(spark, sf_dir, e=tags.entity_list(tags.entity_summary(answer))).select("doc_id", F.posexplode("e").alias("n", "e")).select("doc_id", "n", "e.*")
+    words = flat.where("class = 'words'").withColumn("at", F.col("n") - F.coalesce(F.min(F.when(F.col("class") == "words", F.col("n"))).over(W.partitionBy("doc_id")), F.lit(0)))
+    return words.drop("n").unionByName(flat.where("class = 'source'").select("doc_id", "class", "text", F.lit(None).cast("int").alias("at")))
+
+
 WORDPOS = "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z]{4,}') AS w FROM documents), u AS (SELECT doc_id, unnest(w) AS tag, generate_subscripts(w, 1) - 1 AS pos FROM w)"
 
 
@@ -309,8 +319,6 @@ def new_tags_only(spark, sf_dir):
 @query(WORDPOS + f""", a AS (SELECT doc_id, pos, lower(tag || ' ' || lead(tag) OVER (PARTITION BY doc_id ORDER BY pos)) AS tag FROM u), p AS (SELECT DISTINCT tag FROM a WHERE tag IS NOT NULL UNION SELECT p_name FROM part),
  terms AS (SELECT replace(lower(unnest({TERMS!r})), ' ', '-') AS term) SELECT tag FROM p WHERE NOT EXISTS (SELECT 1 FROM terms WHERE contains('-' || replace(tag, ' ', '-') || '-', '-' || term || '-') AND len(string_split(term, '-')) * 2 >= len(string_split(replace(tag, ' ', '-'), '-')))""")
 def exclude_tags(spark, sf_dir):
-    from pyspark.sql import Window as W
-
     pair = F.lower(F.concat_ws(" ", "tag", F.lead("tag").over(W.partitionBy("doc_id").orderBy("pos"))))
     pairs = _words(spark, sf_dir).select(pair.alias("tag")).where("tag like '% %'")
     return tagging.exclude_tags(pairs.union(_t(spark, sf_dir, "part").select("p_name")).distinct(), _terms(spark))
@@ -321,6 +329,11 @@ def read_exclusions(spark, sf_dir):
     return tagging.read_exclusions(_t(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")))
 
 
+@query(r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS v FROM documents), p AS (SELECT lower(trim(unnest(string_split(trim(v), ',')))) AS term FROM l) SELECT DISTINCT term FROM p WHERE term <> '' AND NOT starts_with(term, '#')""")
+def read_exclusions_by_part(spark, sf_dir):
+    return tagging.read_exclusions(_t(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value")), "part")
+
+
 CAND = "WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS tag FROM documents), tf AS (SELECT doc_id, tag, count(*) AS tf FROM w GROUP BY ALL), df AS (SELECT tag, count(*) AS df FROM tf GROUP BY ALL)"
 
 
@@ -536,6 +549,21 @@ def url_names(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", paths.is_valid_url(u).alias("valid"), paths.name_from_url(u).alias("name"), s3["bucket"].alias("bucket"), s3["key"].alias("key"), paths.sanitize_filename(u).alias("file"))
 
 
+@query("SELECT page_id, 'Untitled' AS title, coalesce(nullif(url, ''), url) AS file_path, 'url' AS file_source_type, 'application/pdf' AS mime_type, 'pending' AS status FROM pages")
+def insert_documents(spark, sf_dir):
+    return manifest.with_defaults(_t(spark, sf_dir, "pages").select("page_id", F.lit(None).cast("string").alias("title"), F.col("url").alias("file_path")))
+
+
+@query("SELECT url AS Link, page_id AS id FROM pages")
+def export_with_preset(spark, sf_dir):
+    return manifest.export_with_preset(_t(spark, sf_dir, "pages"), ["url", "page_id"], {"url": "Link", "page_id": "id"})
+
+
+@query("SELECT doc_id, round(n_chars * 1000 / 1024, 1) AS kb, round(n_chars * 1000 / 1048576, 2) AS mb FROM documents")
+def size_units(spark, sf_dir):
+    return _docs(spark, sf_dir, s=paths.size_units(F.col("n_chars") * 1000)).select("doc_id", "s.*")
+
+
 MESSAGE = "CASE event_type WHEN 'error' THEN 'HTTP 429' WHEN 'click' THEN 'Bad Request' WHEN 'view' THEN 'Connection timeout' WHEN 'signup' THEN 'odd' END"
 
 
