@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,15 +88,17 @@ def bind(value: Column, body) -> Column:
 
 # Hashing of words and shingles, a chunk of documents at a time.
 
-_M = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words are hashed modulo this prime, in which polynomials have few roots, unlike modulo a power of two.
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 1_423_908_151_672_389_173
+_LOW32, _LOW31, _LOW30, _LOW29 = (np.uint64((1 << k) - 1) for k in (32, 31, 30, 29))
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_PI = np.uint64(pow(int(_P), -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are hashed at a time, and the longest word that is hashed as a polynomial; longer ones take a digest.
+_PART, _LONG = 1 << 15, 1 << 14
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,14 +108,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 18)
-        for k, base in enumerate((_P, _PI)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers[0][:n], _powers[1][:n]
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def mulmod(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of values below it, from parts of 31 bits: 2^61 is 1 and 2^62 is 2."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _LOW31, b >> np.uint64(31), b & _LOW31
+    mid = a1 * b0 + a0 * b1
+    return _reduced(np.uint64(2) * a1 * b1 + (mid >> np.uint64(30)) + ((mid & _LOW30) << np.uint64(31)) + a0 * b0)
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Powers of the base as low and high 32 bits, and the powers of its inverse."""
+    found = []
+    for base in (_BASE, pow(_BASE, -1, (1 << 61) - 1)):
+        p = np.ones(1, np.uint64)
+        while len(p) < _PART:
+            p = np.concatenate((p, mulmod(p, np.full(len(p), pow(base, len(p), (1 << 61) - 1), np.uint64))))
+        found.append(p)
+    return found[0] & _LOW32, found[0] >> np.uint64(32), found[1]
 
 
 def chunks(column, limit: int = 1 << 18):
@@ -131,26 +149,57 @@ def chunks(column, limit: int = 1 << 18):
         row = stop
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased (A-Z) words of a chunk, and each document's first word."""
-    n = len(raw)
+def word_spans(low: np.ndarray, offsets: np.ndarray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words (runs of bytes that are not blank) of a chunk begin and end, and each document's first word."""
+    n = len(low)
     if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    low = _LOWER[raw]
-    blank = _IS_SPACE[low]
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(len(offsets), np.int64)
+    is_blank = blank[low]
     full = offsets[:-1][offsets[1:] > offsets[:-1]]
     before, after = np.empty(n, bool), np.empty(n, bool)
-    before[0], before[1:] = True, blank[:-1]
+    before[0], before[1:] = True, is_blank[:-1]
     before[full] = True
-    after[-1], after[:-1] = True, blank[1:]
+    after[-1], after[:-1] = True, is_blank[1:]
     after[full[1:] - 1] = True
-    first = np.flatnonzero(~blank & before)
-    last = np.flatnonzero(~blank & after) + 1
-    up, down = _power(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[low] * up, out=total[1:])
-    h = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64) * _P)
-    return h, np.searchsorted(first, offsets)
+    first = np.flatnonzero(~is_blank & before)
+    return first, np.flatnonzero(~is_blank & after) + 1, np.searchsorted(first, offsets)
+
+
+def span_hashes(low: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words: polynomials modulo 2^61 - 1 in a fixed base, with the length, scrambled.
+
+    Different words agree with a chance of their length in 2^61, whatever their structure. Long texts go part by part.
+    """
+    h = np.empty(len(first), np.uint64)
+    for k in np.flatnonzero(last - first > _LONG):
+        h[k] = int.from_bytes(hashlib.blake2b(low[first[k] : last[k]].tobytes(), digest_size=8).digest(), "little") >> 3
+    short = np.flatnonzero(last - first <= _LONG)
+    lo, hi, inverse = _powers()
+    at, ends = first[short], last[short]
+    i = 0
+    while i < len(short):
+        j = int(np.searchsorted(ends, at[i] + _PART, "right"))
+        start, size = at[i], ends[j - 1] - at[i]
+        byte = low[start : start + size].astype(np.uint64) + np.uint64(1)
+        a, b = at[i:j] - start, ends[i:j] - start
+        sums = []
+        for power in (lo, hi):  # running sums may wrap; those of one word are below 2^57
+            total = np.zeros(size + 1, np.uint64)
+            np.cumsum(byte * power[:size], out=total[1:])
+            sums.append(total[b] - total[a])
+        high = _reduced(sums[1])  # times 2^32 modulo 2^61 - 1: a rotation of 61 bits
+        value = _reduced(_reduced(sums[0]) + (((high & _LOW29) << np.uint64(32)) | (high >> np.uint64(29))))
+        h[short[i:j]] = mulmod(value, inverse[a])
+        i = j
+    return mix(h + (last - first).astype(np.uint64) * _P)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-cased (A-Z) words of a chunk, and each document's first word."""
+    low = _LOWER[raw]
+    first, last, words = word_spans(low, offsets, blank)
+    return span_hashes(low, first, last), words
 
 
 def shingle_sets(column, width: int):
