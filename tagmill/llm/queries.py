@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tagmill.llm import exactdedup, lengths, mixture, packing, partenum, pii, toolcalls, toxicity, urls, vectors
+from tagmill.llm import exactdedup, imatch, lengths, mixture, negatives, packing, partenum, pii, toolcalls, toxicity, urls, vectors
 from tagmill.llm.common import table
 
 #: The key of the surrogates; a deployment passes its own.
@@ -53,10 +54,20 @@ def op10_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 50th row is an anchor; every 7th label is moved on by one."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_pii_surrogates, op2_url_vocabulary, op3_int8_near_vectors, op4_tool_call_linking, op5_kneser_ney_toxicity,
-        op6_partenum_join, op7_token_histogram, op8_exact_dedup, op9_mixing, op10_length_buckets,
+        op6_partenum_join, op7_token_histogram, op8_exact_dedup, op9_mixing, op10_length_buckets, op11_hard_negatives, op12_imatch_fingerprints,
     )
     return {f.__name__: f for f in ops}
 
@@ -134,5 +145,22 @@ _OP8_SQL = r"""
     SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM n JOIN g USING (t)"""
 
 
+_OP11_SQL = """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS c
+      FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    pairs AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+             list_sum(list_transform(list_zip(a.c, b.c), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.c) = len(b.c) WHERE a.vec_id % 50 = 0),
+    pos AS (SELECT anchor_id, id, score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+    SELECT p.anchor_id, p.id AS positive_id, (row_number() OVER w)::INT AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+    FROM pos p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id)
+    QUALIFY row_number() OVER w <= 3"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_vocabulary": _op2_sql(), "op3_int8_near_vectors": _OP3_SQL, "op4_tool_call_linking": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op11_hard_negatives": _OP11_SQL, "op2_url_vocabulary": _op2_sql(), "op3_int8_near_vectors": _OP3_SQL, "op4_tool_call_linking": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
