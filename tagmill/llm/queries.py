@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagmill.llm import exactdedup, imatch, lengths, mixture, negatives, packing, partenum, pii, toolcalls, toxicity, urls, vectors
+from tagmill.llm import exactdedup, imatch, lengths, mixture, negatives, packing, partenum, phrases, pii, toolcalls, toxicity, urls, vectors
 from tagmill.llm.common import table
 
 #: The key of the surrogates; a deployment passes its own.
@@ -64,10 +64,15 @@ def op12_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine_phrases(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_pii_surrogates, op2_url_vocabulary, op3_int8_near_vectors, op4_tool_call_linking, op5_kneser_ney_toxicity,
         op6_partenum_join, op7_token_histogram, op8_exact_dedup, op9_mixing, op10_length_buckets, op11_hard_negatives, op12_imatch_fingerprints,
+        op13_phrase_collocations,
     )
     return {f.__name__: f for f in ops}
 
@@ -162,5 +167,30 @@ _OP11_SQL = """
     QUALIFY row_number() OVER w <= 3"""
 
 
+_OP13_SQL = r"""
+    WITH w AS (
+      SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w
+      FROM (SELECT coalesce(lang, 'und') AS lang,
+                   unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+            FROM documents)),
+    totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+    g AS (
+      SELECT lang, gram, count(*) AS f
+      FROM (SELECT lang, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1])) AS gram
+            FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)
+      GROUP BY ALL HAVING count(*) >= 100),
+    gone AS (
+      SELECT DISTINCT s.lang, s.gram
+      FROM (SELECT lang, f, unnest([gram[1 : len(gram) - 1], gram[2 :]]) AS gram FROM g WHERE len(gram) > 2) b JOIN g s ON s.lang = b.lang AND s.gram = b.gram AND 100 * b.f >= 100 * s.f),
+    cuts AS (
+      SELECT c.lang, c.gram, c.f AS a, k, x.f AS l, y.f AS r, n, (1000 * c.f::HUGEINT * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+      FROM (SELECT lang, gram, f, unnest(range(1, len(gram))) AS k FROM g WHERE len(gram) > 1) c
+      JOIN g x ON x.lang = c.lang AND x.gram = c.gram[1 : k] JOIN g y ON y.lang = c.lang AND y.gram = c.gram[k + 1 :] JOIN totals t ON t.lang = c.lang
+      ANTI JOIN gone d ON d.lang = c.lang AND d.gram = c.gram),
+    s AS (SELECT *, array_to_string(gram, ' ') AS phrase FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, gram ORDER BY score, k) = 1)
+    SELECT lang, row_number() OVER v AS rank, phrase, a, l, r, n, score FROM s
+    WINDOW v AS (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) QUALIFY row_number() OVER v <= 2000"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_hard_negatives": _OP11_SQL, "op2_url_vocabulary": _op2_sql(), "op3_int8_near_vectors": _OP3_SQL, "op4_tool_call_linking": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
+    return {"op11_hard_negatives": _OP11_SQL, "op13_phrase_collocations": _OP13_SQL, "op2_url_vocabulary": _op2_sql(), "op3_int8_near_vectors": _OP3_SQL, "op4_tool_call_linking": _OP4_SQL, "op8_exact_dedup": _OP8_SQL}
