@@ -149,7 +149,7 @@ def _grams(likely):
                     yield emit([langs[row[k]] for k in new], grams, [0] * len(new), [low[first[k] : last[k]].tobytes().decode() for k in new])
                 if len(known) > FLUSH:  # what is told again is the same
                     known = set()
-        if held:
+        if size:
             yield folded()
         if totals:
             every = list(names)
