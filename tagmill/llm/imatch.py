@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import arrow_batches, chunks, mix, stash, word_hashes
+from tagmill.llm.common import arrow_batches, chunks, discard, mix, stash, word_hashes
 
 #: Terms are runs of letters, digits and bytes beyond ASCII.
 _NO_TERM = np.ones(256, bool)
@@ -67,7 +67,9 @@ def lexicon(docs: DataFrame, idf: tuple[float, float] = IDF, limit: int = LEXICO
     while band.count() > limit:
         least *= 2
         band = counted.where(F.col("df").between(least, most))
-    return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    found = np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
+    discard(counted)
+    return found
 
 
 def memberships(terms: np.ndarray) -> np.ndarray:
@@ -123,14 +125,14 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_ROW = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _judged(ids: list, texts: list[str], terms: np.ndarray, bits: np.ndarray) -> list[pa.Array]:
     """The columns of _ROW for all texts but the last, each with the one after it."""
     new = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
     own, other = fingerprints(pa.array(texts, pa.large_string()), terms, bits), fingerprints(pa.array(new, pa.large_string()), terms, bits)
-    written = lambda rows: pa.array([r.byteswap().tobytes().hex() for r in rows], pa.string())
+    written = lambda rows: pa.array([r.tobytes() for r in rows.byteswap()], pa.binary())
     return [
         pa.array(ids, pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in new], pa.string()),
         written(own[:-1]), written(other), pa.array(likeness(own[:-1], other), pa.float64()), pa.array(likeness(own[:-1], own[1:]), pa.float64()),
@@ -162,7 +164,7 @@ def fingerprint_documents(docs: DataFrame, idf: tuple[float, float] = IDF) -> Da
             return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *[pa.nulls(1, kind) for kind in kinds], pa.array([part()], pa.int32()), pa.array([side]), pa.array([text], pa.large_string())], names=names)
 
         part = lambda: TaskContext.get().partitionId()
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
         names = [*(c.split()[0] for c in _ROW.split(", ")), *(c for c, _ in boundary)]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,4 +198,5 @@ def fingerprint_documents(docs: DataFrame, idf: tuple[float, float] = IDF) -> Da
         tails = ends.where("side = 'tail'").join(F.broadcast(follows), "part").select("doc_id", "text", "following")
         heads = ends.where("side = 'head'").select(F.col("part").alias("following"), F.col("text").alias("next_text"))
         met = stash(tails.join(heads, "following").select("doc_id", "text", "next_text").mapInArrow(meet, _ROW), "met")
-    return found.where("side is null").select(*names[:7]).unionByName(met)
+    whole = found.where("side is null").select(*names[:7]).unionByName(met)
+    return whole.withColumns({c: F.lower(F.hex(c)) for c in ("fingerprint", "edited_fingerprint")})
