@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +19,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 #: Lengths of one slice of the histogram; characters of a text that are encoded at a time.
 SLICE, PIECE = 4096, 100_000
+#: White space of this many characters is too long for the pattern, which would look ahead from each of them.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
 
 
 @lru_cache(maxsize=2)
@@ -45,8 +48,23 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
+def token_count(encoding, text: str) -> int:
+    """The number of tokens of a whole text, however long its words and its white space.
+
+    Of white space before a word the pattern takes all but the last character as one word, and at a text's end all of it:
+    long runs are taken out by that rule, the texts between them are encoded piece by piece.
+    """
+    total, start = 0, 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - 1 if run.end() < len(text) else run.end()
+        total += sum(len(encoding.encode_ordinary(p)) for p in pieces(text[start : run.start()]))
+        total += len(encoding._encode_single_piece(text[run.start() : end]))
+        start = end
+    return total + sum(len(encoding.encode_ordinary(p)) for p in pieces(text[start:]))
+
+
 def encoded_length(path: str = VOCABULARY):
-    """A column function: the number of tokens of each whole text; null and empty texts have none.
+    """A column function: the number of tokens of each whole text; null and empty texts have none, repeated ones each their own.
 
     The vocabulary must lie at the path on every machine; a missing or broken one is an error before any task starts.
     """
@@ -56,7 +74,7 @@ def encoded_length(path: str = VOCABULARY):
     def length(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoding = _encoding(path)
         for texts in batches:
-            yield pd.Series([sum(len(encoding.encode_ordinary(p)) for p in pieces(t)) if t else 0 for t in texts], dtype="int64")
+            yield pd.Series([token_count(encoding, t) if t else 0 for t in texts], dtype="int64")
 
     return length
 
@@ -116,5 +134,9 @@ def quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def count_tokens(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """The histogram of the encoded lengths of the whole texts of docs."""
+    """The histogram of the encoded lengths of the whole texts of docs.
+
+    Null and empty texts have length 0; repeated rows count each; very long texts, words and white space are counted whole.
+    Other columns, whatever their names, are ignored; an empty table gives no rows.
+    """
     return length_histogram(docs.select(encoded_length(path)("text").alias("length")))

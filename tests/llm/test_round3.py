@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import common, imatch, negatives, partenum, phrases
+from tagmill.llm import common, imatch, lengths, negatives, partenum, phrases
 
 SF = "/root/testdata/sf0.001"
 
@@ -268,3 +268,21 @@ def test_paths_hold_the_longest_repeated_passages(spark):
     assert paths[tuple(passage.split())] == 6
     counts = {tuple(words[k] for k in r.gram): r.f for r in graph["counts"][3].collect() if r.f >= 5}
     assert counts["p7", "p8", "p9"] == 6 and counts["c", "d", "e"] == 18 and counts["f", "g", "c"] == 12
+
+
+@pytest.mark.parametrize("mark", [" ", "\n", "\t", "\r\n", " \n\t", "\u3000", "\x85 "])
+def test_long_white_space_counts_by_the_pattern(mark):
+    encoding = lengths._encoding(lengths.VOCABULARY)
+    for n in (4095, 4096, 9000, 30_000):
+        run = (mark * n)[:n]
+        for text in (run, f"a{run}b", f"a{run}", f"{run}b", f"it's {run}'ll{run}\u00e9{run}7", f"x {run}\x1c y"):
+            assert lengths.token_count(encoding, text) == len(encoding.encode_ordinary(text)), (n, text[:3])
+
+
+def test_very_long_runs_are_counted(spark):
+    texts = ["a" + " " * 2_000_000 + "b", "a" + "\n" * 2_000_000 + "b", "\t" * 2_000_000, "a" + " \n" * 1_000_000 + "b c", "ab" * 500_000, "7" * 500_000, "!?" * 250_000]
+    docs = spark.createDataFrame([(t, 1, "x") for t in texts] + [(None, 1, "x")], "text string, length int, n_docs string")
+    found = {r.length: r.n_docs for r in lengths.count_tokens(docs).collect()}
+    # This vocabulary has a token for each white space alone, and for two line ends.
+    expected = [2_000_001, 1_000_003, 2_000_000, 2_000_003, 500_000, 250_000, 250_001, 0]
+    assert found == Counter(expected)
