@@ -19,12 +19,14 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[*b".,;:!?", *range(10, 14)]] = True
 _BLANK = _BREAK.copy()
 _BLANK[[9, 32]] = True
-#: Cells in which words and pairs of neighbours are counted ahead; a cell below the least count has no frequent one.
-CELL_BITS = 24
+#: Grams are counted ahead by so many bits of their hash, and the frequent ones put into a filter of so many bits at most (128 MB).
+CELL_BITS, MOST_BITS = 40, 1 << 30
 #: Rows of grams that a task folds at a time, edges of one row of a compacted path, rows of counts that are broadcast at most,
 #: parts in which a language's best phrases are ranked first.
 FLUSH, PATH, SIDE_ROWS, PARTS = 1 << 19, 1024, 250_000, 64
 BATCH_BYTES = 8 << 20
+#: All occurrences of a node have the same neighbour before them, and the same one after.
+UNARY = "`left` = f and `right` = f"
 _GRAM = "lang string, gram array<long>, n long, word string"
 
 
@@ -47,47 +49,92 @@ def words_of(column, langs: list[str]) -> Iterator[tuple]:
         yield h, joined, row + doc, salt[row + doc], (first, last), low
 
 
-def cells(h: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each word, and of each word with the one before it (the first has none)."""
-    shift = np.uint64(64 - CELL_BITS)
-    return (mix(h ^ salt) >> shift).astype(np.int64), (mix((h[:-1] ^ salt[1:]) * _P + h[1:]) >> shift).astype(np.int64)
+def gram_hashes(h: np.ndarray, salt: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the grams of 1 to LONGEST words that begin at each word; the last words' longer ones have no meaning."""
+    found = [mix(h ^ salt)]
+    for k in range(1, LONGEST):
+        after = np.zeros(len(h), np.uint64)
+        after[: max(0, len(h) - k)] = h[k:]
+        found.append(mix(found[-1] * _P + after))
+    return found
+
+
+def lengths_by(joined: np.ndarray, frequent: list[np.ndarray]) -> np.ndarray:
+    """How long the longest gram from each word is, all of whose parts are among the frequent ones (by length); 0 for none."""
+    ok, total = frequent[0], frequent[0].astype(np.int64)
+    for k in range(1, len(frequent)):
+        both = np.zeros(len(ok), bool)
+        both[:-1] = ok[:-1] & ok[1:]
+        if k == 1:
+            both[:-1] &= joined[1:]
+        ok = both & frequent[k]
+        total += ok
+    return total
+
+
+def seen(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    at = (grams >> np.uint64(64 - CELL_BITS)) & np.uint64(len(bits) * 64 - 1)
+    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _counted(likely):
+    """(cell, n) of the task's words and pairs of neighbours; or, once the frequent ones are known, of the longer grams of such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def folded() -> pa.RecordBatch:
+            cell, n = np.unique(np.concatenate(held) >> np.uint64(64 - CELL_BITS), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int32))], names=["cell", "n"])
+
+        for batch in batches:
+            for h, joined, _, salt, _, _ in words_of(batch.column(1), batch.column(0).to_pylist()):
+                grams = gram_hashes(h, salt)
+                if likely is None:
+                    found = [grams[0], grams[1][:-1][joined[1:]]]
+                else:
+                    pairs = lengths_by(joined, [seen(likely.value, g) for g in grams[:2]]) == 2
+                    found, many = [], pairs
+                    for k in range(2, LONGEST):
+                        many = many & np.r_[pairs[k - 1 :], np.zeros(min(k - 1, len(h)), bool)]
+                        found.append(grams[k][many])
+                held += found
+                size += sum(map(len, found))
+                if size >= 8 * FLUSH:
+                    yield folded()
+                    held, size = [], 0
+        if size:
+            yield folded()
 
+    return run
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, n) of the task's words and pairs of neighbours."""
-    total = np.zeros(1 << CELL_BITS, np.int32)
-    for batch in batches:
-        for h, joined, _, salt, _, _ in words_of(batch.column(1), batch.column(0).to_pylist()):
-            single, pair = cells(h, salt)
-            np.add.at(total, single, 1)
-            np.add.at(total, pair[joined[1:]], 1)
-    full = np.flatnonzero(total)
-    for k in range(0, len(full), FLUSH):
-        at = full[k : k + FLUSH]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(np.int64))], names=["cell", "n"])
 
+def frequent_grams(texts: DataFrame, least: int, likely=None) -> np.ndarray:
+    """A filter of bits by hash in which every gram of at least so many occurrences is found, and few others.
 
-def frequent_cells(texts: DataFrame, least: int) -> np.ndarray:
-    """A bit for each cell that counts at least so many words and pairs: 2 MB, whatever the corpus."""
-    counted = texts.mapInArrow(_counted, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    rows = counted.groupBy(F.shiftright("cell", 6).alias("at")).agg(F.expr("bit_or(shiftleft(1L, cell & 63))").alias("bits")).toPandas()
-    found = np.zeros(1 << (CELL_BITS - 6), np.uint64)
+    Grams are counted by 40 bits of their hash, each task's folded first. The filter has 16 bits for each frequent one, up to MOST_BITS: it is
+    of bounded size and only spares work, as what it lets through is counted exactly later.
+    """
+    counted = texts.mapInArrow(_counted(likely), "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = stash(counted.select("cell"), "frequent")
+    size = min(MOST_BITS, 1 << max(16, (16 * counted.count()).bit_length()))
+    at = F.col("cell").bitwiseAND(F.lit(size - 1))
+    rows = counted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    discard(counted)
+    found = np.zeros(size >> 6, np.uint64)
     found[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
     return found
 
 
 def _grams(likely):
-    """Edges, run ends, vocabulary and totals of a task's texts, folded from time to time.
+    """(lang, gram, n), vocabulary and totals of a task's texts, folded from time to time.
 
-    A phrase of so many occurrences consists of such words and such pairs of neighbours. So pieces are cut into runs where the
-    cells rule a word or a pair out: each run gives its longest grams as edges, and its last words (up to four) as an end.
+    Each word gives the longest gram from it, of five words at most, that may be frequent: those of five are edges, shorter ones ends,
+    where the piece ends or nothing longer is frequent. So a frequent gram occurs as often as rows begin with it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, names, held, size, known, totals = likely.value, {}, [], 0, set(), {}
-
-        def frequent(cell: np.ndarray) -> np.ndarray:
-            return (bits[cell >> 6] >> (cell & 63).astype(np.uint64)) & np.uint64(1) == 1
+        names, held, size, known, totals = {}, [], 0, set(), {}
 
         def emit(lang, grams, n, word) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), grams, pa.array(n, pa.int64()), pa.array(word, pa.string())], names=["lang", "gram", "n", "word"])
@@ -116,44 +163,34 @@ def _grams(likely):
             for h, joined, row, salt, (first, last), low in words_of(batch.column(1), langs):
                 for k, n in zip(*np.unique(place[row], return_counts=True), strict=True):
                     totals[int(k)] = totals.get(int(k), 0) + int(n)
-                single, pair = cells(h, salt)
-                word = frequent(single)
-                follows = joined.copy()
-                follows[1:] &= frequent(pair) & word[1:] & word[:-1]
-                begins = np.flatnonzero(~follows)
-                ends = np.r_[begins[1:], len(h)]
-                left = np.repeat(ends, ends - begins) - np.arange(len(h))  # words from here to the run's end
-                edge = np.flatnonzero(left >= LONGEST)
-                rows = np.zeros((len(edge), LONGEST + 1), np.uint64)
-                rows[:, 0] = place[row[edge]]
+                grams = gram_hashes(h, salt)
+                short, long = likely
+                many = lengths_by(joined, [seen(short.value, g) for g in grams[:2]] + [seen(long.value, g) for g in grams[2:]])
+                at = np.flatnonzero(many)
+                rows = np.zeros((len(at), LONGEST + 1), np.uint64)
+                rows[:, 0] = place[row[at]]
                 for k in range(LONGEST):
-                    rows[:, k + 1] = h[edge + k]
-                tail = ends[(ends - begins > 1) | word[begins]]
-                many = np.minimum((ends - begins)[(ends - begins > 1) | word[begins]], LONGEST - 1)
-                closing = np.zeros((len(tail), LONGEST + 1), np.uint64)
-                closing[:, 0] = place[row[tail - 1]]
-                for k in range(LONGEST - 1):
-                    at = np.flatnonzero(many > k)
-                    closing[at, k + 1] = h[tail[at] - many[at] + k]
-                held += [rows, closing]
-                size += len(rows) + len(closing)
+                    on = np.flatnonzero(many[at] > k)
+                    rows[on, k + 1] = h[at[on] + k]
+                held.append(rows)
+                size += len(rows)
                 if size >= FLUSH:
                     yield folded()
                     held, size = [], 0
-                at = np.flatnonzero(word)
-                _, one = np.unique(h[at] ^ salt[at], return_index=True)
+                _, one = np.unique(grams[0][at], return_index=True)
                 new = [k for k in at[one].tolist() if (int(place[row[k]]), int(h[k])) not in known]
                 if new:
                     known.update((int(place[row[k]]), int(h[k])) for k in new)
-                    grams = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32)), pa.array(h[new].view(np.int64)))
-                    yield emit([langs[row[k]] for k in new], grams, [0] * len(new), [low[first[k] : last[k]].tobytes().decode() for k in new])
+                    keys = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1, dtype=np.int32)), pa.array(h[new].view(np.int64)))
+                    yield emit([langs[row[k]] for k in new], keys, [0] * len(new), [low[first[k] : last[k]].tobytes().decode() for k in new])
                 if len(known) > FLUSH:  # what is told again is the same
                     known = set()
         if size:
             yield folded()
         if totals:
             every = list(names)
-            yield emit([every[k] for k in totals], pa.ListArray.from_arrays(pa.array(np.zeros(len(totals) + 1, np.int32)), pa.array([], pa.int64())), list(totals.values()), [None] * len(totals))
+            none = pa.ListArray.from_arrays(pa.array(np.zeros(len(totals) + 1, np.int32)), pa.array([], pa.int64()))
+            yield emit([every[k] for k in totals], none, list(totals.values()), [None] * len(totals))
 
     return run
 
@@ -162,56 +199,52 @@ def compact_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(lang, words, f): maximal chains of edges (lang, gram, f) through unary nodes, each all of whose occurrences have one neighbour on either side.
 
     Pointers to the edge before are doubled until all end at a chain's first edge; the edges of a chain then are one row, or several of PATH
-    edges, which overlap in a node. Chains without a first edge (cycles) stay edge by edge. Each round's table is written to the shared folder.
+    edges, which overlap in a node. A chain always has a first edge: where a node's first occurrence in a text stands, it has no neighbour
+    that came earlier. Each round's table is written to the shared folder.
     """
     edges = stash(edges.withColumn("id", F.monotonically_increasing_id()), "edges")
-    unary = nodes.where((F.col("left") == F.col("f")) & (F.col("right") == F.col("f"))).select("lang", F.col("gram").alias("node"))
+    unary = nodes.where(UNARY).select("lang", F.col("gram").alias("node"))
     enters = edges.select("lang", F.slice("gram", 2, LONGEST - 1).alias("node"), F.col("id").alias("up"))
     leaves = edges.select("lang", F.slice("gram", 1, LONGEST - 1).alias("node"), "id")
     before = unary.join(enters, ["lang", "node"]).join(leaves, ["lang", "node"]).where("id <> up").select("id", "up")
     n = edges.count()
     at = stash(edges.select("id").join(before, "id", "left").select("id", F.coalesce("up", "id").alias("up"), F.col("up").isNotNull().cast("long").alias("far")), "pointers")
-    for _ in range(max(1, n.bit_length())):
-        if at.where("up <> id").isEmpty():
-            break
+    moved = True
+    while moved:
         step = split_join(at, at.select(F.col("id").alias("up"), F.col("up").alias("top"), F.col("far").alias("more")), ["up"], n)
         step = stash(step.select("id", F.col("top").alias("up"), (F.col("far") + F.col("more")).alias("far"), (F.col("top") != F.col("up")).alias("moved")), "pointers")
         moved = not step.where("moved").isEmpty()
         discard(at)
         at = step
-        if not moved:
-            break
-    heads = at.where("up = id").select(F.col("id").alias("up"))
-    chained = split_join(at.select("id", "up", "far"), heads.withColumn("head", F.lit(True)), ["up"], n, "left")
-    chained = chained.select("id", F.when(F.col("head"), F.col("up")).otherwise(F.col("id")).alias("path"), F.when(F.col("head"), F.col("far")).otherwise(0).alias("far"))
-    rows = edges.join(chained, "id").groupBy("path", F.floor(F.col("far") / PATH).alias("stretch"))
+    rows = edges.join(at.select("id", "up", "far"), "id").groupBy(F.col("up").alias("path"), F.floor(F.col("far") / PATH).alias("stretch"))
     rows = rows.agg(F.first("lang").alias("lang"), F.first("f").alias("f"), F.array_sort(F.collect_list(F.struct("far", "gram"))).alias("g"))
     return rows.select("lang", F.concat(F.col("g")[0]["gram"], F.transform(F.slice("g", 2, PATH), lambda x: F.element_at(x["gram"], -1))).alias("words"), "f")
 
 
 def _shorter(level: DataFrame, ends: DataFrame, k: int) -> DataFrame:
-    """(lang, gram, f, left, right) of grams of k words from those of k + 1: what flows out of a gram, plus where runs end with it.
+    """(lang, gram, f, left, right) of grams of k words from those of k + 1: what flows out of a gram, plus the ends that are it.
 
     left and right are the counts of its most frequent extension by a word on either side.
     """
     none = F.lit(0).cast("long")
     flows = level.select("lang", F.slice("gram", 1, k).alias("gram"), "f", none.alias("left"), F.col("f").alias("right"))
     flows = flows.unionByName(level.select("lang", F.slice("gram", 2, k).alias("gram"), none.alias("f"), F.col("f").alias("left"), none.alias("right")))
-    closing = ends.where(F.size("gram") >= k).select("lang", F.expr(f"slice(gram, size(gram) - {k - 1}, {k})").alias("gram"), "f", none.alias("left"), none.alias("right"))
+    closing = ends.where(F.size("gram") == k).select("lang", "gram", "f", none.alias("left"), none.alias("right"))
     return flows.unionByName(closing).groupBy("lang", "gram").agg(F.sum("f").alias("f"), F.max("left").alias("left"), F.max("right").alias("right"))
 
 
 def phrase_graph(docs: DataFrame, least: int) -> dict:
     """The graph of phrases with at least so many occurrences, of docs (text, lang): its tables.
 
-    counts: (lang, gram, f, left, right) by length 1 to 5, exact for all grams whose words and neighbours are frequent;
-    paths: compacted chains of frequent edges; words: (lang, key, word) of each word's hash; totals: (lang, n) of all words.
+    counts: (lang, gram, f, left, right) by length 1 to 5, exact where f >= least; paths: compacted chains of
+    frequent edges; words: (lang, key, word) of each word's hash; totals: (lang, n) of all words.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce("lang", F.lit("und")).cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     with arrow_batches(spark, BATCH_BYTES):
-        likely = spark.sparkContext.broadcast(frequent_cells(texts, least))
-        told = stash(texts.mapInArrow(_grams(likely), _GRAM), "grams")
+        short = spark.sparkContext.broadcast(frequent_grams(texts, least))
+        long = spark.sparkContext.broadcast(frequent_grams(texts, least, short))
+        told = stash(texts.mapInArrow(_grams((short, long)), _GRAM), "grams")
     totals = told.where("word is null and size(gram) = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     words = told.where("word is not null").groupBy("lang", F.col("gram")[0].alias("key")).agg(F.min("word").alias("word"))
     grams = stash(told.where("word is null and size(gram) > 0").groupBy("lang", "gram").agg(F.sum("n").alias("f")), "edges")
@@ -220,10 +253,9 @@ def phrase_graph(docs: DataFrame, least: int) -> dict:
     counts = {LONGEST: edges.withColumns({"left": none, "right": none})}
     nodes = counts[LONGEST - 1] = stash(_shorter(edges, ends, LONGEST - 1), "nodes")
     paths = stash(compact_paths(edges.where(F.col("f") >= least), nodes.where(F.col("f") >= least)), "paths")
-    # Nodes inside a path have the path's count: they come from its row, the others from the flow.
+    # Nodes inside a path have the path's count and come from its row; the others come from the flow.
     inside = paths.where(F.size("words") > LONGEST).select("lang", "f", F.explode(F.expr(f"transform(sequence(2, size(words) - {LONGEST - 1}), i -> slice(words, i, {LONGEST - 1}))")).alias("gram"))
-    crossings = nodes.join(inside.select("lang", "gram"), ["lang", "gram"], "left_anti").select("lang", "gram", "f")
-    level = crossings.unionByName(inside)
+    level = nodes.where((F.col("f") < least) | ~F.expr(UNARY)).select("lang", "gram", "f").unionByName(inside)
     for k in range(LONGEST - 2, 0, -1):
         level = counts[k] = stash(_shorter(level, ends, k), "grams")
     return {"counts": counts, "paths": paths, "words": words, "totals": totals}
@@ -236,12 +268,13 @@ def mine_phrases(docs: DataFrame, least: int = 100, top: int = 2000, share: int
     its words but the last: l and r are the parts' counts, and floor(1000 a n / (l r)) of the lowest-scoring cut (the
     first of several) is its score, exact in decimals. Phrases inside a longer one that has 100 f >= share * a go.
 
-    1. Words and pairs of neighbours are counted in 2^24 cells; what a cell rules out cuts pieces into runs. That is exact: no
-       frequent phrase goes over such a cut. In a corpus whose cells are all full, runs are whole pieces.
-    2. Grams of five words in runs are edges, each task's folded before they move, between nodes of four words. Node flows,
-       plus the ends of runs, give the counts of shorter grams, length by length, and each gram's best extensions.
-    3. Chains through unary nodes are compacted to paths by pointer doubling. Only counts of at least `least` are joined to
-       the cuts; each language's phrases are ranked in parts before the last ranking sees the best of each.
+    1. Words and pairs of neighbours, then longer grams of frequent pairs, are counted by hash; a filter of bounded size holds the
+       frequent ones and some others. No frequent phrase holds a gram that isn't in it.
+    2. Each word gives the longest such gram from it: five words are an edge between nodes of four, fewer are an end. Each task's are
+       folded before they move. Node flows plus ends give the counts of shorter grams, length by length, and each
+       gram's best extensions. Chains through unary nodes are compacted to paths by pointer doubling.
+    3. Only counts of at least `least` are joined to the cuts; each language's phrases are ranked in parts before the last
+       ranking sees the best of each.
 
     Null texts are empty, a null language is `und`; repeated rows count each; very long texts and words are read whole. Words
     are told apart by 61-bit hashes. Other columns are ignored; an empty table gives no rows.

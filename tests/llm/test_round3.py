@@ -243,10 +243,10 @@ def test_phrases_equal_brute_force(spark, least, top, share, monkeypatch):
     assert found == brute_phrases(rows, least, top, share) != []
 
 
-def test_phrases_without_broadcasts_and_with_full_cells(spark, monkeypatch):
-    """The same when every join shuffles, and when no cell rules anything out."""
+def test_phrases_without_broadcasts_and_with_full_filters(spark, monkeypatch):
+    """The same when every join shuffles, and when the filters let everything through."""
     monkeypatch.setattr(phrases, "SIDE_ROWS", 0)
-    monkeypatch.setattr(phrases, "frequent_cells", lambda *_: np.full(1 << (phrases.CELL_BITS - 6), (1 << 64) - 1, np.uint64))
+    monkeypatch.setattr(phrases, "frequent_grams", lambda *_: np.full(1 << 4, (1 << 64) - 1, np.uint64))
     rows = language_rows(9, 150)
     docs = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(r) for r in phrases.mine_phrases(docs, 8, 100).collect()) == brute_phrases(rows, 8, 100)
@@ -268,6 +268,7 @@ def test_paths_hold_the_longest_repeated_passages(spark):
     assert paths[tuple(passage.split())] == 6
     counts = {tuple(words[k] for k in r.gram): r.f for r in graph["counts"][3].collect() if r.f >= 5}
     assert counts["p7", "p8", "p9"] == 6 and counts["c", "d", "e"] == 18 and counts["f", "g", "c"] == 12
+    assert len(paths) == 3  # the passage, and the cycle without and with the edges over its seam
 
 
 @pytest.mark.parametrize("mark", [" ", "\n", "\t", "\r\n", " \n\t", "\u3000", "\x85 "])
