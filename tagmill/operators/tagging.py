@@ -7,10 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.functions.tags import normalize_tag, tag_verdict
-from tagmill.functions.text import assess_quality, bind, clean_text, has_sufficient_text, is_gibberish
+from tagmill.functions.text import MIN_TEXT, SCANNED_CHARS_PER_PAGE, assess_quality, bind, clean_text, has_sufficient_text, is_gibberish, strip
+from tagmill.operators.shared import keep
 
 #: An exclusion list up to so many terms becomes a filter; up to so many it may be broadcast; beyond, the join shuffles.
 FILTER_TERMS, BROADCAST_TERMS = 2_000, 100_000
+#: A word is hot, so that its document count is broadcast, in at least so many documents and one of so many.
+HOT_LEAST, HOT_SHARE = 1_000, 1_000
 
 
 def hyphenated(text: Column) -> Column:
@@ -74,58 +77,114 @@ def new_tags_only(tags: DataFrame, had: DataFrame, key: str) -> DataFrame:
     return tags.withColumn("_low", F.lower("tag")).join(low, [key, "_low"], "left_anti").drop("_low")
 
 
-def _counted(text: Column) -> Column:
-    """The words of 4 letters or more of a text with their counts, an array of (tag, tf): runs of equal words, once sorted."""
+def _tallied(words: Column) -> Column:
+    """Distinct words with their counts, an array of (tag, tf): runs of equal words, once sorted."""
 
     def runs(w: Column) -> Column:
         starts = F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == 1) | (F.get(w, i - 1) != F.get(w, i - 2)))).otherwise(F.array().cast("array<int>"))
         return bind(starts, lambda s: F.transform(s, lambda p, k: F.struct(F.get(w, p - 1).alias("tag"), (F.coalesce(F.get(s, k + 1), F.size(w) + 1) - p).cast("long").alias("tf"))))
 
-    return bind(F.sort_array(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{4,}"), F.lit(0))), runs)
+    return bind(F.sort_array(words), runs)
+
+
+def _counted(text: Column) -> Column:
+    return _tallied(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z]{4,}"), F.lit(0)))
+
+
+def _phrases(text: Column, longest: int) -> Column:
+    """Words and phrases of a text with their counts: phrases stand in one piece, occur twice at least, and neither begin nor end with
+    a short word. What a longer one holds as often is left out."""
+
+    def runs(words: Column, k: int, least: int) -> Column:
+        """The runs of k words, if there are at least so many words."""
+        every = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        return F.when(F.size(words) >= least, every).otherwise(F.array().cast("array<string>"))
+
+    grams = lambda words: F.concat(*[runs(words, k, k) for k in range(1, longest + 1)])
+    pieces = F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z ]+")
+    every = F.flatten(F.transform(pieces, lambda p: bind(F.filter(F.split(p, " "), lambda w: w != ""), grams)))
+    tallied = _tallied(F.filter(every, lambda g: g.rlike("^[a-z]{4,}($| )") & g.rlike("(^| )[a-z]{4,}$")))
+    kept = F.filter(tallied, lambda x: (x["tf"] > 1) | ~x["tag"].contains(" "))
 
+    def held(x: Column) -> Column:
+        return F.transform(bind(F.split(x["tag"], " "), lambda w: F.concat(*[runs(w, k, k + 1) for k in range(1, longest)])), lambda t: F.struct(t.alias("tag"), F.lit(0).alias("own"), x["tf"].alias("tf")))
 
-def _candidates(counts: DataFrame, n: int) -> DataFrame:
-    """(doc_id, tag, tf, df, rank) of counts (doc_id, tag, tf), which are partitioned by document.
+    def maximal(own: Column) -> Column:
+        # Sorted, a gram's own entry follows those of the longer ones that hold it, the most frequent of them last.
+        inside = F.flatten(F.transform(F.filter(own, lambda x: x["tag"].contains(" ")), held))
+        merged = F.sort_array(F.concat(inside, F.transform(own, lambda x: F.struct(x["tag"].alias("tag"), F.lit(1).alias("own"), x["tf"].alias("tf")))))
+        covered = lambda m, x, i: (F.get(m, i - 1)["tag"] == x["tag"]) & (F.get(m, i - 1)["tf"] >= x["tf"])
+        left = lambda m: F.filter(m, lambda x, i: (x["own"] == 1) & ~F.coalesce((i > 0) & covered(m, x, i), F.lit(False)))
+        return F.transform(bind(merged, left), lambda x: F.struct(x["tag"].alias("tag"), x["tf"].alias("tf")))
 
-    Only words that may be among the first n go on to the join with the words' document counts: those whose tf has rank n
-    or better, ties and all, so hot words of little weight stay behind.
+    return bind(kept, maximal)
+
+
+def _ranked(rows: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tag, tf, df, rank) of a written table (doc_id, w), w an array of (tag, tf): the first n by tf, then rarity.
+
+    Only what may be among the first n leaves its row: those whose tf has rank n or better, ties and all. Their document counts come by
+    two joins: words of one document in HOT_SHARE or more, of which there are at most HOT_SHARE times a mean document's words, are
+    broadcast; of the others no word has a large share of the rows.
     """
-    df = counts.groupBy("tag").agg(F.sum(F.when(F.col("tf") > 0, 1)).alias("df"))
-    likely = counts.withColumn("_r", F.rank().over(W.partitionBy("doc_id").orderBy(F.desc("tf")))).where((F.col("_r") <= n) & (F.col("tf") > 0)).drop("_r")
-    return top_tags(likely.join(df, "tag"), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
+    df = rows.select(F.explode("w").alias("w")).groupBy(F.col("w.tag").alias("tag")).agg(F.count(F.lit(1)).alias("df"))
+    df = keep(df, "document-counts")
+    hot = F.broadcast(df.where(F.col("df") >= max(HOT_LEAST, rows.count() // HOT_SHARE)).withColumnRenamed("df", "_hot"))
+    least = F.coalesce(F.get(F.sort_array(F.transform("w", lambda x: x["tf"]), False), F.lit(n - 1)), F.lit(0))
+    likely = rows.select("doc_id", F.explode(bind(least, lambda t: F.filter("w", lambda x: x["tf"] >= t))).alias("w")).select("doc_id", "w.tag", "w.tf")
+    likely = likely.join(hot, "tag", "left")
+    known = likely.where("_hot is not null").select("doc_id", "tag", "tf", F.col("_hot").alias("df"))
+    rest = likely.where("_hot is null").drop("_hot").join(df, "tag").select("doc_id", "tag", "tf", "df")
+    return top_tags(known.unionByName(rest), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
 
 
 def candidate_tags(docs: DataFrame, n: int = 8) -> DataFrame:
     """(doc_id, tag, tf, df, rank): words of 4 letters or more ranked by tf, then rarity: a stand-in for a model.
 
-    Words are counted within their row; one shuffle by document serves both the document counts and the ranking.
+    Words are counted within their row, once, and written; the texts are read only then.
+    """
+    return _ranked(keep(docs.select("doc_id", _counted(F.col("text")).alias("w")), "words"), n)
+
+
+def candidate_phrases(docs: DataFrame, n: int = 8, longest: int = 3, min_df: int = 2) -> DataFrame:
+    """(doc_id, tag, tf, df, rank): words and phrases of up to `longest` words, ranked by tf, then rarity.
+
+    A word or phrase goes if a longer phrase of the document holds it as often. Of a document's first n, those of fewer than
+    min_df documents go. Null and empty texts have none; doc_id must be unique.
     """
-    counts = docs.select("doc_id", F.explode(_counted(F.col("text"))).alias("w")).select("doc_id", "w.tag", "w.tf").repartition("doc_id")
-    return _candidates(counts, n)
+    return _ranked(keep(docs.select("doc_id", _phrases(F.col("text"), longest).alias("w")), "phrases"), n).where(F.col("df") >= min_df)
 
 
 def tag_documents(docs: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
-    """One row per document: success, tags, error. A document without enough readable text has a stage-prefixed error.
+    """One row per document: success, tags, error, metadata. A document without enough readable text has a stage-prefixed error.
 
-    Each text is cleaned and judged once, and becomes its counted words and one row for itself (tf -1, with its error in
-    the place of the tag); one shuffle by document serves all that follows.
+    Each text is read, cleaned and judged once; its counted words, its length and its error are written, one row per document, and all that
+    follows reads that table. metadata is null without enough text; page_count, extraction_method and ocr_confidence are
+    those columns of docs where it has them.
     """
     short, odd = "Text extraction failed: insufficient text", "Text extraction failed: gibberish"
+    given = {"page_count": "int", "extraction_method": "string", "ocr_confidence": "double"}
+    known = {c: F.col(c).cast(t) if c in docs.columns else F.lit({"page_count": 1, "extraction_method": "text"}.get(c)).cast(t) for c, t in given.items()}
+    none = F.array().cast("array<struct<tag:string,tf:bigint>>")
+
+    def judged(text: Column) -> Column:
+        error = F.when(~has_sufficient_text(text), short).when(is_gibberish(text), odd)
+        return F.struct(text.alias("text"), error.alias("error"), F.length(strip(text)).alias("length"))
 
-    def entries(x: Column) -> Column:
-        own = F.array(F.struct(x["error"].alias("tag"), F.lit(-1).cast("long").alias("tf")))
-        return F.concat(own, F.when(x["error"].isNull(), _counted(x["text"])).otherwise(F.array().cast("array<struct<tag:string,tf:bigint>>")))
+    def told(x: Column) -> Column:
+        return F.struct(x["error"].alias("error"), x["length"].alias("length"), F.when(x["error"].isNull(), _counted(x["text"])).otherwise(none).alias("w"))
 
-    judged = lambda t: F.struct(t.alias("text"), F.when(~has_sufficient_text(t), short).when(is_gibberish(t), odd).alias("error"))
-    counts = docs.select("doc_id", F.explode(bind(bind(clean_text(F.col("text")), judged), entries)).alias("w")).select("doc_id", "w.tag", "w.tf").repartition("doc_id")
-    found = _candidates(counts, 3 * n).withColumn("tag", normalize_tag(F.col("tag")))
+    rows = docs.select("doc_id", *[c.alias(k) for k, c in known.items()], bind(bind(clean_text(F.col("text")), judged), told).alias("x"))
+    rows = keep(rows.select("doc_id", *given, "x.*"), "judged")
+    found = _ranked(rows.select("doc_id", "w"), 3 * n).withColumn("tag", normalize_tag(F.col("tag")))
     found = exclude_tags(found.where(tag_verdict(F.col("tag")) == "valid"), terms)
     best = top_tags(first_occurrence(found, "doc_id", "rank"), "doc_id", n, F.desc("tf"), F.asc("df"), "tag")
-    rows = counts.where("tf = -1").select("doc_id", F.col("tag").alias("error"), F.lit(None).cast("struct<rank:int,tag:string>").alias("t"))
-    both = rows.unionByName(best.select("doc_id", F.lit(None).cast("string").alias("error"), F.struct("rank", "tag").alias("t")))
-    out = both.groupBy("doc_id").agg(F.max("error").alias("error"), F.transform(F.array_sort(F.collect_list("t")), lambda x: x["tag"]).alias("tags"))
+    listed = best.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tag"))), lambda x: x["tag"]).alias("tags"))
+    out = rows.drop("w").join(listed, "doc_id", "left").withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     out = out.withColumn("error", F.coalesce("error", F.when(F.size("tags") == 0, "Tag generation failed: no tags")))
-    return out.select("doc_id", F.col("error").isNull().alias("success"), "tags", "error")
+    scanned = F.coalesce(F.try_divide(F.col("length"), F.col("page_count")), F.lit(0.0)) < SCANNED_CHARS_PER_PAGE
+    metadata = F.struct(scanned.alias("is_scanned"), "extraction_method", "ocr_confidence", "page_count", F.col("length").alias("text_length"))
+    return out.select("doc_id", F.col("error").isNull().alias("success"), "tags", "error", F.when(F.col("length") >= MIN_TEXT, metadata).alias("metadata"))
 
 
 def preview_tags(tags: Column, n: int) -> Column:

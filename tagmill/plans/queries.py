@@ -342,6 +342,18 @@ def candidate_tags(spark, sf_dir):
     return tagging.candidate_tags(_t(spark, sf_dir, "documents"))
 
 
+PHRASES = """WITH p AS (SELECT doc_id, list_filter(string_split(unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z ]+')), ' '), lambda w: w <> '') AS w FROM documents),
+ g AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS tag FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+ t AS (SELECT doc_id, k, tag, count(*) AS tf FROM g WHERE regexp_matches(tag, '^[a-z]{4,}($| )') AND regexp_matches(tag, '(^| )[a-z]{4,}$') GROUP BY ALL HAVING k = 1 OR count(*) > 1),
+ h AS (SELECT doc_id, tf, string_split(tag, ' ') AS w, k FROM t WHERE k > 1), i AS (SELECT doc_id, tf, unnest(list_transform(range(1, k - j + 2), lambda i: array_to_string(w[i : i + j - 1], ' '))) AS tag FROM h, (SELECT unnest([1, 2]) AS j) WHERE j < k),
+ tf AS (SELECT doc_id, tag, tf FROM t ANTI JOIN i ON i.doc_id = t.doc_id AND i.tag = t.tag AND i.tf >= t.tf), df AS (SELECT tag, count(*) AS df FROM tf GROUP BY ALL)"""
+
+
+@query(PHRASES + ", r AS (SELECT doc_id, tag, tf, df, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, df, tag) AS rank FROM tf JOIN df USING (tag)) SELECT doc_id, tag, tf, df, rank::INT AS rank FROM r WHERE rank <= 8 AND df >= 2")
+def candidate_phrases(spark, sf_dir):
+    return tagging.candidate_phrases(_t(spark, sf_dir, "documents"))
+
+
 _OWN = [t.replace(" ", "-") for t in TERMS]
 TAGGED = f"""WITH c AS (SELECT doc_id, {CLEAN} AS c FROM documents), cw AS (SELECT doc_id, c, {_w('c')} AS w FROM c), ck AS (SELECT doc_id, CASE WHEN len(w) > 2500 THEN array_to_string(w[:2500], ' ') ELSE c END AS text FROM cw),
  s AS (SELECT doc_id, {STRIP} AS text FROM ck), g AS ({SQL['gibberish_text'].replace('FROM documents', 'FROM s')}),
@@ -349,12 +361,13 @@ TAGGED = f"""WITH c AS (SELECT doc_id, {CLEAN} AS c FROM documents), cw AS (SELE
  {CAND.replace('FROM documents', 'FROM e WHERE error IS NULL')[5:]}, r AS (SELECT doc_id, tag, tf, df, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, df, tag) AS k FROM tf JOIN df USING (tag)),
  v AS (SELECT *, {VERDICT} AS verdict FROM r WHERE k <= 24), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, df, tag) AS rank FROM v WHERE verdict = 'valid' AND tag NOT IN ({', '.join(f"'{t}'" for t in _OWN)})),
  l AS (SELECT doc_id, list(tag ORDER BY rank) AS tags FROM b WHERE rank <= 8 GROUP BY doc_id),
- tagged AS (SELECT doc_id, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) IS NULL AS success, coalesce(tags, []) AS tags, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) AS error FROM e LEFT JOIN l USING (doc_id))"""
+ tagged AS (SELECT doc_id, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) IS NULL AS success, coalesce(tags, []) AS tags, coalesce(error, CASE WHEN tags IS NULL THEN 'Tag generation failed: no tags' END) AS error, len({STRIP}) AS n FROM e LEFT JOIN l USING (doc_id))"""
 
 
-@query(TAGGED + " SELECT * FROM tagged")
+@query(TAGGED + " SELECT doc_id, success, tags, error, CASE WHEN n >= 50 THEN n < 150 END AS is_scanned, CASE WHEN n >= 50 THEN 'text' END AS extraction_method, CASE WHEN n >= 50 THEN 1 END::INT AS page_count, CASE WHEN n >= 50 THEN n END::INT AS text_length FROM tagged")
 def tag_documents(spark, sf_dir):
-    return tagging.tag_documents(_t(spark, sf_dir, "documents"), _terms(spark))
+    tagged = tagging.tag_documents(_t(spark, sf_dir, "documents"), _terms(spark))
+    return tagged.select("doc_id", "success", "tags", "error", *[F.col(f"metadata.{c}").alias(c) for c in ("is_scanned", "extraction_method", "page_count", "text_length")])
 
 
 @query(f"""WITH s AS (SELECT doc_id, lang, len({STRIP}) AS n FROM documents), g AS ({SQL['gibberish_text']})
