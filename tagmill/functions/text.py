@@ -14,7 +14,7 @@ from pyspark.sql.types import StringType
 SCANNED_CHARS_PER_PAGE, MIN_CHARS, MIN_WORDS_PER_PAGE, MIN_TEXT = 150, 500, 50, 50
 
 #: Fixed replacements: one character each, then one to several.
-ONE_TO_ONE = {"‘": "'", "’": "'", "“": '"', "”": '"', "–": "-", "—": "-", "•": "*", "‣": ">", "\u00a0": " ", "\u202f": " ", "\u200b": "", "\ufeff": ""}
+ONE_TO_ONE = {"‘": "'", "’": "'", "“": '"', "”": '"', "„": '"', "‟": '"', "–": "-", "—": "-", "•": "*", "‣": ">", "\u00a0": " ", "\u202f": " ", "\u200b": "", "\ufeff": ""}
 ONE_TO_MANY = {"₹": "Rs.", "€": "EUR", "£": "GBP", "¥": "YEN", "…": "..."}
 
 #: Fixed patterns of legacy fonts, special characters and letter pairs that mark corrupted text.

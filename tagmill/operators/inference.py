@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.tags import build_prompt, entity_error, entity_list, entity_summary, normalize_tag, parse_tag_response, request_size, tag_verdict
 from tagmill.functions.text import has_sufficient_text, word_count
-from tagmill.operators.tagging import FILTER_TERMS, exclude_tags, first_occurrence, top_tags
+from tagmill.operators.tagging import exclude_tags, first_occurrence, top_tags
 
 Model = Callable[[str], tuple[str, int]]
 
@@ -31,8 +31,8 @@ def apply_model(prompts: DataFrame, make_client: Callable[[], Model], workers: i
                     out.append((key, None, 0, text, "429" in text or "rate" in text.lower()))
             yield pd.DataFrame(out, columns=["doc_id", "response", "tokens", "error", "rate_limited"])
 
-    rows = prompts.select("doc_id", "prompt")
-    return (rows.repartition(workers) if workers else rows).mapInPandas(run, "doc_id long, response string, tokens long, error string, rate_limited boolean")
+    rows, key = prompts.select("doc_id", "prompt"), prompts.schema["doc_id"].dataType.simpleString()
+    return (rows.repartition(workers) if workers else rows).mapInPandas(run, f"doc_id {key}, response string, tokens long, error string, rate_limited boolean")
 
 
 def generate_tags(prompts: DataFrame, make_client: Callable[[], Model], terms: DataFrame, n: int, keep: Callable[[DataFrame, str], DataFrame], again: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -64,11 +64,12 @@ def tag_texts(docs: DataFrame, make_client: Callable[[], Model], terms: DataFram
     """(doc_id, tags, requested, returned, attempts, tokens, target_met, error) of rows (doc_id, title, description, text, language, quality, hints).
 
     Texts that are too short are never sent. The first prompt asks for three times as many tags; the second lists those had and asks for what is
-    missing and 8 more. The exclusion list is part of the prompt up to FILTER_TERMS terms; answers are held against all of them.
+    missing and 8 more. Every prompt holds the whole exclusion list, sorted: a scalar subquery gives it to the tasks that build prompts, of
+    a size that each call of the model carries anyway.
     """
     enough = F.coalesce(has_sufficient_text(F.col("text")), F.lit(False))
-    words = F.array_sort(F.array_distinct(F.transform(F.array(*[F.lit(r.term) for r in terms.select("term").limit(FILTER_TERMS).collect()]).cast("array<string>"), F.lower)))
-    total = F.lit(n)
+    listed = terms.select(F.lower("term").alias("term")).where("term is not null").agg(F.array_sort(F.collect_set("term")).alias("words"))
+    words, total = listed.scalar(), F.lit(n)
 
     def prompt(had: Column, requested: Column) -> Column:
         return build_prompt(F.col("title"), F.col("description"), F.col("text"), total, had, F.coalesce("hints", F.create_map().cast("map<string,array<string>>")), language=F.col("language"), quality=F.col("quality"), excluded=words, requested=requested)

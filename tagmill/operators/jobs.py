@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tagmill.operators.shared import keep
+
 
 def visible_to(user: int | None) -> Column:
     """A user's jobs, and those of nobody."""
@@ -120,8 +124,50 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*keys, *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) if c in new.columns else F.col(f"o.{c}").alias(c) for c in rest])
 
 
-def purge_expired(table: DataFrame, now: Column) -> DataFrame:
-    return table.where(~((F.col("expires_at") < now) | F.col("revoked_at").isNotNull()) | (F.col("expires_at").isNull() & F.col("revoked_at").isNull()))
+def result_table(docs: DataFrame, path: str, buckets: int = 64) -> None:
+    """Write documents (with job_id and updated_at) as a table of so many buckets of jobs, which update_results changes in place."""
+    docs.withColumn("bucket", _bucket(buckets)).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int")
+
+
+def update_results(spark: SparkSession, path: str, results: DataFrame, keys: Sequence[str], now: Column, order: str | None = None, buckets: int = 64) -> None:
+    """Set status, tags, extracted_text, processing_metadata and error_message of the documents that have a result, and processed_at and updated_at to now.
+
+    results has job_id, the keys, status and any of the other columns; what it lacks or holds as null is set to null, tags to an empty
+    list, as a result replaces the one before whole. Of several results for a document the last by `order` counts; those without
+    a document are ignored. Only buckets of jobs with results are read and overwritten (dynamic partition overwrite);
+    the files of all others stay. Counters are recomputed from the documents, never added to.
+    """
+    fields = [c for c in ("status", "tags", "extracted_text", "processing_metadata", "error_message") if c in spark.read.parquet(path).columns]
+    ids = list(dict.fromkeys(["job_id", *keys]))
+    new = results if order is None else results.groupBy(*ids).agg(F.max_by(F.struct(*[c for c in results.columns if c not in ids]), order).alias("_new")).select(*ids, "_new.*")
+    new = keep(new.select(*ids, *[(F.col(c) if c in new.columns else F.lit(None)).alias(f"_{c}") for c in fields], F.lit(True).alias("_hit")).withColumn("bucket", _bucket(buckets)), "results")
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+    if not touched:
+        return
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    joined = old.join(new, ["bucket", *ids], "left")
+    value = lambda c: F.coalesce("_tags", F.array().cast(old.schema["tags"].dataType)) if c == "tags" else F.col(f"_{c}").cast(old.schema[c].dataType)
+    cells = {c: F.when(F.col("_hit"), value(c)).otherwise(F.col(c)) for c in fields}
+    cells |= {c: F.when(F.col("_hit"), now.cast(old.schema[c].dataType)).otherwise(F.col(c)) for c in ("processed_at", "updated_at") if c in old.columns}
+    changed = joined.withColumns(cells).select(*old.columns).repartition("bucket")
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def purge_expired(table: DataFrame, now: Column, count: Observation | None = None) -> DataFrame:
+    """The rows that neither expired before now nor were revoked. An Observation gets `removed`, how many went, with the action that computes the rest."""
+    gone = F.coalesce(F.col("expires_at") < now, F.lit(False)) | F.col("revoked_at").isNotNull()
+    return (table if count is None else table.observe(count, F.count_if(gone).alias("removed"))).where(~gone)
+
+
+def purge_table(spark: SparkSession, path: str, target: str, now: Column) -> int:
+    """Write what purge_expired keeps of the table at path to target, and return how many rows went, from the same pass."""
+    count = Observation("purge")
+    purge_expired(spark.read.parquet(path), now, count).write.mode("overwrite").parquet(target)
+    return count.get["removed"]
 
 
 def duration_seconds(start: str, end: str) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tagmill.functions.paths import infer_source_type, path_error
 from tagmill.functions.text import strip
+from tagmill.operators.shared import keep
 
 REQUIRED = ("title", "file_source_type", "file_path")
 PROTECTED = ("title", "file_path", "file_source_type", "description")
@@ -64,18 +65,17 @@ def attach_validation(df: DataFrame, results: DataFrame, order: str) -> DataFram
 def number_rows(df: DataFrame, *order: str, partition: Sequence[str] = ()) -> DataFrame:
     """Numbers from 1 by the order, which must be unique, within each partition key, or over all rows.
 
-    Without a key, rows are dealt into ranges that a bounded sample sets, numbered within them, and moved on by the counts of
-    the ranges before, so no task holds all rows. The sample only balances; numbers are exact.
+    Without a key, rows are dealt by ranges and sorted, numbered within their range, and written with it; numbers move on by the counts of the
+    ranges before, of which there are as many as tasks. No task holds all rows, and df is computed once.
     """
     if partition:
         return df.withColumn("row_number", F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
-    key = F.struct(*order)
-    bounds = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(1000).agg(F.array_sort(F.collect_list("k")).alias("b"))
-    dealt = df.withColumn("_bounds", bounds.scalar()).withColumn("_range", F.size(F.filter("_bounds", lambda b: b <= key))).drop("_bounds")
-    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over at most 1,001 rows
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    dealt = keep(dealt.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)  # over one row for each task
     starts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    numbered = dealt.withColumn("row_number", F.row_number().over(W.partitionBy("_range").orderBy(*order))).join(F.broadcast(starts), "_range")
-    return numbered.withColumn("row_number", F.col("row_number") + F.col("_start")).drop("_range", "_start")
+    numbered = dealt.join(F.broadcast(starts), "_range")
+    return numbered.select(*df.columns, (F.col("_at") + F.col("_start") + 1).alias("row_number"))
 
 
 def drop_columns(df: DataFrame, *columns: str) -> DataFrame:
@@ -140,7 +140,10 @@ def export_results(df: DataFrame, columns: Sequence[str], only_success: bool = F
 
 
 def export_with_preset(df: DataFrame, columns: Sequence[str], renames: Mapping[str, str]) -> DataFrame:
-    return df.select(*[F.col(c).alias(renames.get(c, c)) for c in columns])
+    """The preset's columns in its order under its names, empty where null; then the tags, if there is such a column, as `Generated Tags` or what the preset calls `_tags`."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(renames.get(c, c)) for c in columns]
+    tags = [F.coalesce(F.array_join("tags", ", "), F.lit("")).alias(renames.get("_tags", "Generated Tags"))] if "tags" in df.columns else []
+    return df.select(*cells, *tags)
 
 
 def with_defaults(df: DataFrame) -> DataFrame:

@@ -5,14 +5,17 @@ orders stand for jobs, lineitem for their documents, events for result streams,
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tagmill.functions import paths, tags, text
-from tagmill.operators import extraction, jobs, manifest, tagging
+from tagmill.operators import extraction, inference, jobs, manifest, tagging
+from tagmill.operators.shared import keep, new_path
 from tagmill.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,7 +95,7 @@ def clean_text(spark, sf_dir):
     return _docs(spark, sf_dir, cleaned=text.clean_text(F.col("text")))
 
 
-@query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(translate(text, '‘’“”–—•‣' || chr(160) || chr(8239) || chr(8203) || chr(65279), '''''""--*>  '), '₹', 'Rs.'), '€', 'EUR'), '£', 'GBP'), '¥', 'YEN'), '…', '...'),
+@query("""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(translate(text, '‘’“”„‟–—•‣' || chr(160) || chr(8239) || chr(8203) || chr(65279), '''''""' || '""--*>  '), '₹', 'Rs.'), '€', 'EUR'), '£', 'GBP'), '¥', 'YEN'), '…', '...'),
  '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F]', '', 'g') AS clean FROM documents""".replace("\\\\", "\\"))
 def sanitize_text(spark, sf_dir):
     return _docs(spark, sf_dir, clean=text.strip_control(text.sanitize_text(F.col("text"))))
@@ -370,6 +373,83 @@ def tag_documents(spark, sf_dir):
     return tagged.select("doc_id", "success", "tags", "error", *[F.col(f"metadata.{c}").alias(c) for c in ("is_scanned", "extraction_method", "page_count", "text_length")])
 
 
+def _tagger():
+    """A stand-in for a model whose answers SQL can tell: the first words of a text, or on a second attempt the last; some calls fail."""
+
+    def call(prompt: str) -> tuple[str, int]:
+        attempt, _, body = prompt.partition("\n")
+        words = list(dict.fromkeys(re.findall("[a-z]{4,}", body.lower())))
+        if len(words) % 7 == 3 if attempt == "first" else len(words) % 5 == 1:
+            raise RuntimeError("429 Too Many Requests" if attempt == "first" else "connection reset")
+        picked = words[: len(words) % 13] if attempt == "first" else words[-10:]
+        return json.dumps({"names": picked[::2], "subjects": picked[1::2]}), len(words)
+
+    return call
+
+
+MODEL = f"""u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') AS w FROM documents)), f AS (SELECT doc_id, v, min(p) AS p FROM u GROUP BY ALL),
+ w AS (SELECT d.doc_id, coalesce(list(v ORDER BY p) FILTER (v IS NOT NULL), []) AS w FROM documents d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id),
+ a AS (SELECT doc_id, 1 AS attempt, len(w) AS tokens, len(w) % 7 = 3 AS bad, w[:len(w) % 13] AS x FROM w UNION ALL SELECT doc_id, 2, len(w), len(w) % 5 = 1, w[greatest(1, len(w) - 9):] FROM w),
+ i AS (SELECT doc_id, attempt, CASE WHEN len(x) = 0 THEN ['names', 'subjects'] ELSE list_concat(list_filter(x, lambda v, i: i % 2 = 1), list_filter(x, lambda v, i: i % 2 = 0)) END AS x FROM a WHERE NOT bad),
+ t AS (SELECT doc_id, attempt, unnest(x) AS tag, generate_subscripts(x, 1) AS pos FROM i), v AS (SELECT * FROM t WHERE {VERDICT} = 'valid' AND tag NOT IN ({', '.join(f"'{t}'" for t in _OWN)})),
+ n AS (SELECT w.doc_id, coalesce(n, 0) < 8 AS short FROM w LEFT JOIN (SELECT doc_id, count(*) AS n FROM v WHERE attempt = 1 GROUP BY doc_id) USING (doc_id)),
+ b AS (SELECT doc_id, tag, attempt, pos FROM v JOIN n USING (doc_id) WHERE attempt = 1 OR short QUALIFY row_number() OVER (PARTITION BY doc_id, tag ORDER BY attempt, pos) = 1),
+ g AS (SELECT doc_id, tag, row_number() OVER (PARTITION BY doc_id ORDER BY attempt, pos) AS rank FROM b)"""
+
+
+@query(f"""WITH {MODEL} SELECT n.doc_id, coalesce(list(tag ORDER BY rank) FILTER (rank <= 8), []) AS tags, any_value(CASE WHEN short THEN 2 ELSE 1 END)::BIGINT AS attempts, any_value(used)::BIGINT AS tokens, any_value(failed) AS error
+ FROM n JOIN (SELECT doc_id, sum(CASE WHEN bad THEN 0 ELSE tokens END) AS used, max(CASE WHEN bad THEN CASE attempt WHEN 1 THEN '429 Too Many Requests' ELSE 'connection reset' END END) FILTER (attempt = 2 OR NOT short) AS failed FROM a JOIN n USING (doc_id) WHERE attempt = 1 OR short GROUP BY doc_id) c USING (doc_id)
+ LEFT JOIN g ON g.doc_id = n.doc_id GROUP BY n.doc_id""")
+def generate_tags(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    prompts = lambda rows, attempt: rows.select("doc_id", F.concat(F.lit(attempt + "\n"), "text").alias("prompt"))
+    return inference.generate_tags(prompts(d, "first"), _tagger, _terms(spark), 8, keep, lambda short: prompts(d.join(short, "doc_id"), "again"))
+
+
+@query(f"WITH {MODEL} SELECT doc_id, attempt::INT AS attempt, CASE WHEN bad THEN 0 ELSE tokens END::BIGINT AS tokens, CASE WHEN bad THEN CASE attempt WHEN 1 THEN '429 Too Many Requests' ELSE 'connection reset' END END AS error, bad AND attempt = 1 AS rate_limited FROM a")
+def apply_model(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    calls = [inference.apply_model(d.select("doc_id", F.concat(F.lit(name + "\n"), "text").alias("prompt")), _tagger).withColumn("attempt", F.lit(k)) for k, name in ((1, "first"), (2, "again"))]
+    return calls[0].unionByName(calls[1]).select("doc_id", "attempt", "tokens", "error", "rate_limited")
+
+
+def _finder():
+    """A stand-in for a model that lists a text's capitalised words, plainly or fenced, breaks off its answer, or fails."""
+
+    def call(prompt: str) -> tuple[str, int]:
+        body = prompt.partition("\n")[2]
+        words = list(dict.fromkeys(re.findall("[A-Z][a-z]{3,}", body)))
+        if len(words) % 4 == 3:
+            raise RuntimeError("timeout")
+        answer = json.dumps({"names": words, "none": [], "odd": 1})
+        return (answer, f"Here:\n```json\n{answer}\n```", answer[:-3])[len(words) % 4], len(body)
+
+    return call
+
+
+@query(f"""WITH s AS (SELECT doc_id, len({STRIP}) >= 50 AS enough, substr(text, 1, 15000) AS body FROM documents), u AS (SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, regexp_extract_all(body, '[A-Z][a-z]{{3,}}') AS w FROM s)),
+ f AS (SELECT doc_id, v, min(p) AS p FROM u GROUP BY ALL), w AS (SELECT s.*, coalesce(w, []) AS w FROM s LEFT JOIN (SELECT doc_id, list(v ORDER BY p) AS w FROM f GROUP BY doc_id) USING (doc_id))
+ SELECT doc_id, CASE WHEN enough AND len(w) % 4 < 2 THEN w ELSE [] END AS names, CASE WHEN enough AND len(w) % 4 < 3 THEN len(body) ELSE 0 END::BIGINT AS tokens,
+ CASE WHEN NOT enough THEN 'Text too short for entity extraction' WHEN len(w) % 4 = 2 THEN 'JSON parse error' WHEN len(w) % 4 = 3 THEN 'timeout' END AS error FROM w""")
+def extract_entities(spark, sf_dir):
+    found = inference.extract_entities(_t(spark, sf_dir, "documents"), _finder, keep)
+    return found.select("doc_id", F.transform("entities", lambda e: e["text"]).alias("names"), "tokens", "error")
+
+
+@query(f"SELECT doc_id, CASE WHEN len(regexp_replace(substr(text, 1, 1000), '^{U_SPACE}+|{U_SPACE}+$', '', 'g')) >= 20 AND contains(substr(text, 1, 1000), ' the ') THEN 'en' ELSE 'hi' END AS lang FROM documents")
+def detect_language(spark, sf_dir):
+    def detector():
+        return lambda text: {True: "en"}[" the " in text]
+
+    return extraction.detect_language(_t(spark, sf_dir, "documents").select("doc_id", "text"), detector).select("doc_id", "lang")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'DeepSeek-R1/' WHEN 1 THEN 'o1-' WHEN 2 THEN 'Qwen-2.5-VL ' WHEN 3 THEN 'small-' ELSE '' END || p_name AS model, p_partkey % 5 < 3 AS unsupported FROM part")
+def unsupported_models(spark, sf_dir):
+    name = F.concat(F.expr("CASE p_partkey % 5 WHEN 0 THEN 'DeepSeek-R1/' WHEN 1 THEN 'o1-' WHEN 2 THEN 'Qwen-2.5-VL ' WHEN 3 THEN 'small-' ELSE '' END"), "p_name")
+    return _t(spark, sf_dir, "part").select("p_partkey", name.alias("model"), tags.unsupported_model(name).alias("unsupported"))
+
+
 @query(f"""WITH s AS (SELECT doc_id, lang, len({STRIP}) AS n FROM documents), g AS ({SQL['gibberish_text']})
  SELECT lang, count(*) AS documents, count(*) FILTER (n < 50) AS short, count(*) FILTER (gibberish) AS gibberish, count(*) FILTER (n < 150) AS scanned FROM s JOIN g USING (doc_id) GROUP BY lang""")
 def corpus_quality(spark, sf_dir):
@@ -517,6 +597,30 @@ def upsert_results(spark, sf_dir):
     return jobs.upsert(d, d.where("status = 'pending'").select(*KEYS, F.lit("success").alias("status")), list(KEYS))
 
 
+@query(f"""WITH {TITLED}, r AS (SELECT job_id, part_id, supp_id, line FROM docs WHERE status = 'pending' AND job_id % 3 = 0)
+ SELECT t.job_id, t.part_id, t.supp_id, t.line, CASE WHEN r.line IS NULL THEN t.status WHEN t.line % 2 = 0 THEN 'failed' ELSE 'success' END AS status, CASE WHEN r.line IS NULL THEN [tag1, tag2] WHEN t.line % 2 = 0 THEN [] ELSE [tag2] END AS tags,
+ CASE WHEN r.line IS NOT NULL AND t.line % 2 = 0 THEN 'bad' END AS error_message, CASE WHEN r.line IS NOT NULL THEN TIMESTAMP '2024-06-01' ELSE processed_at::TIMESTAMP END AS processed_at, CASE WHEN r.line IS NOT NULL THEN TIMESTAMP '2024-06-01' END AS updated_at
+ FROM titled t LEFT JOIN r USING (job_id, part_id, supp_id, line)""")
+def update_results(spark, sf_dir):
+    """A table of documents by buckets of jobs, some of whose jobs get results (each an older one first, which the newer replaces)."""
+    d = _titled(spark, sf_dir).withColumns({"error_message": F.lit(None).cast("string"), "processed_at": F.col("processed_at").cast("timestamp_ntz"), "updated_at": F.lit(None).cast("timestamp_ntz")})
+    path = new_path(spark, "results")
+    jobs.result_table(d.select(*KEYS, "status", "tags", "error_message", "processed_at", "updated_at"), path)
+    failed = F.col("line") % 2 == 0
+    new = _titled(spark, sf_dir).where("status = 'pending' AND job_id % 3 = 0").select(*KEYS, F.when(failed, "failed").otherwise("success").alias("status"), F.when(~failed, F.slice("tags", 2, 1)).alias("tags"), F.when(failed, "bad").alias("error_message"), F.lit(2).alias("at"))
+    old = new.withColumns({"status": F.lit("processing"), "tags": F.array(F.lit("old")), "at": F.lit(1)})
+    jobs.update_results(spark, path, new.unionByName(old), KEYS, F.lit("2024-06-01").cast("timestamp_ntz"), "at")
+    return spark.read.parquet(path).drop("bucket")
+
+
+@query("SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-10' AND event_type <> 'error') AS kept, count(*) FILTER (ts < TIMESTAMP '2024-01-10' OR event_type = 'error') AS removed FROM events")
+def purge_counts(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").select("event_id", F.col("ts").alias("expires_at"), F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"))
+    count = Observation("purge")
+    kept = keep(jobs.purge_expired(e, F.lit("2024-01-10").cast("timestamp_ntz"), count), "kept")
+    return kept.agg(F.count(F.lit(1)).alias("kept")).withColumn("removed", F.lit(count.get["removed"]).cast("long"))
+
+
 @query("SELECT event_id, ts AS expires_at FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND NOT event_type = 'error'")
 def purge_expired(spark, sf_dir):
     e = _t(spark, sf_dir, "events").select("event_id", F.col("ts").alias("expires_at"), F.when(F.col("event_type") == "error", F.col("ts")).alias("revoked_at"))
@@ -567,9 +671,19 @@ def insert_documents(spark, sf_dir):
     return manifest.with_defaults(_t(spark, sf_dir, "pages").select("page_id", F.lit(None).cast("string").alias("title"), F.col("url").alias("file_path")))
 
 
-@query("SELECT url AS Link, page_id AS id FROM pages")
+@query("SELECT coalesce(url, '') AS Link, page_id::VARCHAR AS id, CASE WHEN page_id % 3 = 0 THEN 'a, ' || page_id ELSE '' END AS Tags FROM pages")
 def export_with_preset(spark, sf_dir):
-    return manifest.export_with_preset(_t(spark, sf_dir, "pages"), ["url", "page_id"], {"url": "Link", "page_id": "id"})
+    tagged = _t(spark, sf_dir, "pages").withColumn("tags", F.when(F.col("page_id") % 3 == 0, F.array(F.lit("a"), F.col("page_id").cast("string"))))
+    return manifest.export_with_preset(tagged, ["url", "page_id"], {"url": "Link", "page_id": "id", "_tags": "Tags"})
+
+
+@query("""WITH m AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 's3://bucket/' || page_id WHEN 1 THEN ' ' WHEN 2 THEN 'data/x.pdf' WHEN 3 THEN 'bucket/key' WHEN 4 THEN '/data/x.pdf' WHEN 5 THEN 's3://bucket' ELSE url END AS path, CASE page_id % 5 WHEN 0 THEN ' URL ' WHEN 1 THEN 's3' WHEN 2 THEN 'local' WHEN 3 THEN 'ftp' ELSE 'Local' END AS kind FROM pages)
+ SELECT page_id, CASE WHEN trim(path) = '' THEN 'Empty path' WHEN page_id % 5 = 0 AND NOT starts_with(path, 'http') THEN 'URL must start with http:// or https://' WHEN page_id % 5 = 1 AND NOT starts_with(path, 'http') AND path NOT IN ('data/x.pdf', 'bucket/key') AND NOT starts_with(path, 's3://bucket/') THEN 'Invalid S3 path format'
+ WHEN page_id % 5 IN (2, 4) AND NOT starts_with(path, '/') THEN 'Path must be absolute' WHEN page_id % 5 = 3 THEN 'Unknown path type: ftp' END AS error FROM m""")
+def path_errors(spark, sf_dir):
+    path = F.expr("CASE page_id % 7 WHEN 0 THEN concat('s3://bucket/', page_id) WHEN 1 THEN ' ' WHEN 2 THEN 'data/x.pdf' WHEN 3 THEN 'bucket/key' WHEN 4 THEN '/data/x.pdf' WHEN 5 THEN 's3://bucket' ELSE url END")
+    kind = F.expr("CASE page_id % 5 WHEN 0 THEN ' URL ' WHEN 1 THEN 's3' WHEN 2 THEN 'local' WHEN 3 THEN 'ftp' ELSE 'Local' END")
+    return manifest.validate_paths(_t(spark, sf_dir, "pages").select("page_id", path.alias("file_path"), kind.alias("file_source_type"))).select("page_id", "error")
 
 
 @query("SELECT doc_id, round(n_chars * 1000 / 1024, 1) AS kb, round(n_chars * 1000 / 1048576, 2) AS mb FROM documents")
@@ -585,12 +699,12 @@ def failure_breakdown(spark, sf_dir):
     return _t(spark, sf_dir, "events").groupBy(paths.classify_error(F.expr(MESSAGE)).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT event_id, CASE WHEN value - 20 <= 0 THEN 'File is empty' WHEN (value - 20) * 1048576 > 52428800 THEN 'File is too large' END AS error, [props] AS raw, names, subjects, greatest(1, t - names - subjects)::INT AS actions, 3 * t AS requested
+@query("""SELECT event_id, CASE WHEN value - 20 <= 0 THEN 'File is empty' WHEN (value - 20) * 1048576 > 52428800 THEN 'File is too large' END AS error, [props] AS raw, names, subjects, greatest(1, t - names - subjects)::INT AS actions, 3 * t AS requested, least(event_id % 5 + 8, 3 * t)::INT AS retry
  FROM (SELECT *, greatest(1, round_even(t * 0.5, 0))::INT AS names, greatest(1, round_even(t * 0.3, 0))::INT AS subjects FROM (SELECT *, (3 + event_id % 13)::INT AS t FROM events))""")
 def request_rules(spark, sf_dir):
     t = (F.lit(3) + F.col("event_id") % 13).cast("int")
-    out = _t(spark, sf_dir, "events").select("event_id", paths.file_size_error((F.col("value") - 20) * 1048576).alias("error"), paths.json_list(F.to_json(F.array("props"))).alias("raw"), tags.tier_targets(t).alias("tier"), tags.request_size(t, F.lit(100)).alias("requested"))
-    return out.select("event_id", "error", "raw", "tier.*", "requested")
+    out = _t(spark, sf_dir, "events").select("event_id", paths.file_size_error((F.col("value") - 20) * 1048576).alias("error"), paths.json_list(F.to_json(F.array("props"))).alias("raw"), tags.tier_targets(t).alias("tier"), tags.request_size(t, F.length("props")).alias("requested"), tags.request_size(t, F.lit(0), (F.col("event_id") % 5).cast("int")).alias("retry"))
+    return out.select("event_id", "error", "raw", "tier.*", "requested", "retry")
 
 
 @query(f"WITH {TITLED} SELECT title, tag1 || ', ' || tag2 AS \"Generated Tags\", status AS \"Processing Status\", CASE WHEN status = 'failed' THEN 'x' ELSE '' END AS \"Error\" FROM titled WHERE status = 'success'")
@@ -704,3 +818,34 @@ def expire_state(spark, sf_dir):
 def catchup_then_live(spark, sf_dir):
     r = _results(spark, sf_dir).drop("value")
     return progress.catch_up(r.where("event_id % 3 > 0"), r.where("event_id % 2 = 0 OR event_id % 3 = 0")).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"""WITH RECURSIVE {EVENTS}, s AS (SELECT job_id, min(ts) AS start FROM r GROUP BY job_id UNION ALL SELECT r.job_id, min(r.ts) FROM s JOIN r ON r.job_id = s.job_id AND r.ts >= s.start + INTERVAL 24 HOUR GROUP BY r.job_id)
+ SELECT s.job_id, s.start, count(*) AS results, count(*) FILTER (status = 'success') AS processed, count(*) FILTER (status = 'failed') AS failed FROM s JOIN r ON r.job_id = s.job_id AND r.ts >= s.start AND r.ts < s.start + INTERVAL 24 HOUR GROUP BY s.job_id, s.start""")
+def live_state(spark, sf_dir):
+    return progress.live_state(_results(spark, sf_dir)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query(f"""WITH {EVENTS}, n AS (SELECT job_id, ts, coalesce(lead(ts) OVER w, (SELECT max(ts) FROM r)) AS after, max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER w AS over FROM r WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id))
+ SELECT job_id, ts AS last_seen FROM n WHERE over = 0 AND after > ts + INTERVAL 12 HOUR""")
+def silent_jobs(spark, sf_dir):
+    return progress.silent_jobs(_results(spark, sf_dir), 12 * 3600, over=("failed",)).withColumn("last_seen", F.col("last_seen").cast("timestamp_ntz"))
+
+
+CANCELS = "c AS (SELECT job_id, ts AS told FROM r WHERE status = 'pending' AND job_id % 5 = 0)"
+
+
+def _cancels(rows: DataFrame) -> DataFrame:
+    return rows.where("status = 'pending' AND job_id % 5 = 0").select("job_id", F.lit("cancel").alias("command"), F.col("ts").alias("event_time"))
+
+
+@query(f"WITH {EVENTS}, {CANCELS} SELECT event_id, job_id FROM r WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.job_id = r.job_id AND told <= ts AND told >= ts - INTERVAL 24 HOUR)")
+def not_cancelled(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return progress.not_cancelled(r, _cancels(r)).select("event_id", "job_id")
+
+
+@query(f"WITH {EVENTS}, {CANCELS} SELECT job_id, count(*) AS late FROM r JOIN c USING (job_id) WHERE told > ts AND told <= ts + INTERVAL 24 HOUR GROUP BY job_id")
+def late_cancels(spark, sf_dir):
+    r = _results(spark, sf_dir)
+    return progress.late_cancels(r, _cancels(r)).groupBy("job_id").agg(F.count(F.lit(1)).alias("late"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,16 +12,24 @@ MAX_BYTES = 50 * 1024 * 1024
 
 
 def read_manifest(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
-    """A CSV manifest with a header; every column stays a string.
+    """CSV manifests with a header; every column stays a string.
 
-    Without an encoding the bytes decide: UTF-8 if they are valid, else Latin-1, which every byte fits. An empty file is an error.
+    Without an encoding each file's bytes decide: UTF-8 if they are valid, else Latin-1, which every byte fits, so one Latin-1 file
+    leaves the others alone. Files are read in groups of one encoding and header, and columns that a group lacks are null.
+    Empty files hold no rows; without any other it is an error.
     """
-    if encoding is None:
-        size, valid = spark.read.format("binaryFile").load(path).agg(F.sum("length"), F.every(F.is_valid_utf8(F.col("content").cast("string")))).first()
-        if not size:
-            raise ValueError("The manifest is empty")
-        encoding = "UTF-8" if valid else "ISO-8859-1"
-    return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    if encoding is not None:
+        return reader.option("encoding", encoding).csv(path)
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    head = F.substring_index(F.translate(F.decode("content", F.lit("ISO-8859-1")), "\r", "\n"), "\n", 1)
+    groups = files.select("path", valid.alias("valid"), head.alias("head")).groupBy("valid", "head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.desc("valid"), "head").collect()
+    if not groups:
+        raise ValueError("The manifest is empty")
+    literal = lambda p: re.sub(r"([\\\[\]{}*?])", r"\\\1", p)  # noqa: E731  a path, not a pattern
+    found = [reader.option("encoding", "UTF-8" if g.valid else "ISO-8859-1").csv([literal(p) for p in g.paths]) for g in groups]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -26,8 +37,13 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_binary_documents(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Contents of files up to the size limit; the limit is pushed to the source."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).where(F.col("length") <= max_bytes)
+    """(path, modificationTime, length, content) of every file; content is null beyond the size limit, and such files are not read.
+
+    The limit is pushed to the source on both sides.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    large = files.where(F.col("length") > max_bytes).select("path", "modificationTime", "length").withColumn("content", F.lit(None).cast("binary"))
+    return files.where(F.col("length") <= max_bytes).unionByName(large)
 
 
 def attach_contents(manifest: DataFrame, files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
@@ -41,7 +57,8 @@ def attach_contents(manifest: DataFrame, files: DataFrame, max_bytes: int = MAX_
     joined = manifest.withColumn("_at", bare(F.trim("file_path"))).join(found, F.col("_at") == F.col("_path"), "left")
     error = (
         F.when(~F.coalesce(kind, F.lit("")).isin("url", "s3", "local"), F.concat(F.lit("Unsupported source type: "), F.coalesce(kind, F.lit(""))))
-        .when(F.col("_path").isNull(), "File not found").when((kind == "local") & (F.col("length") > max_bytes), "File is too large")
+        .when(F.col("_path").isNull(), F.concat(F.lit("File not found: "), F.trim("file_path")))
+        .when(F.col("content").isNull() | ((kind == "local") & (F.col("length") > max_bytes)), f"File too large (max {max_bytes // (1 << 20)}MB)")
     )
     joined = joined.withColumn("error", error)
     return joined.withColumn("content", F.when(F.col("error").isNull(), F.col("content"))).drop("_at", "_path", "length")
