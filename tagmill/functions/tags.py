@@ -137,6 +137,6 @@ def build_prompt(title: Column, description: Column, text: Column, tags: Column,
         F.concat(F.lit("Title: "), sanitize_text(title)), F.when(strip(description) != "", F.concat(F.lit("Description: "), sanitize_text(description))),
         F.format_string("Answer as JSON with %d names, %d subjects and %d actions.", t["names"], t["subjects"], t["actions"]),
         F.when(F.size(had) > 0, F.concat(F.lit("Already have: "), F.array_join(F.slice(had, 1, 15), ", "))),
-        none if excluded is None else F.when(F.size(excluded) > 0, F.concat(F.lit("Do not use: "), F.array_join(F.array_sort(excluded), ", "))),
+        none if excluded is None else F.when(F.size(excluded) > 0, F.concat(F.lit("Do not use: "), F.array_join(F.sort_array(excluded), ", "))),
         F.when(F.size(F.map_keys(listed)) > 0, hint), F.when((F.size(F.map_keys(listed)) > 0) & kind.isNotNull(), F.concat(F.lit("One of the actions is the document's type: "), kind)), content_preview(sanitize_text(text)),
     )

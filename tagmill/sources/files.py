@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -23,12 +25,17 @@ def read_manifest(spark: SparkSession, path: str, encoding: str | None = None) -
         return reader.option("encoding", encoding).csv(path)
     files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0)
     valid = F.is_valid_utf8(F.col("content").cast("string"))
-    head = F.substring_index(F.translate(F.decode("content", F.lit("ISO-8859-1")), "\r", "\n"), "\n", 1)
+    head = F.substring_index(F.translate(F.decode("content", "ISO-8859-1"), "\r", "\n"), "\n", 1)
     groups = files.select("path", valid.alias("valid"), head.alias("head")).groupBy("valid", "head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy(F.desc("valid"), "head").collect()
     if not groups:
         raise ValueError("The manifest is empty")
-    literal = lambda p: re.sub(r"([\\\[\]{}*?])", r"\\\1", p)  # noqa: E731  a path, not a pattern
-    found = [reader.option("encoding", "UTF-8" if g.valid else "ISO-8859-1").csv([literal(p) for p in g.paths]) for g in groups]
+    found = []
+    for g in groups:  # of few: all files of a job have a header or two
+        names = next(csv.reader([g.head.encode("latin-1").decode("utf-8" if g.valid else "latin-1").removeprefix("\ufeff")]))
+        names = [n if n and n not in names[:k] else f"{n}_c{k}" for k, n in enumerate(names)]
+        schema = StructType([StructField(n, StringType()) for n in names])
+        literal = [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in g.paths]  # paths, not patterns
+        found.append(reader.schema(schema).option("encoding", "UTF-8" if g.valid else "ISO-8859-1").csv(literal))
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), found)
 
 
