@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import bind, discard, stash
+from tagmill.llm.common import bind, discard, split_join, stash
 
 #: Fixed titles; they carry the gender of a name, or say nothing of it.
 MALE = ("Mr", "Sir", "Sr", "Herr", "Monsieur", "Señor", "Господин", "Κύριος", "السيد", "श्री")
@@ -17,19 +17,27 @@ def _titles(*titles: str) -> str:
     return "(?:" + "|".join(sorted(titles, key=len, reverse=True)) + r")\.? "
 
 
-_TOKEN = r"(?:\p{Lu}[\p{L}'-]{1,40}+|[\p{Lo}\p{M}]{2,40}+)"
+#: Fixed words that stand before a family name, and capitalised words that are no names.
+PARTICLES = "al auf bin da das de del della den der di do dos du el ibn la las le lo los ter ten van vom von zu zum zur".split()
+DAYS = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January February March April May June July August September October November December "
+    "Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag Januar Februar März Mai Juni Juli Oktober Dezember"
+).split()
+_TOKEN = rf"(?!(?:{'|'.join(DAYS)})(?!\p{{L}}))(?:\p{{Lu}}[\p{{L}}'’-]{{1,40}}+|[\p{{Lo}}\p{{M}}]{{2,40}}+)"
+_INITIAL = r"(?:\p{Lu}\.-?){1,3}"
+_BEFORE = rf"(?:(?:{_INITIAL}|{'|'.join(PARTICLES)}) ){{0,3}}"
 _LEAD = f"(?:{_titles(*MALE, *FEMALE, *NEUTRAL)})+"
 
 #: Fixed patterns, in order of precedence. All start where no word, address or number goes on.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+",
+    "email": r"[\p{L}\p{M}\p{N}._%+-]{1,64}+@[\p{L}\p{M}\p{N}-]{1,63}+(?:\.[\p{L}\p{M}\p{N}-]{1,63}+){1,8}+",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "ssn": r"\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|\(\d{3}\) \d{3}-\d{4}(?!\w)",
     "key": r"AKIA[0-9A-Z]{16}(?!\w)|password=[^\s\"']{4,64}+",
-    "name": rf"{_LEAD}{_TOKEN}(?: {_TOKEN})?+",
+    "name": rf"{_LEAD}{_BEFORE}{_TOKEN}(?: {_BEFORE}{_TOKEN}){{0,2}}+",
 }
 PATTERN = r"(?<![\p{L}\p{N}_.%+@-])(?:" + "|".join(PATTERNS.values()) + ")"
 
@@ -91,19 +99,34 @@ def _identity(kind: Column, value: Column) -> Column:
     return F.when(kind == "key", body(value)).when(kind == "email", F.lower(value)).when(kind == "phone", F.concat(F.when(value.startswith("+"), "+").otherwise(""), digits)).when(kind.isin(*NUMBERS), digits).otherwise(value)
 
 
+def _is_name(word: Column) -> Column:
+    """Neither an initial nor a word that stands before a family name."""
+    return ~F.lower(word).isin(*PARTICLES) & ~word.rlike(f"^{_INITIAL}$")
+
+
+def givens(words: Column) -> Column:
+    """The given names among the words of a name: all but the last that are names."""
+    return F.filter(F.slice(words, F.lit(1), F.size(words) - 1), _is_name)
+
+
 def entities(kind: Column, value: Column, gendered: Column) -> Column:
-    """The entities of a mention, an array of (kind, ident): of a name its given name and its family name, else one.
+    """The entities of a mention, an array of (kind, ident, of): of a name one for each word, else one.
 
-    A name alone is a family name. Case folds, so a family name has one surrogate with or without title or given name.
-    A given name without a gender takes the one that gendered, an array of (given, kind), has for it in the same text.
+    The last word of a name is its family name, the names before it are given names, each of the family `of`. Case folds, so a family name
+    has one surrogate with or without title or given name. A given name without a gender takes the one that
+    gendered, an array of (given, kind), has for it in the same text. Initials and particles are parts of their own.
     """
-    one = lambda k, i: F.struct(k.alias("kind"), i.alias("ident"))
+    one = lambda k, i, of="": F.struct(k.alias("kind"), i.alias("ident"), (of if isinstance(of, Column) else F.lit(of)).alias("of"))
 
     def name(words: Column) -> Column:
-        given = F.lower(words[0])
-        known = F.try_element_at(F.filter(gendered, lambda g: g["given"] == given), F.lit(1))["kind"]
-        family = one(F.lit("family"), F.lower(F.element_at(words, -1)))
-        return F.when(F.size(words) > 1, F.array(one(F.when(kind == "person", F.coalesce(known, kind)).otherwise(kind), given), family)).otherwise(F.array(family))
+        family = F.lower(F.element_at(words, -1))
+
+        def part(w: Column, i: Column) -> Column:
+            known = F.try_element_at(F.filter(gendered, lambda g: g["given"] == F.lower(w)), F.lit(1))["kind"]
+            given = one(F.when(kind == "person", F.coalesce(known, kind)).otherwise(kind), F.lower(w), family)
+            return F.when(i == F.size(words) - 1, one(F.lit("family"), family)).when(_is_name(w), given).when(F.lower(w).isin(*PARTICLES), one(F.lit("particle"), w)).otherwise(one(F.lit("initial"), F.lower(w)))
+
+        return F.transform(words, part)
 
     return F.when(kind.isin(*PEOPLE), bind(F.split(body(value), " "), name)).otherwise(F.array(one(kind, _identity(kind, value))))
 
@@ -192,7 +215,7 @@ def _drawn(secret: str, stream: Column, kind: Column, ident: Column, attempt: Co
     return (
         F.when(kind == "email", F.concat(ciphered, F.lit("@d"), hidden, F.lit(".example."), pick(60, ["com", "net", "org"])))
         .when(kind == "ip", address).when(kind == "card", _luhn(ciphered)).when(kind == "iban", _checked_iban(ciphered))
-        .when(kind.isin("phone", "ssn", "key"), ciphered).otherwise(names.otherwise(ciphered))
+        .when(kind == "particle", ident).when(kind.isin("phone", "ssn", "key", "initial"), ciphered).otherwise(names.otherwise(ciphered))
     )
 
 
@@ -217,9 +240,9 @@ def _named_too(found: Column) -> Column:
     words = F.transform(F.filter(found, lambda m: m["kind"].isin(*PEOPLE)), lambda m: F.split(body(m["value"]), " "))
     either = lambda ws: F.array_join(F.transform(F.array_distinct(F.flatten(F.transform(ws, lambda w: F.array(w, F.upper(w), F.initcap(w))))), lambda w: F.concat(F.lit("\\Q"), w, F.lit("\\E"))), "|")
     families = F.filter(F.transform(words, lambda w: F.element_at(w, -1)), lambda w: F.length(w) > 2)
-    givens = F.transform(F.filter(words, lambda w: F.size(w) > 1), lambda w: w[0])
-    before, after = F.lit(r"|(?<![\p{L}\p{N}_@.-])(?:(?:"), F.lit(r")(?![\p{L}\p{N}_@])")
-    extra = F.concat(before, F.when(F.size(givens) > 0, either(givens)).otherwise(F.lit("(?!)")), F.lit(") )?(?:"), either(families), after)
+    first = F.flatten(F.transform(words, givens))
+    known = F.concat(F.when(F.size(first) > 0, F.concat(either(first), F.lit("|"))).otherwise(F.lit("")), F.lit(f"{_INITIAL}|{'|'.join(PARTICLES)}"))
+    extra = F.concat(F.lit(r"|(?<![\p{L}\p{N}_@.-])(?:(?:"), known, F.lit(") ){0,4}(?:"), either(families), F.lit(r")(?![\p{L}\p{N}_@])"))
     return F.when(F.size(families) > 0, F.concat(F.lit(f"(?:{PATTERN})"), extra)).otherwise(F.lit(PATTERN))
 
 
@@ -263,31 +286,41 @@ def replace_entities(docs: DataFrame, secret: str) -> DataFrame:
     Mentions are found by one pattern: addresses, account, card, phone and security numbers, IPv4 addresses, secrets, and names
     after a title; a text with such names is searched again for their family names without one. A surrogate depends on
     the secret, the entity's kind and its identity only, so all its mentions, in any document, get the same one, rendered in
-    each mention's format: gender, script, case, country codes, check digits, private networks and separators stay. A
-    name is two entities, given and family name, so a family name keeps one surrogate with any given name, title or case.
+    each mention's format: gender, script, case, country codes, check digits, private networks and separators stay. The words of a name
+    are entities each, so a family name keeps one surrogate with any given name, title or case; up to three names with initials and particles
+    between them make one mention. Initials are enciphered alone, particles stay. A given name that stands after a title
+    without a gender has the gender that a title gives the same given and family name in any document.
     Distinct entities get distinct surrogates that are no entity of the corpus. Names that no title ever introduces in
     their text are not found. Texts without entities are never shuffled; those with some are written once, and only the
     few whose entities drew more than once are joined with those draws.
 
-    Null and empty texts come back as they are, with no entities. Repeated rows are treated alike. Other columns are ignored;
-    an empty table gives no rows.
+    Null and empty texts come back as they are, with no entities. Repeated rows are treated alike; very long texts are read whole. Other
+    columns are ignored; an empty table gives no rows.
     """
     rows = docs.select("doc_id", F.col("text"))
     has = F.coalesce(F.col("text").rlike(PATTERN), F.lit(False))
     clean = rows.where(~has).select("doc_id", "text", F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds"))
     dirty = rows.where(has).withColumn("found", mentions(F.col("text"), F.lit(PATTERN))).withColumn("pattern", _named_too(F.col("found")))
     dirty = dirty.withColumn("found", F.when(F.col("pattern") == PATTERN, F.col("found")).otherwise(mentions(F.col("text"), F.col("pattern"))))
-    titled = F.filter("found", lambda m: m["kind"].isin("male", "female") & (F.size(F.split(body(m["value"]), " ")) > 1))
-    dirty = dirty.withColumn("gendered", F.transform(titled, lambda m: F.struct(F.lower(F.split(body(m["value"]), " ")[0]).alias("given"), m["kind"].alias("kind"))))
+    titled = F.flatten(F.transform(F.filter("found", lambda m: m["kind"].isin("male", "female")), lambda m: F.transform(givens(F.split(body(m["value"]), " ")), lambda g: F.struct(F.lower(g).alias("given"), m["kind"].alias("kind")))))
+    dirty = dirty.withColumn("gendered", titled)
     parts = F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["value"].alias("value"), entities(m["kind"], m["value"], F.col("gendered")).alias("parts")))
     dirty = stash(dirty.withColumn("found", parts).drop("gendered").withColumn("row", F.monotonically_increasing_id()), "dirty")
-    flat = dirty.select("row", F.explode(F.flatten(F.transform("found", lambda m: m["parts"]))).alias("e")).select("row", "e.kind", "e.ident")
-    redrawn = draw_surrogates(flat.select("kind", "ident"), secret)
-    others = flat.distinct().join(redrawn, ["kind", "ident"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "ident"), F.col("attempt")))).alias("attempts"))
+    flat = dirty.select("row", F.explode(F.flatten(F.transform("found", lambda m: m["parts"]))).alias("e")).select("row", "e.*").where("kind not in ('particle', 'initial')").distinct()
+    flat = stash(flat.withColumn("new", F.col("kind")), "mentions")
+    count = flat.count()
+    # A person without a gender has the one that a title gives the same given and family name anywhere.
+    genders = flat.where("kind in ('male', 'female') and of <> ''").groupBy("ident", "of").agg(F.min("kind").alias("gender"))
+    persons = split_join(flat.where("kind = 'person'"), genders, ["ident", "of"], count, "left").withColumn("new", F.coalesce("gender", "kind")).drop("gender")
+    named = stash(flat.where("kind <> 'person'").unionByName(persons), "mentions")
+    redrawn = draw_surrogates(named.select(F.col("new").alias("kind"), "ident"), secret)
+    others = split_join(named, redrawn.withColumnRenamed("kind", "new"), ["new", "ident"], count, "left").where("attempt is not null or new <> kind")
+    others = others.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("kind", "ident", "of"), F.struct("new", F.coalesce("attempt", F.lit(0)).alias("attempt"))))).alias("others"))
     joined = dirty.join(others, "row", "left")
 
     def drawn(e: Column) -> Column:
-        return surrogate(secret, e["kind"], e["ident"], F.coalesce(F.element_at("attempts", F.struct(e["kind"].alias("kind"), e["ident"].alias("ident"))), F.lit(0)))
+        key = F.struct(e["kind"].alias("kind"), e["ident"].alias("ident"), e["of"].alias("of"))
+        return bind(F.element_at("others", key), lambda o: surrogate(secret, F.coalesce(o["new"], e["kind"]), e["ident"], F.coalesce(o["attempt"], F.lit(0))))
 
     new = F.transform("found", lambda m: bind(F.struct(m["kind"].alias("k"), m["value"].alias("v"), F.transform(m["parts"], drawn).alias("r")), lambda x: rendered(x["k"], x["v"], x["r"])))
     gaps = F.split("text", F.col("pattern"), -1)

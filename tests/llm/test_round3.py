@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import common, imatch, lengths, negatives, partenum, phrases
+from tagmill.llm import common, imatch, lengths, negatives, partenum, phrases, pii
 
 SF = "/root/testdata/sf0.001"
 
@@ -287,3 +287,45 @@ def test_very_long_runs_are_counted(spark):
     # This vocabulary has a token for each white space alone, and for two line ends.
     expected = [2_000_001, 1_000_003, 2_000_000, 2_000_003, 500_000, 250_000, 250_001, 0]
     assert found == Counter(expected)
+
+
+def test_names_of_many_forms_and_addresses_of_any_script(spark):
+    given = {
+        "Mr. John Ronald Smith came": "John Ronald Smith", "Mr. J. Smith came": "Smith", "Mr. J. R. Smith came": "Smith", "Frau von Berg kam": "Berg", "write to müller@web.de now": "müller web", "or ivan@почта.рф soon": "ivan почта",
+        "Prof. Smith Monday": "Smith", "Mr. John R. van der Berg-Meyer went": "John Berg Meyer", "Dr. J.-P. de la Tour": "Tour", "Mme Marie de la Tour, dit Tour": "Marie Tour",
+    }
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.replace_entities(docs, "k").collect()}
+    for k, (text, names) in enumerate(given.items()):
+        new = out[k].text
+        assert not set(names.split()) & set(re.findall(r"\w+", new)), (text, new)
+        assert len(new.split()) == len(text.split()) and [w for w in text.split() if w.islower() and "@" not in w] == [w for w in new.split() if w.islower() and "@" not in w], (text, new)
+    assert out[6].text.endswith(" Monday") and re.fullmatch(r"Mr\. [A-Z]\. [A-Z]\. [A-Z]\w+ came", out[2].text) and re.fullmatch(r"Frau von [A-Z]\w+ kam", out[3].text)
+    assert out[9].text.split()[-1] == out[9].text.split(",")[0].split()[-1] == out[8].text.split()[-1]
+
+
+def test_one_person_in_several_documents(spark):
+    texts = ["Dr. Anna Berg wrote.", "Mrs. Anna Berg answered.", "Prof. Anna Berg and Dr. Anna Stone", "Mr. Anna Stone", "Dr. Kim Lee", "Anna Berg alone", "Dr. Berg"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    given, family = re.match(r"Mrs\. (\w+) (\w+) answered", out[1]).groups()
+    assert given in pii.NAMES["latin", "female"] and out[0] == f"Dr. {given} {family} wrote." and out[2].startswith(f"Prof. {given} {family} and Dr. ") and out[6] == f"Dr. {family}"
+    other = re.match(r"Mr\. (\w+) (\w+)", out[3])
+    assert out[2].endswith(f"Dr. {other[1]} {other[2]}") and other[1] != given and out[5] == texts[5]
+
+
+def test_long_and_repeated_texts_with_names(spark):
+    text = "Mr. John Smith met Ms. Jane Doe. " + "Smith said; John Smith and Doe left. " * 3000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "Mr. John Smith")], "doc_id long, text string")
+    rows = pii.replace_entities(docs, "k").collect()
+    one, two = [r for r in rows if r.doc_id == 1]
+    assert one == two and one.n_entities == 2 + 3 * 3000 and not re.search("Smith|John|Doe|Jane", one.text)
+    assert one.text.startswith([r.text for r in rows if r.doc_id == 2][0])
+
+
+def test_a_common_surname_is_dealt_over_tasks(spark, monkeypatch):
+    """Every document has the surname; it and others draw more than once."""
+    monkeypatch.setattr(common, "CHUNK", 16)
+    docs = spark.createDataFrame([(k, f"Dr. Ann Common met Mr. N{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}xy") for k in range(600)], "doc_id long, text string")
+    rows = pii.replace_entities(docs.union(docs.select(F.col("doc_id") + 1000, F.lit("Mrs. Ann Common"))), "k").collect()
+    assert len({r.text.split(" met ")[0].split(" ", 1)[1] for r in rows}) == 1 and len({r.text.split(" met ")[1] for r in rows if r.doc_id < 1000}) == 600
