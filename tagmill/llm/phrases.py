@@ -73,8 +73,12 @@ def lengths_by(joined: np.ndarray, frequent: list[np.ndarray]) -> np.ndarray:
 
 
 def seen(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    at = (grams >> np.uint64(64 - CELL_BITS)) & np.uint64(len(bits) * 64 - 1)
-    return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    """Whether both bits of a gram are set: the one that the low bits of its cell tell and that of the high bits."""
+    size = len(bits) * 64
+    found = np.ones(len(grams), bool)
+    for at in ((grams >> np.uint64(64 - CELL_BITS)) & np.uint64(size - 1), grams >> np.uint64(65 - size.bit_length())):
+        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+    return found
 
 
 def _counted(likely):
@@ -112,14 +116,15 @@ def _counted(likely):
 def frequent_grams(texts: DataFrame, least: int, likely=None) -> np.ndarray:
     """A filter of bits by hash in which every gram of at least so many occurrences is found, and few others.
 
-    Grams are counted by 40 bits of their hash, each task's folded first. The filter has 16 bits for each frequent one, up to MOST_BITS: it is
-    of bounded size and only spares work, as what it lets through is counted exactly later.
+    Grams are counted by 40 bits of their hash, each task's folded first. The filter has 64 bits for each frequent one, up to MOST_BITS, and
+    sets two of them: it is of bounded size and only spares work, as what it lets through is counted exactly later.
     """
     counted = texts.mapInArrow(_counted(likely), "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counted = stash(counted.select("cell"), "frequent")
-    size = min(MOST_BITS, 1 << max(16, (16 * counted.count()).bit_length()))
-    at = F.col("cell").bitwiseAND(F.lit(size - 1))
-    rows = counted.select(F.shiftright(at, 6).alias("at"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")).groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
+    size = min(MOST_BITS, 1 << max(16, (64 * counted.count()).bit_length()))
+    both = F.array(F.col("cell").bitwiseAND(F.lit(size - 1)), F.shiftright("cell", CELL_BITS + 1 - size.bit_length()))
+    rows = counted.select(F.explode(both).alias("at")).select(F.shiftright("at", 6).alias("at"), F.col("at").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    rows = rows.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toPandas()
     discard(counted)
     found = np.zeros(size >> 6, np.uint64)
     found[rows["at"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
@@ -139,16 +144,18 @@ def _grams(likely):
         def emit(lang, grams, n, word) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), grams, pa.array(n, pa.int64()), pa.array(word, pa.string())], names=["lang", "gram", "n", "word"])
 
-        def folded() -> pa.RecordBatch:
+        def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
             """Equal rows become one; rows that the sort leaves apart are summed later."""
-            rows = np.concatenate(held)
+            rows, n = (np.concatenate(x) for x in zip(*parts, strict=True))
             key = rows[:, 0]
             for k in range(1, LONGEST + 1):
                 key = mix(key * _P + rows[:, k])
-            rows = rows[np.argsort(key)]
+            order = np.argsort(key)
+            rows, n = rows[order], n[order]
             start = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]).any(axis=1)])
-            n = np.diff(np.r_[start, len(rows)])
-            rows = rows[start]
+            return rows[start], np.add.reduceat(n, start)
+
+        def told(rows: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
             filled = rows[:, 1:] != 0
             offsets = np.r_[0, np.cumsum(filled.sum(axis=1))].astype(np.int32)
             grams = pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows[:, 1:][filled].view(np.int64)))
@@ -172,11 +179,14 @@ def _grams(likely):
                 for k in range(LONGEST):
                     on = np.flatnonzero(many[at] > k)
                     rows[on, k + 1] = h[at[on] + k]
-                held.append(rows)
+                held.append((rows, np.ones(len(rows), np.int64)))
                 size += len(rows)
-                if size >= FLUSH:
-                    yield folded()
-                    held, size = [], 0
+                if size >= 2 * FLUSH:
+                    held = [folded(held)]
+                    size = len(held[0][1])
+                    if size >= FLUSH:
+                        yield told(*held[0])
+                        held, size = [], 0
                 _, one = np.unique(grams[0][at], return_index=True)
                 new = [k for k in at[one].tolist() if (int(place[row[k]]), int(h[k])) not in known]
                 if new:
@@ -186,7 +196,7 @@ def _grams(likely):
                 if len(known) > FLUSH:  # what is told again is the same
                     known = set()
         if size:
-            yield folded()
+            yield told(*folded(held))
         if totals:
             every = list(names)
             none = pa.ListArray.from_arrays(pa.array(np.zeros(len(totals) + 1, np.int32)), pa.array([], pa.int64()))
