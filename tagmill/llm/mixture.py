@@ -200,10 +200,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of docs, as often as they are taken, with all their columns.
 
     Each shard is shuffled whole: it lies in one partition, its rows in the order of their keys. Rows that repeat a doc_id share
-    its placements; rows without words are never taken; an empty table gives no rows.
+    its placements, of several shards for one key the first; rows without words are never taken; very long texts count whole and move
+    whole; an empty table gives no rows.
     """
     taken = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("id"), F.explode("placements").alias("p"))
-    taken = taken.select("id", "p.shard", "p.order").dropDuplicates(["id", "order"])
+    taken = taken.groupBy("id", F.col("p.order").alias("order")).agg(F.min("p.shard").alias("shard"))
     taken = stash(taken, "placements")
     shards = (taken.agg(F.max("shard")).first()[0] or 0) + 1
     joined = docs.select(F.struct("*").alias("row")).join(taken, F.col("row.doc_id").eqNullSafe(F.col("id"))).select("row", "shard", "order")

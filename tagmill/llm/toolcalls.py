@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import discard, stash
+from tagmill.llm.common import bind, discard, stash
 
 #: Schemas of the calls that tool_traffic derives: field -> (type, required). Types: string, number, boolean, array, object.
 SCHEMAS = {
@@ -16,8 +16,8 @@ SCHEMAS = {
     "ask": {"n_chars": ("number", True), "text": ("string", True), "follows": ("string", False)},
 }
 
-#: Turns of one conversation that a task puts in order.
-STRETCH = 4096
+#: Turns of one conversation that a task puts in order, and calls of one that are gathered in a row at most.
+STRETCH, IN_ROW = 4096, 8192
 
 
 def tool_traffic(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,14 +66,52 @@ def argument_errors(schemas: Mapping[str, Mapping[str, tuple[str, bool]]], name:
     return F.array_sort(F.filter(checks, lambda e: e.isNotNull()))
 
 
+def _levels_within(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of conversations that fit a row: each wave gives a level to all calls whose dependencies have one."""
+
+    def ordered(c: Column) -> Column:
+        ids = F.transform(c, lambda x: x["id"])
+        at = lambda d: F.array_position(ids, d)
+        return F.struct(ids.alias("ids"), F.transform(c, lambda x: F.transform(F.filter(F.array_distinct(x["d"]), lambda d: F.coalesce(at(d), F.lit(0)) > 0), lambda d: (at(d) - 1).cast("int"))).alias("deps"))
+
+    def levels(x: Column) -> Column:
+        def wave(acc: Column, _: Column) -> Column:
+            level = lambda d: F.get(acc["levels"], d)
+            ready = lambda deps: F.when(F.forall(deps, lambda d: level(d) >= 0), F.coalesce(F.array_max(F.transform(deps, level)), F.lit(-1)) + 1).otherwise(-1)
+            new = F.transform(acc["levels"], lambda v, i: F.when(v >= 0, v).otherwise(ready(F.get(x["deps"], i))))
+            return F.when(acc["moved"], bind(new, lambda n: F.struct(n.alias("levels"), (n != acc["levels"]).alias("moved")))).otherwise(acc)
+
+        n = F.size(x["ids"])
+        found = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.array_repeat(F.lit(-1), n).alias("levels"), F.lit(True).alias("moved")), wave)["levels"]
+        return F.arrays_zip(x["ids"].alias("id"), found.alias("level"))
+
+    listed = calls.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(F.col("call_id").alias("id"), F.coalesce("depends_on", F.array().cast("array<string>")).alias("d")))).alias("c"))
+    flat = listed.select("conv_id", F.explode(bind(bind(F.col("c"), ordered), levels)).alias("x"))
+    return flat.select("conv_id", F.col("x.id").alias("call_id"), F.when(F.col("x.level") >= 0, F.col("x.level").cast("long")).alias("level"))
+
+
 def topological_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 without known dependencies, else one more than the highest dependency; null on or behind a cycle.
 
+    A conversation of at most IN_ROW calls is one row, whose levels are found within it, however deep its calls nest; a longer one is
+    never gathered, but worked on by joins (see _levels_by_rounds).
+    """
+    calls = calls.dropDuplicates(["conv_id", "call_id"])
+    long = stash(calls.groupBy("conv_id").count().where(F.col("count") > IN_ROW).select("conv_id"), "long")
+    if long.isEmpty():
+        return _levels_within(calls)
+    parts = [calls.join(long, "conv_id", how) for how in ("left_anti", "left_semi")]
+    return _levels_within(parts[0]).unionByName(_levels_by_rounds(parts[1]))
+
+
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """The levels of long conversations.
+
     Chains (calls with one dependency) are followed by pointer doubling, in as many rounds as the logarithm of the longest.
     What is left are calls with several dependencies; each round gives a level to those whose dependencies all have one.
     So there are as many rounds as the longest path has calls with several dependencies, whatever lies between
-    them and however many calls there are: at most the number of such calls of one conversation. Every round is a join on
-    ids of the calls still open, written to the shared folder; tables that no later round reads are deleted.
+    them and however many calls there are. Every round is a join on ids of the calls still open, written to the shared folder, and
+    so are every few rounds' levels; tables that no later round reads are deleted.
     """
     key = F.struct("conv_id", "call_id")
     nodes = stash(calls.select(key.alias("k"), "depends_on").dropDuplicates(["k"]), "nodes")
@@ -84,12 +122,14 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     degree = edges.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("up").alias("up"))
 
     chain = stash(degree.where("n = 1").select("k", "up", F.lit(1).cast("long").alias("dist")), "chain")
+    written = chain
     while True:
         over = chain.select(F.col("k").alias("up"), F.col("up").alias("up2"), F.col("dist").alias("dist2"))
-        chain = chain.join(over, "up", "left").select("k", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved"))
-        chain = stash(chain, "chain")
-        moving = chain.where(F.col("moved") & (F.col("dist") <= total)).isEmpty()  # longer ones go round a cycle
-        chain = chain.drop("moved")
+        step = chain.join(over, "up", "left").select("k", F.coalesce("up2", "up").alias("up"), (F.col("dist") + F.coalesce("dist2", F.lit(0))).alias("dist"), F.col("up2").isNotNull().alias("moved"))
+        step = stash(step, "chain")
+        discard(written)
+        moving = step.where(F.col("moved") & (F.col("dist") <= total)).isEmpty()  # longer ones go round a cycle
+        written, chain = step, step.drop("moved")
         if moving:
             break
 
@@ -97,12 +137,14 @@ def topological_levels(calls: DataFrame) -> DataFrame:
     many = edges.join(degree.where("n > 1").select("k"), "k").join(ends, "up", "left")
     many = stash(many.select("k", F.coalesce("end", "up").alias("up"), (F.coalesce("dist", F.lit(0)) + 1).alias("dist")), "many")
     done = stash(nodes.select("k").join(degree.select("k"), "k", "left_anti").select("k", F.lit(0).cast("long").alias("level")), "levels")
+    turn = 0
     while not many.isEmpty():
         reached = many.join(done.select(F.col("k").alias("up"), "level"), "up", "left").groupBy("k").agg(F.max(F.col("level") + F.col("dist")).alias("level"), F.count_if(F.col("level").isNull()).alias("open"))
         ready = stash(reached.where("open = 0").select("k", "level"), "levels")
         if ready.isEmpty():
             break
-        done = done.union(ready)
+        turn += 1
+        done = stash(done.union(ready), "levels") if turn % 8 == 0 else done.union(ready)  # else the plan grows with the rounds
         left = stash(many.join(ready.select("k"), "k", "left_anti"), "many")
         discard(many)
         many = left

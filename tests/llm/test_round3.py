@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tagmill.llm import common, imatch, lengths, negatives, partenum, phrases, pii
+from tagmill.llm import common, imatch, lengths, negatives, partenum, phrases, pii, toolcalls
 
 SF = "/root/testdata/sf0.001"
 
@@ -329,3 +329,39 @@ def test_a_common_surname_is_dealt_over_tasks(spark, monkeypatch):
     docs = spark.createDataFrame([(k, f"Dr. Ann Common met Mr. N{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}xy") for k in range(600)], "doc_id long, text string")
     rows = pii.replace_entities(docs.union(docs.select(F.col("doc_id") + 1000, F.lit("Mrs. Ann Common"))), "k").collect()
     assert len({r.text.split(" met ")[0].split(" ", 1)[1] for r in rows}) == 1 and len({r.text.split(" met ")[1] for r in rows if r.doc_id < 1000}) == 600
+
+
+def brute_levels(calls):
+    """calls: {(conv, id): deps}; None on or behind a cycle."""
+    level = {}
+    while True:
+        ready = {k: max([level[k[0], d] for d in deps if (k[0], d) in calls], default=-1) + 1 for k, deps in calls.items() if k not in level and all((k[0], d) in level for d in deps if (k[0], d) in calls)}
+        if not ready:
+            return {k: level.get(k) for k in calls}
+        level |= ready
+
+
+@pytest.mark.parametrize("in_row", [8192, 5])
+def test_levels_equal_brute_force(spark, monkeypatch, in_row):
+    monkeypatch.setattr(toolcalls, "IN_ROW", in_row)
+    rng = random.Random(in_row)
+    calls = {}
+    for conv in range(8):
+        ids = [f"c{k}" for k in range(conv * 3)]
+        rng.shuffle(ids)
+        for k, i in enumerate(ids):
+            deps = rng.sample(ids[:k], min(k, rng.randrange(4))) + rng.choice([[], [], ["gone"], [i] if conv == 5 else [], [ids[-1]] if conv == 6 and k == 3 else []])
+            calls[conv, i] = deps + deps[:1] + rng.choice([[], [None]])
+    frame = spark.createDataFrame([(c, i, d or None) for (c, i), d in calls.items()] + [(7, "c0", ["c1"])] * 0, "conv_id long, call_id string, depends_on array<string>")
+    found = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(frame).collect()}
+    assert found == brute_levels({k: [d for d in v if d] for k, v in calls.items()})
+    assert None in found.values() and max(v for v in found.values() if v is not None) > 3
+
+
+def test_thousands_of_nested_calls(spark):
+    """5,000 calls that each depend on the two before, under ids in no order of theirs."""
+    names = [f"{k * 7919 % 5003:04}" for k in range(5000)]
+    rows = [(1, n, [names[k - j] for j in (1, 2) if k >= j]) for k, n in enumerate(names)] + [(2, "a", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")
+    found = {(r.conv_id, r.call_id): r.level for r in toolcalls.topological_levels(frame).collect()}
+    assert found == {(1, n): k for k, n in enumerate(names)} | {(2, "a"): 0}
