@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tagmill.functions import paths, tags, text
 from tagmill.operators import extraction, inference, jobs, manifest, tagging
 from tagmill.operators.shared import keep, new_path
+from tagmill.sources import files
 from tagmill.streaming import progress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,6 +162,30 @@ def route_language(spark, sf_dir):
     return extraction.route_language(_t(spark, sf_dir, "documents")).select("doc_id", "language", "method", "codes")
 
 
+#: Fixed blocks in the order that settles ties: first and last code point, a letter that begins a run of letters, language, name, codes.
+BLOCKS = [
+    ("900", "97F", "915", "hi", "Hindi", "hin+eng"), ("980", "9FF", "995", "bn", "Bengali", "ben+eng"), ("A00", "A7F", "A15", "pa", "Punjabi", "pan+eng"), ("A80", "AFF", "A95", "gu", "Gujarati", "guj+eng"), ("B00", "B7F", "B15", "or", "Odia", "ori+eng"),
+    ("B80", "BFF", "B95", "ta", "Tamil", "tam+eng"), ("C00", "C7F", "C15", "te", "Telugu", "tel+eng"), ("C80", "CFF", "C95", "kn", "Kannada", "kan+eng"), ("D00", "D7F", "D15", "ml", "Malayalam", "mal+eng"), ("80", "8FF", "3B1", "hi", "Hindi", "hin+eng"),
+]
+_LETTERS = "abcdefghijklmnop"
+_IN_BLOCK = ["".join(chr(int(b[2], 16) + k) for k in range(len(_LETTERS))) for b in BLOCKS]
+SCRIPTED = f"""t AS (SELECT doc_id, CASE doc_id % 10 {' '.join(f"WHEN {k} THEN translate(lower(text), '{_LETTERS}', '{x}')" for k, x in enumerate(_IN_BLOCK))} END AS text FROM documents),
+ n AS (SELECT doc_id, len(text) AS chars, len({STRIP}) AS n, [{', '.join(_n('text', f'[\\x{{{b[0]}}}-\\x{{{b[1]}}}]') for b in BLOCKS)}] AS c FROM t),
+ k AS (SELECT *, CASE WHEN chars < 20 OR list_max(c) = 0 THEN 1 ELSE list_position(c, list_max(c)) END AS k FROM n)"""
+
+
+@query(f"""WITH {SCRIPTED} SELECT doc_id, [{', '.join(f"'{b[3]}'" for b in BLOCKS)}][k] AS language, CASE WHEN n <= 20 THEN 'image' ELSE 'script' END AS method, [{', '.join(f"'{b[4]}'" for b in BLOCKS)}][k] AS name, [{', '.join(f"'{b[5]}'" for b in BLOCKS)}][k] AS codes,
+ len(list_filter(c, lambda x: x > 0))::INT AS scripts, list_sum(c)::BIGINT AS letters FROM k""")
+def route_scripts(spark, sf_dir):
+    """Texts of the documents in ten scripts, whose languages no detector has told."""
+    low = F.lower("text")
+    moved = F.coalesce(*[F.when(F.col("doc_id") % 10 == k, F.translate(low, _LETTERS, x)) for k, x in enumerate(_IN_BLOCK)])
+    d = _t(spark, sf_dir, "documents").select("doc_id", moved.alias("text"), F.lit("xx").alias("lang"))
+    h = text.script_histogram(F.col("text"))
+    routed = extraction.route_language(d).withColumn("h", h)
+    return routed.select("doc_id", "language", "method", "name", "codes", F.size("h").alias("scripts"), F.aggregate(F.map_values("h"), F.lit(0).cast("long"), lambda a, x: a + x).alias("letters"))
+
+
 def _squeeze(sql: str) -> str:
     return f"regexp_replace(regexp_replace({sql}, '{U_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 
@@ -222,14 +247,19 @@ def document_confidence(spark, sf_dir):
     return extraction.document_confidence(words)
 
 
-@query(f"""WITH g AS ({SQL['gibberish_text']}), d AS (SELECT doc_id, substr(text, 1, 150) AS e, CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END AS t, (doc_id % 101)::DOUBLE AS conf, substr(text, 1, 2000) AS y, gibberish FROM documents JOIN g USING (doc_id)),
- m AS (SELECT *, len(t) > 100 AND gibberish AS bad_t, len(y) > 100 AND gibberish AS bad_y FROM d),
+_EASY = "replace(text, ' the ', ' ')"
+
+
+@query(f"""WITH g AS ({SQL['gibberish_text']}), h AS ({SQL['gibberish_text'].replace('FROM documents', f'FROM (SELECT doc_id, {_EASY} AS text FROM documents)')}),
+ d AS (SELECT doc_id, regexp_replace(text, '[a-z]+', '', 'g') AS e, CASE WHEN doc_id % 5 > 0 THEN text ELSE '' END AS t, (doc_id % 101)::DOUBLE AS conf, CASE WHEN doc_id % 3 > 0 THEN {_EASY} ELSE '' END AS y, g.gibberish AS bad, h.gibberish AS bad2 FROM documents JOIN g USING (doc_id) JOIN h USING (doc_id)),
+ m AS (SELECT *, len(t) > 100 AND bad AS bad_t, len(y) > 100 AND bad2 AS bad_y FROM d),
  b AS (SELECT *, CASE WHEN conf >= 60 AND len(t) > 100 AND NOT bad_t THEN 'tesseract' WHEN CASE WHEN len(t) = 0 THEN len(y) > 0 WHEN bad_t THEN (NOT bad_y AND len(y) > 0) OR len(y) > len(t) ELSE len(y) > 0 AND len(y) >= len(t) * CASE WHEN conf < 60 THEN 0.5 ELSE 0.8 END END THEN 'easyocr'
  WHEN len(t) > 0 THEN 'tesseract' END AS best FROM m), c AS (SELECT *, CASE WHEN best IS NULL OR CASE best WHEN 'tesseract' THEN len(t) ELSE len(y) END < len(e) THEN 'embedded' ELSE best END AS engine FROM b)
  SELECT doc_id, engine, CASE engine WHEN 'tesseract' THEN t WHEN 'easyocr' THEN y ELSE e END AS text FROM c""")
 def select_best_extraction(spark, sf_dir):
+    """Whole texts as three engines might give them: one only what isn't a small letter, one nothing of a fifth, one without an article."""
     d = _t(spark, sf_dir, "documents")
-    engines = [("embedded", F.substring("text", 1, 150), None), ("tesseract", F.when(F.col("doc_id") % 5 > 0, F.col("text")), (F.col("doc_id") % 101).cast("double")), ("easyocr", F.substring("text", 1, 2000), None)]
+    engines = [("embedded", F.regexp_replace("text", "[a-z]+", ""), None), ("tesseract", F.when(F.col("doc_id") % 5 > 0, F.col("text")), (F.col("doc_id") % 101).cast("double")), ("easyocr", F.when(F.col("doc_id") % 3 > 0, F.replace("text", F.lit(" the "), F.lit(" "))), None)]
     parts = [d.select("doc_id", F.lit(e).alias("engine"), t.alias("text"), (F.lit(None).cast("double") if c is None else c).alias("confidence")) for e, t, c in engines]
     return extraction.select_best(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
@@ -642,6 +672,16 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.apply_mapping(p.select("page_id", path.alias("link"), F.lit("").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(" d ").alias("desc")), {**manifest.auto_map(["link", "name", "desc"]), "file_source_type": "kind"})
 
 
+@query("SELECT 'Seité ' || page_id AS title, url AS file_path, 'url' AS file_source_type, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'a \"b\", c' || chr(10) || page_id END AS note FROM pages")
+def read_manifest(spark, sf_dir):
+    """The pages as manifests in one folder, some in UTF-8, some in Latin-1, some without a column, in another order."""
+    p = _t(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("Seité "), "page_id").alias("title"), F.col("url").alias("file_path"), F.lit("url").alias("file_source_type"), F.concat(F.lit('a "b", c\n'), "page_id").alias("note"))
+    base = new_path(spark, "manifests")
+    for k, (rows, encoding) in enumerate([(p.where("page_id % 3 = 0").select("file_path", "title", "file_source_type"), "ISO-8859-1"), (p.where("page_id % 3 = 1").drop("page_id"), "UTF-8"), (p.where("page_id % 3 = 2").drop("page_id"), "ISO-8859-1")]):
+        rows.write.option("header", True).option("escape", '"').option("encoding", encoding).csv(f"{base}/{k}")
+    return manifest.require_columns(files.read_manifest(spark, f"{base}/*/*.csv")).select("title", "file_path", "file_source_type", "note")
+
+
 MANIFEST = "m AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 's3://bucket/' || page_id WHEN 1 THEN ' ' WHEN 2 THEN 'data/x.pdf' ELSE url END AS file_path FROM pages)"
 
 
@@ -849,3 +889,14 @@ def not_cancelled(spark, sf_dir):
 def late_cancels(spark, sf_dir):
     r = _results(spark, sf_dir)
     return progress.late_cancels(r, _cancels(r)).groupBy("job_id").agg(F.count(F.lit(1)).alias("late"))
+
+
+@query(f"WITH {EVENTS} SELECT event_id, job_id, status, ts FROM r")
+def append_results(spark, sf_dir):
+    """The events as a stream, appended in batches that are written once each, and read back."""
+    events = _t(spark, sf_dir, "events")
+    at, path = new_path(spark, "stream"), new_path(spark, "log")
+    events.repartition(4, "event_id").write.parquet(at)
+    live = progress.results(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(at))
+    progress.append_once(live, path, new_path(spark, "progress")).awaitTermination()
+    return spark.read.parquet(path).select("event_id", "job_id", "status", F.col("ts").cast("timestamp_ntz").alias("ts"))
