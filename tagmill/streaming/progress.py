@@ -128,33 +128,31 @@ def late_cancels(docs: DataFrame, commands: DataFrame, late: str = "10 minutes",
 
 
 class _Expiring(StatefulProcessor):
-    """Counts of a job since its start; they go a fixed time after the start, whatever came since."""
+    """Counts of a job since its start; they go a fixed time after the start, whatever came since. Times are microseconds."""
 
-    def __init__(self, hours: float) -> None:
-        self.hours = hours
+    def __init__(self, wait: int) -> None:
+        self.wait = wait
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "start timestamp, results long, processed long, failed long")
+        self.state = handle.getValueState("job", "start long, results long, processed long, failed long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        held = self.state.get() if self.state.exists() else None
-        start, *counts = held if held else (None, 0, 0, 0)
-        out = []
-        for ts, status in zip(pdf["ts"], pdf["status"], strict=True):
-            if start is None or ts >= pd.Timestamp(start) + pd.Timedelta(hours=self.hours):
-                start, counts = ts.to_pydatetime(), [0, 0, 0]
+        pdf = pd.concat(list(rows)).sort_values(["us", "event_id"])
+        start, *counts = self.state.get() if self.state.exists() else (None, 0, 0, 0)
+        out = {}
+        for us, status in zip(pdf["us"].tolist(), pdf["status"], strict=True):
+            if start is None or us >= start + self.wait:
+                start, counts = us, [0, 0, 0]
             counts = [counts[0] + 1, counts[1] + (status == "success"), counts[2] + (status == "failed")]
-            out.append((key[0], start, *counts))
+            out[start] = (key[0], start, *counts)
         self.state.update((start, *map(int, counts)))
-        last = pd.DataFrame(out, columns=["job_id", "start", "results", "processed", "failed"]).drop_duplicates("start", keep="last")
-        yield last
+        yield pd.DataFrame(list(out.values()), columns=["job_id", "start", "results", "processed", "failed"])
 
     def close(self) -> None:
         pass
 
 
-_STATE = "job_id long, start timestamp, results long, processed long, failed long"
+_STATE = "job_id long, start long, results long, processed long, failed long"
 
 
 def live_state(rows: DataFrame, hours: float = 24) -> DataFrame:
@@ -163,9 +161,11 @@ def live_state(rows: DataFrame, hours: float = 24) -> DataFrame:
     A stream gives the changed states of each batch (update mode), of which the last for each (job_id, start) equals the batch form's row;
     rows of a job must not come out of order over batches. The batch form reads each job's rows in order, as a stream that holds none.
     """
-    if rows.isStreaming:
-        return rows.select("job_id", "event_id", "status", "ts").groupBy("job_id").transformWithStateInPandas(_Expiring(hours), outputStructType=_STATE, outputMode="Update", timeMode="None")
     wait = int(hours * 3_600_000_000)
+    timed = rows.select("job_id", "event_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    if rows.isStreaming:
+        states = timed.groupBy("job_id").transformWithStateInPandas(_Expiring(wait), outputStructType=_STATE, outputMode="Update", timeMode="None")
+        return states.withColumn("start", F.timestamp_micros("start"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job, start = None, 0
@@ -184,36 +184,34 @@ def live_state(rows: DataFrame, hours: float = 24) -> DataFrame:
                     start = us[at] if at < end else start
             yield pd.DataFrame(out, columns=["job_id", "start", "results", "processed", "failed"]).astype("int64")
 
-    ordered = rows.select("job_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_id", "status").repartition("job_id").sortWithinPartitions("job_id", "us", "event_id")
-    parts = ordered.select("job_id", "us", "status").mapInPandas(run, "job_id long, start long, results long, processed long, failed long")
+    ordered = timed.repartition("job_id").sortWithinPartitions("job_id", "us", "event_id")
+    parts = ordered.select("job_id", "us", "status").mapInPandas(run, _STATE)
     return parts.groupBy("job_id", F.timestamp_micros("start").alias("start")).agg(*[F.sum(c).alias(c) for c in ("results", "processed", "failed")])
 
 
 class _Silent(StatefulProcessor):
-    """Remembers when a job was last heard of, with a timer that fires when nothing more comes in time."""
+    """Remembers when a job was last heard of, in microseconds, with a timer that fires when nothing more comes in time."""
 
-    def __init__(self, seconds: float, over: tuple[str, ...]) -> None:
-        self.wait, self.over = int(seconds * 1000), over
+    def __init__(self, wait: int, over: tuple[str, ...]) -> None:
+        self.wait, self.over = wait, over
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "ts timestamp, over boolean")
+        self.last = handle.getValueState("last", "us long, over boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        pdf = pd.concat(list(rows))
-        ts, over = pdf["ts"].max(), bool(pdf["status"].isin(self.over).any())
-        if self.last.exists():
-            old = self.last.get()
-            ts, over = max(ts, pd.Timestamp(old[0])), over or old[1]
+        us, over = self.last.get() if self.last.exists() else (0, False)
+        for pdf in rows:
+            us, over = max(us, int(pdf["us"].max())), over or bool(pdf["status"].isin(self.over).any())
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if not over:
-            self.handle.registerTimer(int(pd.Timestamp(ts).tz_localize(None).timestamp() * 1000) + self.wait)
-        self.last.update((ts.to_pydatetime(), over))
-        yield pd.DataFrame({"job_id": [], "last_seen": []}).astype({"job_id": "int64", "last_seen": "datetime64[us]"})
+            self.handle.registerTimer((us + self.wait) // 1000)
+        self.last.update((us, over))
+        yield pd.DataFrame({"job_id": [], "us": []}).astype("int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        yield pd.DataFrame({"job_id": [key[0]], "last_seen": [pd.Timestamp(self.last.get()[0])]})
+        yield pd.DataFrame({"job_id": [key[0]], "us": [self.last.get()[0]]})
 
     def close(self) -> None:
         pass
@@ -226,8 +224,9 @@ def silent_jobs(rows: DataFrame, seconds: float = 30, late: str = "0 seconds", o
     that speaks again may be reported again. The batch form gives each job's silences within the table, the last one against the table's latest time.
     """
     if rows.isStreaming:
-        timed = rows.select("job_id", "status", "ts").withWatermark("ts", late)
-        return timed.groupBy("job_id").transformWithStateInPandas(_Silent(seconds, over), outputStructType="job_id long, last_seen timestamp", outputMode="Append", timeMode="EventTime")
+        timed = rows.select("job_id", "status", F.unix_micros("ts").alias("us"), "ts").withWatermark("ts", late)
+        silent = timed.groupBy("job_id").transformWithStateInPandas(_Silent(int(seconds * 1_000_000), over), outputStructType="job_id long, us long", outputMode="Append", timeMode="EventTime")
+        return silent.select("job_id", F.timestamp_micros("us").alias("last_seen"))
     w = W.partitionBy("job_id").orderBy("ts", "event_id")
     ended = F.max(F.col("status").isin(*over) if over else F.lit(False)).over(w)
     seen = rows.withColumns({"_next": F.coalesce(F.lead("ts").over(w), rows.agg(F.max("ts")).scalar()), "_over": ended})
