@@ -206,7 +206,7 @@ def _grams(likely):
 
 
 def compact_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(lang, words, f): maximal chains of edges (lang, gram, f) through unary nodes, each all of whose occurrences have one neighbour on either side.
+    """(lang, stretch, words, f): maximal chains of edges (lang, gram, f) through unary nodes, each all of whose occurrences have one neighbour on either side.
 
     Pointers to the edge before are doubled until all end at a chain's first edge; the edges of a chain then are one row, or several of PATH
     edges, which overlap in a node. A chain always has a first edge: where a node's first occurrence in a text stands, it has no neighbour
@@ -228,7 +228,7 @@ def compact_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         at = step
     rows = edges.join(at.select("id", "up", "far"), "id").groupBy(F.col("up").alias("path"), F.floor(F.col("far") / PATH).alias("stretch"))
     rows = rows.agg(F.first("lang").alias("lang"), F.first("f").alias("f"), F.array_sort(F.collect_list(F.struct("far", "gram"))).alias("g"))
-    return rows.select("lang", F.concat(F.col("g")[0]["gram"], F.transform(F.slice("g", 2, PATH), lambda x: F.element_at(x["gram"], -1))).alias("words"), "f")
+    return rows.select("lang", "stretch", F.concat(F.col("g")[0]["gram"], F.transform(F.slice("g", 2, PATH), lambda x: F.element_at(x["gram"], -1))).alias("words"), "f")
 
 
 def _shorter(level: DataFrame, ends: DataFrame, k: int) -> DataFrame:
@@ -263,8 +263,9 @@ def phrase_graph(docs: DataFrame, least: int) -> dict:
     counts = {LONGEST: edges.withColumns({"left": none, "right": none})}
     nodes = counts[LONGEST - 1] = stash(_shorter(edges, ends, LONGEST - 1), "nodes")
     paths = stash(compact_paths(edges.where(F.col("f") >= least), nodes.where(F.col("f") >= least)), "paths")
-    # Nodes inside a path have the path's count and come from its row; the others come from the flow.
-    inside = paths.where(F.size("words") > LONGEST).select("lang", "f", F.explode(F.expr(f"transform(sequence(2, size(words) - {LONGEST - 1}), i -> slice(words, i, {LONGEST - 1}))")).alias("gram"))
+    # Nodes inside a path have the path's count and come from its row, with the first of a stretch that goes on; the others come from the flow.
+    begin = paths.withColumn("i", F.when(F.col("stretch") > 0, 1).otherwise(2)).where(F.size("words") - (LONGEST - 1) >= F.col("i"))
+    inside = begin.select("lang", "f", F.explode(F.expr(f"transform(sequence(i, size(words) - {LONGEST - 1}), k -> slice(words, k, {LONGEST - 1}))")).alias("gram"))
     level = nodes.where((F.col("f") < least) | ~F.expr(UNARY)).select("lang", "gram", "f").unionByName(inside)
     for k in range(LONGEST - 2, 0, -1):
         level = counts[k] = stash(_shorter(level, ends, k), "grams")

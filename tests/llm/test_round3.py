@@ -252,6 +252,25 @@ def test_phrases_without_broadcasts_and_with_full_filters(spark, monkeypatch):
     assert sorted(tuple(r) for r in phrases.mine_phrases(docs, 8, 100).collect()) == brute_phrases(rows, 8, 100)
 
 
+def test_counts_of_all_lengths_equal_brute_force(spark, monkeypatch):
+    """Whatever the stretches of paths: a chain of unary nodes is longer than several of them."""
+    monkeypatch.setattr(phrases, "PATH", 4)
+    rows = language_rows(31, 120) + [("en", " ".join(f"q{k}" for k in range(60)))] * 9
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    graph = phrases.phrase_graph(docs, 9)
+    words = {(r.lang, r.key): r.word for r in graph["words"].collect()}
+    expected = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            expected[lang or "und"].update(tuple(w[i : i + k]) for k in range(1, 6) for i in range(len(w) - k + 1))
+    for k in range(1, 6):
+        found = {(r.lang, tuple(words[r.lang, x] for x in r.gram)): r.f for r in graph["counts"][k].where("f >= 9").collect()}
+        assert found == {(lang, g): n for lang, c in expected.items() for g, n in c.items() if len(g) == k and n >= 9}, k
+    assert {r.lang: r.n for r in graph["totals"].collect()} == {lang: sum(n for g, n in c.items() if len(g) == 1) for lang, c in expected.items()}
+    assert graph["paths"].where("stretch > 5").count() > 0
+
+
 def test_phrases_odd_rows(spark):
     rows = [("en", None), (None, "a b c"), ("en", ""), ("en", " \t\n.,"), ("de", "q" * 50_000 + " r"), ("fr", "x y " * 20_000), ("en", "x" * 20_000 + " y"), ("en", "x" * 20_000 + " y"), ("en", "é ü"), ("en", "é ü")]
     docs = spark.createDataFrame(rows, "lang string, text string")
