@@ -174,8 +174,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     plan = stash(block_shards(quotas, seed), "blocks")
     known = targets.select("k", "source_size", "n", "target").join(keyed(quotas.groupBy("source").agg(F.sum("blocks").alias("quota"))).drop("source"), "k", "left")
 
-    n_sources, n_docs = targets.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    line = sized.join(F.broadcast(known), "k") if n_sources <= BROADCAST_ROWS else split_join(sized, known, ["k"], n_docs)
+    n_bytes, n_docs = targets.agg(F.coalesce(F.sum(40 + F.octet_length("k")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    line = sized.join(F.broadcast(known), "k") if n_bytes <= 16 * BROADCAST_ROWS else split_join(sized, known, ["k"], n_docs)
     line = line.withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
     line = line.withColumn("g", F.floor((F.col("key") / F.lit(float(1 << 64)) + 0.5) * F.ceil(F.col("n") / GROUP)))
     line = running_sums(line, ["k"], "g", ["key", "doc_id", "size"], "size")
@@ -187,9 +187,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         block = F.least(F.floor(middle / F.col("target") * F.col("quota")), F.col("quota") - 1)
         # What isn't taken has a block of its own that no shard has, so that it doesn't gather in one task.
         line = line.withColumn(f"block{p}", F.when((F.col("size") > 0) & (middle < F.col("target")), block).otherwise(-1 - F.pmod("key", F.lit(1 << 20))))
-    n_blocks = plan.count()
-    for p in passes:
-        line = line.join(small(plan.toDF("k", f"block{p}", f"shard{p}"), n_blocks), ["k", f"block{p}"], "left")
+    plan_bytes = plan.agg(F.coalesce(F.sum(40 + F.octet_length("k")), F.lit(0))).first()[0]
+    for p in passes:  # a row counts as 16 bytes
+        line = line.join(small(plan.toDF("k", f"block{p}", f"shard{p}"), plan_bytes // 16), ["k", f"block{p}"], "left")
 
     place = [F.when(F.col(f"block{p}") >= 0, F.struct(F.col(f"shard{p}").alias("shard"), F.col(f"block{p}").alias("block"), F.xxhash64(F.lit(seed + 2), "doc_id", F.lit(p)).alias("order"))) for p in passes]
     taken = sum((F.when(F.col(f"block{p}") >= 0, F.col("size")).otherwise(0) for p in passes), F.lit(0)).cast("long")
