@@ -254,15 +254,15 @@ def draw_surrogates(entities: DataFrame, secret: str) -> DataFrame:
     raises an error if a fixed format has too few values for the corpus's entities (like more than half of all 65,536
     addresses 192.168.x.x); names, addresses and secrets grow, and so always end.
     """
-    # Few bytes but much to compute: not to be merged into few tasks.
     tasks = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entities = stash(entities.distinct().repartition(tasks, "kind", "ident"), "entities")
+    entities = stash(entities.distinct(), "entities")
     family = F.when(F.col("kind").isin(*PEOPLE), "given").otherwise(F.col("kind"))
     plain = F.when(F.col("kind") == "phone", F.ltrim("ident", F.lit("+"))).otherwise(F.col("ident"))
     originals = entities.select(family.alias("family"), F.lower(plain).alias("low")).distinct()
 
     def draw(rows: DataFrame) -> DataFrame:
-        rows = rows.withColumn("drawn", surrogate(secret, F.col("kind"), F.col("ident"), F.col("attempt")))
+        # Few bytes but much to compute: dealt out where it is computed, as small files are read together.
+        rows = rows.repartition(tasks, "kind", "ident").withColumn("drawn", surrogate(secret, F.col("kind"), F.col("ident"), F.col("attempt")))
         return rows.withColumn("low", F.when(F.col("kind") == "key", F.col("drawn")).otherwise(F.lower("drawn")))
 
     drawn = stash(draw(entities.withColumn("family", family).withColumn("attempt", F.lit(0))), "drawn")
