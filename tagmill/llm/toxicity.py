@@ -28,6 +28,7 @@ MARGIN = 1.5
 TRAIN_ROWS, FIT_ROWS = 40_000, 8_000
 #: Characters of a text that are read at a time, up to the next white space if there is some within as many again.
 PIECE = 1 << 18
+_POWERS: list[np.ndarray] = []
 _GAP = re.compile(r"\s")
 #: Scripts without spaces between words (Thai to Tibetan, Burmese, Khmer, kana, ideographs): each character is a word.
 ALONE = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF))
@@ -55,6 +56,17 @@ def _pieces(text: str) -> Iterator[str]:
         start = stop
 
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers modulo 2^64 of an odd base, and of its inverse: hashes that are cut to cells of 20 bits at most anyway."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        base, size = 0x9E3779B97F4A7C15, max(n, PIECE)
+        found = [np.full(size, b, np.uint64) for b in (base, pow(base, -1, 1 << 64))]
+        for p in found:
+            p[0] = 1
+        _POWERS[:] = [np.multiply.accumulate(p) for p in found]
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
 def units(text: str | None) -> Iterator[tuple[np.ndarray, ...]]:
     """By pieces, the cells of the letter runs that end at each letter, of words' first RUN letters, of words, and of pairs, with the cells of a pair's two words.
 
@@ -86,7 +98,7 @@ def units(text: str | None) -> Iterator[tuple[np.ndarray, ...]]:
         stop = letter.copy()
         stop[:-1] &= ~letter[1:] | start[1:]
         first, end = np.flatnonzero(start), np.flatnonzero(stop) + 1
-        up, down = common._power(len(code))
+        up, down = _power(len(code))
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(c * up, out=total[1:])
         word = common.mix((total[end] - total[first]) * down[first] + (end - first).astype(np.uint64))
