@@ -22,8 +22,8 @@ _BLANK[[9, 32]] = True
 #: Grams are counted ahead by so many bits of their hash, and the frequent ones put into a filter of so many bits at most (128 MB).
 CELL_BITS, MOST_BITS = 40, 1 << 30
 #: Rows of grams that a task folds at a time, edges of one row of a compacted path, rows of counts that are broadcast at most,
-#: parts in which a language's best phrases are ranked first.
-FLUSH, PATH, SIDE_ROWS, PARTS = 1 << 19, 1024, 250_000, 64
+#: parts in which a language's best phrases are ranked first, partitions whose grams one task folds.
+FLUSH, PATH, SIDE_ROWS, PARTS, MERGED = 1 << 19, 1024, 250_000, 64, 8
 BATCH_BYTES = 8 << 20
 #: All occurrences of a node have the same neighbour before them, and the same one after.
 UNARY = "`left` = f and `right` = f"
@@ -254,7 +254,9 @@ def phrase_graph(docs: DataFrame, least: int) -> dict:
     with arrow_batches(spark, BATCH_BYTES):
         short = spark.sparkContext.broadcast(frequent_grams(texts, least))
         long = spark.sparkContext.broadcast(frequent_grams(texts, least, short))
-        told = stash(texts.mapInArrow(_grams((short, long)), _GRAM), "grams")
+        # A gram leaves each task once, so the fewer tasks, the fewer partial counts: one takes several partitions while every core has some.
+        tasks = max(spark.sparkContext.defaultParallelism, texts.rdd.getNumPartitions() // MERGED)
+        told = stash(texts.coalesce(tasks).mapInArrow(_grams((short, long)), _GRAM), "grams")
     totals = told.where("word is null and size(gram) = 0").groupBy("lang").agg(F.sum("n").alias("n"))
     words = told.where("word is not null").groupBy("lang", F.col("gram")[0].alias("key")).agg(F.min("word").alias("word"))
     grams = stash(told.where("word is null and size(gram) > 0").groupBy("lang", "gram").agg(F.sum("n").alias("f")), "edges")
