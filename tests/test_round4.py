@@ -28,3 +28,8 @@ EDGES = "\n".join(["è à é ù è à é ù è à é ù è à é ù è à é ù"
 
 def test_prompt_finds_key_lines_by_ascii_words(spark, tmp_path):
     assert "- Oiéù" in same(spark, tmp_path, "build_prompt", documents=texts((1, EDGES)))[0][1]
+
+
+def test_preview_finds_key_lines_and_headings_by_ascii_words(spark, tmp_path):
+    found = dict(same(spark, tmp_path, "content_preview", documents=texts((1, EDGES), (2, "Re: one two three four\n" + EDGES), (3, "é\nre\x0b: five six seven\n" + EDGES))))
+    assert "- Oiéù" in found[1] and "- é2019é" in found[1] and "Re: one two three four\n\n[START]" in found[2] and found[3].startswith("[START]")
