@@ -33,3 +33,8 @@ def test_prompt_finds_key_lines_by_ascii_words(spark, tmp_path):
 def test_preview_finds_key_lines_and_headings_by_ascii_words(spark, tmp_path):
     found = dict(same(spark, tmp_path, "content_preview", documents=texts((1, EDGES), (2, "Re: one two three four\n" + EDGES), (3, "é\nre\x0b: five six seven\n" + EDGES))))
     assert "- Oiéù" in found[1] and "- é2019é" in found[1] and "Re: one two three four\n\n[START]" in found[2] and found[3].startswith("[START]")
+
+
+def test_texts_without_words_have_no_tags(spark, tmp_path):
+    found = dict(same(spark, tmp_path, "parse_tag_response", documents=texts((3, "Éé 12, é."), (6, ""), (9, "one"), (12, "a, b"), (1, "é, é"), (4, "é.\n"), (15, None), (7, None))))
+    assert found[3] == [] and found[9] == ["one"] and found[15] is None
