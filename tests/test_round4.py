@@ -1,7 +1,9 @@
 """Queries against their SQL on odd rows."""
 
 import duckdb
+from pyspark.sql import functions as F
 
+from tagmill.functions import tags
 from tagmill.plans.queries import QUERIES, SQL
 
 
@@ -14,7 +16,7 @@ def same(spark, tmp_path, name, **tables):
     df = QUERIES[name](spark, str(tmp_path))
     key = lambda rows: sorted(rows, key=repr)
     found = key(tuple(r) for r in df.collect())
-    assert found == key(con.execute(f"SELECT {', '.join(df.columns)} FROM ({SQL[name]})").fetchall())
+    assert found == key(con.execute("SELECT " + ", ".join(f'"{c}"' for c in df.columns) + f" FROM ({SQL[name]})").fetchall())
     return found
 
 
@@ -38,3 +40,10 @@ def test_preview_finds_key_lines_and_headings_by_ascii_words(spark, tmp_path):
 def test_texts_without_words_have_no_tags(spark, tmp_path):
     found = dict(same(spark, tmp_path, "parse_tag_response", documents=texts((3, "Éé 12, é."), (6, ""), (9, "one"), (12, "a, b"), (1, "é, é"), (4, "é.\n"), (15, None), (7, None))))
     assert found[3] == [] and found[9] == ["one"] and found[15] is None
+
+
+def test_entities_are_listed_without_a_shuffle(spark, tmp_path):
+    found = same(spark, tmp_path, "entity_list", documents=texts((1, "One two, one é TWO three"), (2, "É 1"), (3, "")))
+    assert [r for r in found if r[0] == 1 and r[1] == "words"] == [(1, "words", "one", 0), (1, "words", "three", 2), (1, "words", "two", 1)]
+    plan = QUERIES["entity_list"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Union" not in plan
