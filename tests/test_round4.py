@@ -47,3 +47,12 @@ def test_entities_are_listed_without_a_shuffle(spark, tmp_path):
     assert [r for r in found if r[0] == 1 and r[1] == "words"] == [(1, "words", "one", 0), (1, "words", "three", 2), (1, "words", "two", 1)]
     plan = QUERIES["entity_list"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Union" not in plan
+
+
+def test_entity_values_of_any_kind(spark):
+    answers = {
+        '{"p": ["B", "a ", "b", "A", null, " "], "q": [1, "x", null, "X ", ["y"]], "r": "s", "t": [], "u": [null]}': ({"p": ["B", "a"], "q": ["x"]}, None), ' [1]': ({}, "Expected an object"), '"x"': ({}, "Expected an object"),
+        "{": ({}, "JSON parse error"), ' {"p": ["　É ", "é", " "]}\n': ({"p": ["É"]}, None),
+    }
+    rows = spark.createDataFrame([(a,) for a in answers], "t string").select("t", tags.entity_summary(F.col("t")).alias("s"), tags.entity_error(F.col("t")).alias("e")).collect()
+    assert {r.t: (r.s, r.e) for r in rows} == answers
