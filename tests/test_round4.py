@@ -3,7 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
-from tagmill.functions import tags
+from tagmill.functions import tags, text
 from tagmill.plans.queries import QUERIES, SQL
 
 
@@ -56,3 +56,32 @@ def test_entity_values_of_any_kind(spark):
     }
     rows = spark.createDataFrame([(a,) for a in answers], "t string").select("t", tags.entity_summary(F.col("t")).alias("s"), tags.entity_error(F.col("t")).alias("e")).collect()
     assert {r.t: (r.s, r.e) for r in rows} == answers
+
+
+def plan(spark, tmp_path, name):
+    return QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+CASES = texts((1, "Some some SOME word Word other Kelvin Kelvin Kelvin"), (2, "none"), (3, ""), (4, "a b c"), (5, "that that that with with that"))
+
+
+def test_first_occurrences_are_told_within_the_row(spark, tmp_path):
+    found = same(spark, tmp_path, "first_occurrence", documents=CASES)
+    assert (1, "Some", 0) in found and (1, "word", 3) in found and "Exchange" not in plan(spark, tmp_path, "first_occurrence")
+
+
+def test_top_tags_are_told_within_the_row(spark, tmp_path):
+    rows = texts((1, " ".join(c * 4 for c in "zyxwvutsrqzyz")), (2, "Some SOME"), (3, ""))
+    assert len(same(spark, tmp_path, "top_tags", documents=rows)) == 9 and "Exchange" not in plan(spark, tmp_path, "top_tags")
+
+
+def test_tags_are_paired_within_the_row(spark, tmp_path):
+    part = "p_name string", [("small ring",), ("a small ring",), ("big small ring here now",), ("the",), ("rail",)]
+    assert ("rail",) in same(spark, tmp_path, "exclude_tags", documents=CASES, part=part) and "Window" not in plan(spark, tmp_path, "exclude_tags")
+
+
+def test_scripts_are_counted_without_ascii(spark, tmp_path):
+    rows = texts(*[(k, t) for k, t in enumerate(["", "short", "plain text of more than twenty characters", "ÀÉ abc 123 ~!" * 9, "xyz " * 20] * 12)])
+    assert len({r[1] for r in same(spark, tmp_path, "route_scripts", documents=rows)}) > 3
+    one = spark.createDataFrame([("é" * 10 + "क" * 10,)], "t string").select(text.language_by_script(F.col("t")), text.script_histogram(F.col("t"))).first()
+    assert one[0] == "hi" and one[1] == {"devanagari": 10, "other_non_ascii": 10}
