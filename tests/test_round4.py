@@ -4,6 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from tagmill.functions import tags, text
+from tagmill.operators import tagging
 from tagmill.plans.queries import QUERIES, SQL
 
 
@@ -85,3 +86,13 @@ def test_scripts_are_counted_without_ascii(spark, tmp_path):
     assert len({r[1] for r in same(spark, tmp_path, "route_scripts", documents=rows)}) > 3
     one = spark.createDataFrame([("é" * 10 + "क" * 10,)], "t string").select(text.language_by_script(F.col("t")), text.script_histogram(F.col("t"))).first()
     assert one[0] == "hi" and one[1] == {"devanagari": 10, "other_non_ascii": 10}
+
+
+def test_a_verdict_normalises_its_tag_once(spark):
+    rows = spark.createDataFrame([("1) The Rail-Budget!",), ("xxi",), ("a",), (None,)], "raw string")
+    tagged = rows.withColumn("tag", tags.normalize_tag(F.col("raw"))).where(tags.tag_verdict(F.col("tag")) == "valid")
+    assert [r.tag for r in tagged.collect()] == ["the rail budget"]
+    plan = tagged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(raw") == 2  # for the filter, and for the column itself
+    kept = tagging.exclude_tags(tagged, spark.createDataFrame([("rail",), ("budget x",)], "term string"))
+    assert [r.tag for r in kept.collect()] == ["the rail budget"]
