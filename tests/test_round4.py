@@ -96,3 +96,22 @@ def test_a_verdict_normalises_its_tag_once(spark):
     assert plan.count("lower(raw") == 2  # for the filter, and for the column itself
     kept = tagging.exclude_tags(tagged, spark.createDataFrame([("rail",), ("budget x",)], "term string"))
     assert [r.tag for r in kept.collect()] == ["the rail budget"]
+
+
+def test_answers_are_summarised_once(spark, tmp_path):
+    given = texts((1, "One two, one é TWO three"), (2, "É 1"), (3, ""), (4, None))
+    for name in ("entity_summary", "entity_list"):
+        found = same(spark, tmp_path, name, documents=given)
+        assert [r[0] for r in found if "words" in r or name == "entity_summary"] == [1] * (1 if name == "entity_summary" else 3)
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "StructsToJson" in x]
+
+
+def test_lists_beside_values_of_other_kinds(spark):
+    answers = {
+        '{"a": ["x", "X", " y "], "b": {"c": ["z"]}, "d": ["1", null, "é"], "e": 1, "": ["w"], "f?": ["v"], "g.h": [["u"], "t"]}': {"a": ["x", "y"], "d": ["1", "é"], "": ["w"], "f?": ["v"], "g.h": ["t"]},
+        '{"a": ["x"], "a": ["y"]}': {}, '{"names": ["\\u00e9\\n", "\\"q\\""]}': {"names": ["é", '"q"']},
+    }
+    rows = spark.createDataFrame([(a,) for a in answers], "t string").select("t", tags.entity_summary(F.col("t")).alias("s"), tags.parse_tag_response(F.col("t")).alias("p")).collect()
+    assert {r.t: r.s for r in rows} == answers
+    assert rows[2].p == ["é", '"q"']
