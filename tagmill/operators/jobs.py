@@ -149,11 +149,15 @@ def update_results(spark: SparkSession, path: str, results: DataFrame, keys: Seq
     if not touched:
         return
     old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-    joined = old.join(new, ["bucket", *ids], "left")
+    # Documents and results are dealt by bucket once; each document takes the result of its group there, and the groups lie as they are written.
+    given = new.dropna(subset=ids).select("bucket", *[F.col(c).cast(old.schema[c].dataType) for c in ids], F.struct("_hit", *[f"_{c}" for c in fields]).alias("_new"))
+    both = old.withColumn("_old", F.lit(True)).unionByName(given, allowMissingColumns=True).repartition("bucket")
+    found = F.when(F.col("_old"), F.first("_new", ignorenulls=True).over(W.partitionBy("bucket", *ids)))
+    joined = both.withColumn("_new", found).where("_old").select(*old.columns, "_new.*")
     value = lambda c: F.coalesce("_tags", F.array().cast(old.schema["tags"].dataType)) if c == "tags" else F.col(f"_{c}").cast(old.schema[c].dataType)
     cells = {c: F.when(F.col("_hit"), value(c)).otherwise(F.col(c)) for c in fields}
     cells |= {c: F.when(F.col("_hit"), now.cast(old.schema[c].dataType)).otherwise(F.col(c)) for c in ("processed_at", "updated_at") if c in old.columns}
-    changed = joined.withColumns(cells).select(*old.columns).repartition("bucket")
+    changed = joined.withColumns(cells).select(*old.columns)
     changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 

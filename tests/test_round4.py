@@ -1,10 +1,11 @@
 """Queries against their SQL on odd rows."""
 
 import duckdb
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tagmill.functions import tags, text
-from tagmill.operators import tagging
+from tagmill.operators import jobs, tagging
 from tagmill.plans.queries import QUERIES, SQL
 
 
@@ -115,3 +116,16 @@ def test_lists_beside_values_of_other_kinds(spark):
     rows = spark.createDataFrame([(a,) for a in answers], "t string").select("t", tags.entity_summary(F.col("t")).alias("s"), tags.parse_tag_response(F.col("t")).alias("p")).collect()
     assert {r.t: r.s for r in rows} == answers
     assert rows[2].p == ["é", '"q"']
+
+
+def test_documents_are_dealt_once_for_their_results(spark, tmp_path, monkeypatch):
+    path, plans, write = str(tmp_path / "docs"), [], DataFrameWriter.parquet
+    docs = spark.createDataFrame([(1, 1, "pending"), (1, 1, "failed"), (1, None, "pending"), (2, 1, "pending"), (None, 1, "pending")], "job_id long, id long, status string").withColumn("updated_at", F.lit(None).cast("timestamp"))
+    jobs.result_table(docs.withColumn("extra", F.create_map("status", "id")), path, 4)
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: plans.append(self._df._jdf.queryExecution().optimizedPlan().toString()) or write(self, *a, **b))
+    results = spark.createDataFrame([(1, 1, "old", 1), (1, 1, "success", 2), (1, None, "success", 1), (None, 1, "success", 1), (2, 7, "success", 1)], "job_id long, id int, status string, at int")
+    jobs.update_results(spark, path, results, ["id"], F.lit("2024-05-05").cast("timestamp"), "at", buckets=4)
+    found = sorted((str(r.job_id), str(r.id), r.status, r.updated_at is not None) for r in spark.read.parquet(path).collect())
+    assert found == [("1", "1", "success", True), ("1", "1", "success", True), ("1", "None", "pending", False), ("2", "1", "pending", False), ("None", "1", "pending", False)]
+    assert "Join" not in plans[-1] and plans[-1].count("RepartitionByExpression") == 1
+    assert spark.read.parquet(path).schema["id"].dataType.simpleString() == "bigint"
