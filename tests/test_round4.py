@@ -129,3 +129,12 @@ def test_documents_are_dealt_once_for_their_results(spark, tmp_path, monkeypatch
     assert found == [("1", "1", "success", True), ("1", "1", "success", True), ("1", "None", "pending", False), ("2", "1", "pending", False), ("None", "1", "pending", False)]
     assert "Join" not in plans[-1] and plans[-1].count("RepartitionByExpression") == 1
     assert spark.read.parquet(path).schema["id"].dataType.simpleString() == "bigint"
+
+
+def test_phrases_are_found_by_patterns(spark, tmp_path, monkeypatch):
+    plans, keep = [], tagging.keep
+    monkeypatch.setattr(tagging, "keep", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, name))
+    odd = "Bank  of England bank of   england, bank\tof england. Deep deep deep deep é deepé deep\ndeep abc abcd  abc abcd K\u212aing king İstanbul istanbul abcdabcd abcd abcd abcd "
+    found = same(spark, tmp_path, "candidate_phrases", documents=texts((1, odd), (2, odd + odd.upper()), (3, " " + odd * 3), (4, None), (5, ""), (6, "a b c  d")))
+    assert {"bank of england", "deep deep deep"} <= {r[1] for r in found}
+    assert "RLIKE" not in plans[0]
