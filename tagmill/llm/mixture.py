@@ -109,7 +109,7 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS,
     q = targets.where("target > 0")
     q = q if "rank" in q.columns else ranked(keyed(q), "k")
     q = q.select("source", "k", F.floor(F.col("rank") / SOURCES).alias("c"), "rank", F.ceil("target").cast("long").alias("t"))
-    count, total = q.agg(F.count(F.lit(1)), F.sum("t")).first()
+    count, total, first, last = q.agg(F.count(F.lit(1)), F.sum("t"), F.min("c"), F.max("c")).first()
     if not count:
         return q.selectExpr("source", "0 as shard", "t as blocks")
     blocks = max(blocks, -(-SPREAD * count // shards))
@@ -119,19 +119,26 @@ def shard_quotas(targets: DataFrame, shards: int = SHARDS, blocks: int = BLOCKS,
     q = q.select("source", "k", "c", (1 + upto("upto") - upto("before")).alias("q"))
 
     group = F.array_sort(F.collect_list(F.struct("k", "source", "q"))).alias("parts")
-    parts = q.groupBy("c").agg(group).select(F.lit(0).cast("long").alias("node"), "c", "parts")
-    heads = q.groupBy("c").agg(F.sum("q").alias("q")).agg(F.array_sort(F.collect_list(F.struct("c", "q"))).alias("parts")).select(F.lit(0).cast("long").alias("node"), "parts")
+    # Each level starts from a table, so no plan holds the sums above more than once.
+    parts = stash(q.groupBy("c").agg(group).select(F.lit(0).cast("long").alias("node"), "c", "parts"), "tree")
+    heads, sized = None, F.expr("struct(c, aggregate(parts, 0L, (s, p) -> s + p.q) AS q)")
+    if first != last:
+        heads = stash(parts.select(sized.alias("p")).agg(F.array_sort(F.collect_list("p")).alias("parts")).select(F.lit(0).cast("long").alias("node"), "parts"), "heads")
     width, level = shards, 0
     while width > 1:
         half = width // 2 * blocks
-        heads = heads.withColumn("taken", _left_shares(f"{2 * half}", f"{half}", seed, level, "c"))
-        shares = heads.select("node", F.explode(F.arrays_zip(F.col("parts"), F.col("taken"))).alias("s")).select("node", F.col("s.parts.c").alias("c"), F.col("s.parts.q").alias("all"), F.col("s.taken").alias("left"))
-        drawn = parts.join(shares, ["node", "c"]).withColumn("taken", _left_shares("all", "left", seed + 1, level, "k"))
+        if heads is None:  # the only group has all of a node's blocks, and half of them are left
+            drawn = parts.withColumn("taken", _left_shares(f"{2 * half}", f"{half}", seed + 1, level, "k"))
+        else:
+            heads = heads.withColumn("taken", _left_shares(f"{2 * half}", f"{half}", seed, level, "c"))
+            shares = heads.select("node", F.explode(F.arrays_zip(F.col("parts"), F.col("taken"))).alias("s")).select("node", F.col("s.parts.c").alias("c"), F.col("s.parts.q").alias("all"), F.col("s.taken").alias("left"))
+            drawn = parts.join(shares, ["node", "c"]).withColumn("taken", _left_shares("all", "left", seed + 1, level, "k"))
         parts = drawn.select("c", _sides(("k", "source"), F.col("taken")).alias("s")).select("s.node", "c", "s.parts").where("size(parts) > 0")
-        heads = heads.select(_sides(("c",), F.col("taken")).alias("s")).select("s.node", "s.parts")
         width, level = width // 2, level + 1
+        if heads is not None and width > 1:
+            heads = stash(heads.select(_sides(("c",), F.col("taken")).alias("s")).select("s.node", "s.parts"), "heads")
         if level % LEVELS == 0 or width == 1:
-            parts, heads = stash(parts, "tree"), stash(heads, "heads") if width > 1 else heads
+            parts = stash(parts, "tree")
     return parts.select("node", F.explode("parts").alias("p")).select(F.col("p.source").alias("source"), F.col("node").alias("shard"), F.col("p.q").alias("blocks"))
 
 

@@ -568,3 +568,17 @@ def test_hot_signatures_are_split(spark):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert all(found[k] == 0 for k in range(3000)) and all(found[k] == k for k in range(3000, 3400))
+
+
+def test_plans_of_the_mixing_tree_hold_no_sums(spark, monkeypatch):
+    plans, stash = [], mixture.stash
+    monkeypatch.setattr(mixture, "stash", lambda df, tag: plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or stash(df, tag))
+    targets = spark.createDataFrame([(f"s{k}", 10.0 + k) for k in range(9)], "source string, target double")
+    quotas = {}
+    for many in (mixture.SOURCES, 2):
+        monkeypatch.setattr(mixture, "SOURCES", many)
+        quotas[many] = mixture.shard_quotas(targets, 16, 8).groupBy("shard").agg({"blocks": "sum"}).collect()
+        trees = [p for tag, p in plans if tag == "tree"][1:]
+        assert trees and all("Aggregate" not in p for p in trees) and ("Join" in trees[-1]) == (many == 2)
+        plans.clear()
+    assert all(len(q) == 16 and {r[1] for r in q} == {8} for q in quotas.values())
