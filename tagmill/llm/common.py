@@ -19,8 +19,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 
 #: A side of a join may be broadcast up to so many rows of one or two numbers; beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
-#: Rows of one key that a task of split_join takes, at least, and keys with more rows than a task takes, at most.
-CHUNK, HOT_KEYS = 256, 100_000
+#: Rows of one key that a task of split_join takes, at least, if rows are wide or of a few numbers, and keys with more rows than a task takes, at most.
+CHUNK, NARROW, HOT_KEYS = 256, 8192, 100_000
 #: Groups of one stretch of running_sums.
 STRETCH = 1024
 
@@ -222,19 +222,22 @@ def shingle_sets(column, width: int):
                 yield row + i, np.zeros(0, np.uint64)
 
 
-def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner") -> DataFrame:
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], rows: int, how: str = "inner", chunk: int | None = None, over: DataFrame | None = None) -> DataFrame:
     """left (of so many rows) joined with right, which has one row of each key; a hot key's rows are dealt over several tasks.
 
     Rows of left are counted by key, pre-aggregated. A key with more than `chunk` rows is dealt over as many parts as it has
     chunks, and right's row of it is repeated for each. There are at most HOT_KEYS such keys, so their list may be broadcast.
+    `over` is a table that left comes from by such joins, with no more columns and no fewer rows: it is counted instead, as a
+    plan that counts what it joins holds left twice, and one of joins within joins twice for each.
     """
-    chunk = max(CHUNK, -(-rows // HOT_KEYS))
+    chunk = max(chunk or CHUNK, -(-rows // HOT_KEYS))
     if rows <= chunk:
         return left.join(right, keys, how)
-    counted = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk)
+    over = left if over is None else over
+    counted = over.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > chunk)
     hot = F.broadcast(counted.select(*keys, F.ceil(F.col("_rows") / chunk).cast("long").alias("_parts")))
     parts = F.coalesce("_parts", F.lit(1).cast("long"))
-    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts)).drop("_parts")
+    dealt = left.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*over.columns), parts)).drop("_parts")
     copies = right.join(hot, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
     return dealt.join(copies, [*keys, "_part"], how).drop("_part")
 
@@ -243,7 +246,7 @@ def running_sums(rows: DataFrame, keys: list[str], group: str, order: list[str],
     """rows with `before`: the sum of value over the rows with equal keys that stand earlier by (group, *order).
 
     group counts from 0. Sums run within groups, over the groups of a stretch, and over stretches, so no task sums a whole
-    key. Keys must not be null.
+    key. Where groups begin is a table of a row for each, so a plan with several such sums doesn't hold rows three times for each. Keys must not be null.
     """
 
     def earlier(name: str, by: list[str], *order: str) -> Column:
@@ -252,6 +255,7 @@ def running_sums(rows: DataFrame, keys: list[str], group: str, order: list[str],
     groups = rows.groupBy(*keys, group).agg(F.sum(value).alias("_m")).withColumn("_s", F.floor(F.col(group) / STRETCH))
     stretches = groups.groupBy(*keys, "_s").agg(F.sum("_m").alias("_t")).select(*keys, "_s", earlier("_t", keys, "_s").alias("_over"))
     groups = groups.withColumn("_in", earlier("_m", [*keys, "_s"], group)).join(stretches, [*keys, "_s"]).select(*keys, group, (F.col("_in") + F.col("_over")).alias("_base"))
+    groups = stash(groups, "sums")
     summed = rows.withColumn("before", earlier(value, [*keys, group], *order)).join(groups, [*keys, group])
     return summed.withColumn("before", F.col("before") + F.col("_base")).drop("_base")
 
@@ -280,7 +284,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = stash(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("up")), "pointers")
         nodes, moved = up.count(), True
         while moved:
-            step = split_join(up.select("node", "up"), up.select(F.col("node").alias("up"), F.col("up").alias("top")), ["up"], nodes)
+            step = split_join(up.select("node", "up"), up.select(F.col("node").alias("up"), F.col("up").alias("top")), ["up"], nodes, chunk=NARROW)
             step = stash(step.select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), "pointers")
             moved = not step.where("moved").isEmpty()
             discard(up)
@@ -288,7 +292,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         up = up.select("node", "up")
         rounds.append((up, nodes))
         at_a, at_b = (up.toDF(c, f"r{c}") for c in "ab")
-        left = split_join(split_join(edges, at_a, ["a"], n), at_b, ["b"], n).where("ra <> rb")
+        left = split_join(split_join(edges, at_a, ["a"], n, chunk=NARROW), at_b, ["b"], n, chunk=NARROW, over=edges).where("ra <> rb")
         left = stash(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
         discard(edges)
         edges, n = left, left.count()
@@ -297,5 +301,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
     found, _ = rounds.pop()
     while rounds:  # from the last round's roots back to the first round's nodes
         up, nodes = rounds.pop()
-        found = split_join(up, found.toDF("up", "top"), ["up"], nodes, "left").select("node", F.coalesce("top", "up").alias("up"))
+        found = split_join(up, found.toDF("up", "top"), ["up"], nodes, "left", chunk=NARROW).select("node", F.coalesce("top", "up").alias("up"))
+        found = stash(found, "components")
     return found.toDF("node", "component")

@@ -180,6 +180,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     quotas = shard_quotas(targets, shards, blocks, seed)
     plan = stash(block_shards(quotas, seed), "blocks")
     known = targets.select("k", "source_size", "n", "target").join(keyed(quotas.groupBy("source").agg(F.sum("blocks").alias("quota"))).drop("source"), "k", "left")
+    known = stash(known, "known")
 
     n_bytes, n_docs = targets.agg(F.coalesce(F.sum(40 + F.octet_length("k")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     line = sized.join(F.broadcast(known), "k") if n_bytes <= 16 * BROADCAST_ROWS else split_join(sized, known, ["k"], n_docs)

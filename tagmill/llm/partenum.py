@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagmill.llm.common import arrow_batches, connected_components, discard, mix, shingle_sets, small, split_join, stash
+from tagmill.llm.common import NARROW, arrow_batches, connected_components, discard, mix, shingle_sets, small, split_join, stash
 
 #: Sizes from one band's start to its end grow by this factor.
 BAND = 1.5
@@ -176,13 +176,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int
     # Sizes and sketches first: they are a fortieth of the sets, and most pairs that only share a passage end here.
     sketches = sketches.select("doc_id", "n", "parity")
     count = pairs.count()
-    likely = split_join(split_join(pairs, sketches.toDF("a", "na", "pa"), ["a"], count), sketches.toDF("b", "nb", "pb"), ["b"], count)
+    likely = split_join(pairs, sketches.toDF("a", "na", "pa"), ["a"], count, chunk=NARROW)
+    likely = split_join(likely, sketches.toDF("b", "nb", "pb"), ["b"], count, chunk=NARROW, over=pairs)
     likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
     wanted = stash(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
     sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
     count = likely.count()
-    joined = split_join(split_join(likely, sides.toDF("a", "ma"), ["a"], count), sides.toDF("b", "mb"), ["b"], count).select("a", "b", "ma", "mb")
+    joined = split_join(split_join(likely, sides.toDF("a", "ma"), ["a"], count), sides.toDF("b", "mb"), ["b"], count, over=likely).select("a", "b", "ma", "mb")
     links = stash(joined.mapInArrow(run, "a long, b long"), "links")
     discard(likely, wanted, sides)
     return links
@@ -226,7 +227,7 @@ def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     spans = spans.where("lo <> hi").groupBy("m", "first", "f1", "f2").agg(F.min("sig").alias("sig"))
     spans = spans.select("sig", F.ceil(F.col("m") / TILE).cast("long").alias("g"))
     dealt = (
-        split_join(open_, spans, ["sig"], open_.count()).join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
+        split_join(open_, spans, ["sig"], open_.count(), chunk=NARROW).join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
         .withColumn("t", F.pmod(F.xxhash64("cid"), F.col("g")))
         .withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         .select("sig", F.least("t", "h").alias("ti"), F.greatest("t", "h").alias("tj"), "t", "cid", "component", "n", "parity")
@@ -295,14 +296,17 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         named = parts.withColumnRenamed("node", "cid")
         return ids.join(named, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
 
-    more = _crossing(placed(members_of, parts), sketches, num, den)
+    open_ = stash(placed(members_of, parts), "open")
+    discard(rows)
+    more = _crossing(open_, sketches, num, den)
     more = stash(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(docs, more, sketches, width, num, den)
     if not more.isEmpty():
-        parts = connected_components(links.union(more))
+        more = _verified(docs, more, sketches, width, num, den)
+        if not more.isEmpty():
+            parts = connected_components(links.union(more))
 
     named = placed(classes, parts).select(*key, F.col("component").alias("component_id"))
-    found = split_join(filled, named, key, members.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    found = split_join(filled, named, key, members.count(), chunk=NARROW).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = members.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return found.unionByName(rest)
 

@@ -582,3 +582,23 @@ def test_plans_of_the_mixing_tree_hold_no_sums(spark, monkeypatch):
         assert trees and all("Aggregate" not in p for p in trees) and ("Join" in trees[-1]) == (many == 2)
         plans.clear()
     assert all(len(q) == 16 and {r[1] for r in q} == {8} for q in quotas.values())
+
+
+def test_plans_of_near_dedup_hold_their_input_once(spark, monkeypatch):
+    """Joins within joins, with keys of more rows than a task takes, and running sums: the driver plans each again and again."""
+    plans, stash = [], common.stash
+    kept = lambda df, tag: plans.append((tag, df._jdf.queryExecution().optimizedPlan().toString())) or stash(df, tag)
+    monkeypatch.setattr(partenum, "stash", kept)
+    monkeypatch.setattr(common, "stash", kept)
+    monkeypatch.setattr(common, "CHUNK", 4)
+    monkeypatch.setattr(common, "NARROW", 4, raising=False)
+    monkeypatch.setattr(partenum, "NARROW", 4, raising=False)
+    shared = [f"w{k}" for k in range(60)]
+    rows = [(100 * f + k, " ".join([*shared[: 30 * (f % 2)], *(f"f{f}x{j}" for j in range(60)), f"y{k}"])) for f in range(6) for k in range(20)]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in partenum.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == components(rows, 4, 85, 100) and len({c for _, c in found.values()}) == 6
+    assert all(p.count("Join ") <= 6 for tag, p in plans if tag in ("likely", "links", "edges")) and {"likely", "links", "edges", "open"} <= {tag for tag, _ in plans}
+
+    sums = common.running_sums(spark.range(3000).selectExpr("id", "id % 3 as k", "id div 7 as g", "id * id as v"), ["k"], "g", ["id"], "v")
+    assert sums._jdf.queryExecution().optimizedPlan().toString().count("Range (") == 1
+    assert {r.id: r.before for r in sums.collect()} == {i: sum(j * j for j in range(i % 3, i, 3)) for i in range(3000)}
