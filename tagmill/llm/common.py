@@ -41,10 +41,25 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+@contextmanager
+def held(spark: SparkSession, key: str, value):
+    """Within, a setting of the session has this value."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write to a new table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write to a new table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The shuffles of the writing go with it; else they stay on the executors' disks until the driver happens to collect its garbage.
+    """
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with held(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", True):
+        df.write.parquet(path)
     found = df.sparkSession.read.schema(df.schema).parquet(path)
     found.stashed_at = path
     return found
@@ -63,16 +78,9 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-@contextmanager
 def arrow_batches(spark: SparkSession, size: int):
     """Within, tables are written with about so many bytes at most in a batch for Python, however long their rows are."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, size)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    return held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def words(text: str = "text") -> Column:

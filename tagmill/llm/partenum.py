@@ -22,10 +22,10 @@ SECOND, DIFFER = 2, 1
 SPARE = 0.04
 #: Partitionings that a set tries at most; in the last one, subsets without members count as well.
 TRIES = 32
-#: Bytes of a batch handed to Python, and shingles of a batch handed back, at most unless one row has more.
-BATCH_BYTES, BATCH_SHINGLES = 8 << 20, 1 << 20
-#: Bits of a parity sketch; members of one signature that one key of the join has at most twice.
-SKETCH_BITS, TILE = 1024, 1024
+#: Bytes of a batch handed to Python, and shingles of a batch handed back, at most unless one row has more; words of sketches compared at a time.
+BATCH_BYTES, BATCH_SHINGLES, PAIR_WORDS = 8 << 20, 1 << 20, 1 << 18
+#: Bits of a parity sketch, and of the wide one of a larger set, at most; members of one tile of a signature.
+SKETCH_BITS, WIDE_BITS, TILE = 1024, 1 << 16, 8192
 
 
 @lru_cache(maxsize=65536)
@@ -111,8 +111,22 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, parity: bool = False, whole: bool = False) -> DataFrame:
-    """(doc_id, n, h1, h2) of each text's shingle set; with den its signatures, with parity its sketch, with whole the set itself."""
+def wide_bits(size: int, num: int, den: int) -> int:
+    """Bits that a set's wide sketch needs so that sets without common members differ in clearly more bits than similar ones may."""
+    need = 5 * size * (den - num) // (den + num)
+    return min(WIDE_BITS, 1 << max(0, need - 1).bit_length())
+
+
+def parities(s: np.ndarray, bits: int) -> np.ndarray:
+    """Of each of so many cells (a power of two), whether an odd number of members falls into it, as 64-bit words.
+
+    Twice as many cells, their second half combined with the first by exclusive or, give the same words.
+    """
+    return np.packbits(np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) % 2 == 1).view(np.uint64)
+
+
+def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, sigs: bool = False, parity: bool = False, whole: bool = False) -> DataFrame:
+    """(doc_id, n, h1, h2) of each text's shingle set; with sigs its signatures, with parity its sketches, with whole the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,34 +149,85 @@ def _sketch(sets: DataFrame, width: int, num: int = 0, den: int = 0, parity: boo
             h2 = np.array([mix(mix(s) + np.uint64(1)).sum(dtype=np.uint64) for s in sets_]).view(np.int64)
         columns = [ids.take(pa.array(rows)), pa.array([len(s) for s in sets_], pa.int64()), pa.array(h1), pa.array(h2)]
         names = ["doc_id", "n", "h1", "h2"]
-        if den:
+        if sigs:
             columns, names = [*columns, _lists([signatures(s, num, den) for s in sets_])], [*names, "sigs"]
         if parity:
-            bits = [np.packbits(np.bincount((s % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) % 2 == 1).view(np.uint64) for s in sets_]
-            columns, names = [*columns, _lists(bits)], [*names, "parity"]
+            bits = [wide_bits(len(s), num, den) for s in sets_]
+            wide = [parities(s, b) if b > SKETCH_BITS else np.zeros(0, np.uint64) for s, b in zip(sets_, bits, strict=True)]
+            columns, names = [*columns, _lists([parities(s, SKETCH_BITS) for s in sets_]), _lists(wide)], [*names, "parity", "wide"]
         if whole:
             columns, names = [*columns, _lists(sets_)], [*names, "members"]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n long, h1 long, h2 long" + ", sigs array<long>" * bool(den) + ", parity array<long>" * parity + ", members array<long>" * whole
+    schema = "doc_id long, n long, h1 long, h2 long" + ", sigs array<long>" * sigs + ", parity array<long>, wide array<long>" * parity + ", members array<long>" * whole
     return sets.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _possible(nx: str, px: str, ny: str, py: str, num: int, den: int):
-    """What sizes and parity sketches leave possible: the sketches differ in no more bits than the sets in members."""
-    apart = sum((F.bit_count(F.col(px)[k].bitwiseXOR(F.col(py)[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-    return (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (apart * (den + num) <= (F.col(nx) + F.col(ny)) * (den - num))
+def _ragged(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    return column.offsets.to_numpy(), column.values.to_numpy()
+
+
+def _sides(n: pa.Array, parity: pa.ListArray, wide: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of a batch's rows the sizes, the sketches, and the lengths and words of the wide sketches."""
+    at, bits = _ragged(parity)
+    ends, words = _ragged(wide)
+    found = [words[x:y].view(np.uint64) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return n.to_numpy(), bits[at[0] : at[-1]].reshape(len(n), SKETCH_BITS // 64).view(np.uint64), np.diff(ends), found
+
+
+def _joined(parts: list[tuple]) -> tuple:
+    """The parts' rows one after another; each part is a tuple of columns, the last one a list."""
+    if len(parts) == 1:
+        return parts[0]
+    *columns, wide = zip(*parts, strict=True)
+    return (*map(np.concatenate, columns), sum(wide, []))
+
+
+def possible(sides: tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]], i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j) of rows those that sizes and parity sketches leave possible: sketches differ in no more bits than the sets in members.
+
+    Wide sketches are compared at the length of the shorter one; those of sets without one rule nothing out.
+    """
+    n, parity, words, wide = sides
+
+    def few(apart: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return apart.astype(np.int64) * (den + num) <= (n[i] + n[j]) * (den - num)
+
+    fit = np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num
+    i, j = i[fit], j[fit]
+    fit = few(np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64), i, j)
+    i, j = i[fit], j[fit]
+    shared = np.minimum(words[i], words[j])
+    if not shared.any():
+        return i, j
+    fit = np.ones(len(i), bool)
+    for length in np.unique(shared[shared > 0]):
+        at = np.flatnonzero(shared == length)
+        rows, where = np.unique(np.concatenate((i[at], j[at])), return_inverse=True)
+        folded = np.array([np.bitwise_xor.reduce(wide[k].reshape(-1, length), axis=0) for k in rows])
+        x, y = where[: len(at)], where[len(at) :]
+        step = max(1, PAIR_WORDS // length)
+        for k in range(0, len(at), step):
+            part = at[k : k + step]
+            fit[part] = few(np.bitwise_count(folded[x[k : k + step]] ^ folded[y[k : k + step]]).sum(axis=1, dtype=np.int64), i[part], j[part])
+    return i[fit], j[fit]
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets have Jaccard >= num/den, by exact intersection; a table in the shared folder."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def parts(column):
-            return column.offsets.to_numpy(), column.values.to_numpy()
+    def likely_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = PAIR_WORDS * 64 // SKETCH_BITS
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                rows = np.arange(batch.num_rows)
+                keep, _ = possible(_joined([_sides(*batch.columns[2:5]), _sides(*batch.columns[5:8])]), rows, rows + batch.num_rows, num, den)
+                yield batch.select(["a", "b"]).take(pa.array(keep))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            (oa, va), (ob, vb) = parts(batch.column(2)), parts(batch.column(3))
+            (oa, va), (ob, vb) = _ragged(batch.column(2)), _ragged(batch.column(3))
             keep = []
             for k in range(batch.num_rows):
                 x, y = va[oa[k] : oa[k + 1]], vb[ob[k] : ob[k + 1]]
@@ -174,11 +239,12 @@ def _verified(docs: DataFrame, pairs: DataFrame, sketches: DataFrame, width: int
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int32())), batch.column(1).take(pa.array(keep, pa.int32()))], names=["a", "b"])
 
     # Sizes and sketches first: they are a fortieth of the sets, and most pairs that only share a passage end here.
-    sketches = sketches.select("doc_id", "n", "parity")
+    sketches = sketches.select("doc_id", "n", "parity", "wide")
     count = pairs.count()
-    likely = split_join(pairs, sketches.toDF("a", "na", "pa"), ["a"], count, chunk=NARROW)
-    likely = split_join(likely, sketches.toDF("b", "nb", "pb"), ["b"], count, chunk=NARROW, over=pairs)
-    likely = stash(likely.where(_possible("na", "pa", "nb", "pb", num, den)).select("a", "b").distinct(), "likely")
+    likely = split_join(pairs, sketches.toDF("a", "na", "pa", "wa"), ["a"], count, chunk=NARROW)
+    likely = split_join(likely, sketches.toDF("b", "nb", "pb", "wb"), ["b"], count, chunk=NARROW, over=pairs)
+    likely = likely.select("a", "b", "na", "pa", "wa", "nb", "pb", "wb").mapInArrow(likely_ones, "a long, b long")
+    likely = stash(likely.distinct(), "likely")
     wanted = stash(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
     sides = stash(_sketch(texts, width, whole=True).select("doc_id", "members"), "members")
@@ -213,12 +279,57 @@ def _sharing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([last[0]], [last[1]], [last[1]], True)
 
 
+def _apart(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (sig, ti, tj, t, cid, component, n, parity, wide) in order of their key, the first three: the pairs (a, b) of a key's
+    rows from different components, one of tile ti and one of tj, that sizes and sketches leave possible. Rows of a key are held, pairs only so many at a time."""
+
+    def pairs(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ti, tj, t, cid, component, *side = _joined(parts)
+        n, step = side[0], PAIR_WORDS * 64 // SKETCH_BITS
+        if (component == component[0]).all():
+            return
+        xs, ys = np.flatnonzero(t == ti), np.flatnonzero(t == tj)
+        ys = ys[np.argsort(n[ys], kind="stable")]
+        low = np.searchsorted(n[ys], -(-n[xs] * num // den), "left")  # sizes that may match
+        high = np.searchsorted(n[ys], n[xs] * den // num, "right") if num else np.full(len(xs), len(ys))
+        upto = np.cumsum(high - low)
+        k = 0
+        while k < len(xs):
+            stop = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + step, "right")))
+            size = (high - low)[k:stop]
+            i = np.repeat(xs[k:stop], size)
+            j = ys[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[k:stop], size)]
+            new = (component[i] != component[j]) & ((cid[i] < cid[j]) | (ti[0] != tj[0]))
+            i, j = possible(side, i[new], j[new], num, den)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cid[i], cid[j])), pa.array(np.maximum(cid[i], cid[j]))], names=["a", "b"])
+            k = stop
+
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy() for c in batch.columns[:6]]
+        rows = (*columns[1:], *_sides(*batch.columns[6:]))
+        key = np.column_stack(columns[:3])
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (a or not np.array_equal(key[0], last)):
+                yield from pairs(held)
+                held = []
+            held.append(tuple(column[a:b] for column in rows))
+        last = key[-1]
+    if held:
+        yield from pairs(held)
+
+
 def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of different components that share a signature and that sizes and parity sketches leave possible.
 
     open_ has (sig, cid, component) without those hubs whose pairs are all verified already. Signatures with the same
-    members are taken once. Members are dealt into tiles, so that no key of the join has more than two tiles of rows; what
-    the join's condition rules out is never written.
+    members are taken once. Members are dealt into tiles, so that no task holds more than two tiles of a signature's rows; what
+    sizes and sketches rule out is never written.
     """
     spans = open_.groupBy("sig").agg(
         F.count(F.lit(1)).alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi"),
@@ -227,20 +338,14 @@ def _crossing(open_: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     spans = spans.where("lo <> hi").groupBy("m", "first", "f1", "f2").agg(F.min("sig").alias("sig"))
     spans = spans.select("sig", F.ceil(F.col("m") / TILE).cast("long").alias("g"))
     dealt = (
-        split_join(open_, spans, ["sig"], open_.count(), chunk=NARROW).join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity"), "cid")
+        split_join(open_, spans, ["sig"], open_.count(), chunk=NARROW).join(sketches.select(F.col("doc_id").alias("cid"), "n", "parity", "wide"), "cid")
         .withColumn("t", F.pmod(F.xxhash64("cid"), F.col("g")))
         .withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        .select("sig", F.least("t", "h").alias("ti"), F.greatest("t", "h").alias("tj"), "t", "cid", "component", "n", "parity")
+        .select("sig", F.least("t", "h").alias("ti"), F.greatest("t", "h").alias("tj"), "t", "cid", "component", "n", "parity", "wide")
     )
     dealt = stash(dealt, "tiles")
-    x, y = dealt.alias("x"), dealt.alias("y")
-    possible = (
-        (F.col("x.cid") < F.col("y.cid")) & (F.col("x.component") != F.col("y.component"))
-        & (F.least("x.t", "y.t") == F.col("x.ti")) & (F.greatest("x.t", "y.t") == F.col("x.tj"))
-        & _possible("x.n", "x.parity", "y.n", "y.parity", num, den)
-    )
-    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.ti") == F.col("y.ti")) & (F.col("x.tj") == F.col("y.tj")) & possible
-    return x.join(y, on).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
+    met = dealt.repartition("sig", "ti", "tj").sortWithinPartitions("sig", "ti", "tj")
+    return met.mapInArrow(lambda batches: _apart(batches, num, den), "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -275,7 +380,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
 
     first = stash(classes.select(F.col("cid").alias("doc_id")).distinct(), "classes")
     texts = docs.select("doc_id", "text").join(small(first, first.count()), "doc_id", "left_semi")
-    signed = stash(_sketch(texts, width, num, den).where("n > 0").select("doc_id", "sigs"), "signed")
+    signed = stash(_sketch(texts, width, num, den, sigs=True).where("n > 0").select("doc_id", "sigs"), "signed")
     spread = signed.select(F.explode("sigs").alias("sig"), F.col("doc_id").alias("cid")).repartitionByRange("sig", "cid").sortWithinPartitions("sig", "cid")
     rows = stash(spread.mapInArrow(_sharing, "sig long, cid long, hub long, edge boolean"), "signatures")
     discard(signed, first)
@@ -288,7 +393,7 @@ def _components(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     members_of = rows.where("not edge").select("sig", "cid").union(edges.select("sig", "cid"))
     wanted = stash(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "wanted")
     texts = docs.select("doc_id", "text").join(small(wanted, wanted.count()), "doc_id", "left_semi")
-    sketches = stash(_sketch(texts, width, parity=True), "sketches")
+    sketches = stash(_sketch(texts, width, num, den, parity=True), "sketches")
     links = _verified(docs, pairs, sketches, width, num, den)
     parts = connected_components(links)
 
